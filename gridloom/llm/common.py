@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -23,9 +24,7 @@ def tune(spark: SparkSession) -> None:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -76,19 +75,20 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return [(r["text"], int(r["y"])) for r in sorted(rows, key=lambda r: r["doc_id"])], counts
 
 
-def map_texts(df: DataFrame, text: str, fn: Callable[[pa.Array], Sequence[pa.Array]], fields: Sequence[T.StructField], keep: Sequence[str]) -> DataFrame:
-    """Appends the arrays that fn makes of the column `text`, batch by batch; of the other columns those in keep remain."""
-    names, kept = {f.name for f in fields}, [c for c in keep if c not in {f.name for f in fields}]
+def map_texts(df: DataFrame, text: str, fn: Callable[..., Sequence[pa.Array]], fields: Sequence[T.StructField], keep: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """Appends the arrays that fn makes of the columns `text` and `also`, batch by batch; of the other columns those in keep remain."""
+    kept = [c for c in keep if c not in {f.name for f in fields}]
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
+    read = [text, *also]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                made = fn(b.column(b.schema.get_field_index(text)))
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), *made], names=[*kept, *(f.name for f in fields)])
+                column = lambda c, b=b: b.column(b.schema.get_field_index(c))
+                made = fn(*map(column, read))
+                yield pa.RecordBatch.from_arrays([*map(column, kept), *made], names=[*kept, *(f.name for f in fields)])
 
-    assert names
-    return df.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*kept, *read])).mapInArrow(run, schema)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -112,3 +112,18 @@ def logistic_1d(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
         if np.abs(step).max() < 1e-8:
             break
     return float(beta[0]), float(beta[1])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage through a table in the shared folder; columns that a later plan doesn't need aren't read again."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import compress_quality, langid, mixing, quality_rules, toxicity, url_filter
+from gridloom.llm import compress_quality, langid, mixing, neighbours, ngram_join, quality_rules, secret_scan, toxicity, url_filter
 from gridloom.llm.common import crc_mod, sampled_by_class, table, tune
 
 URL_RULES = [
@@ -23,6 +23,20 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, model, ["page_id"])
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links of every document: Jaccard similarity of 0.8 or more on five-word shingles."""
+    tune(spark)
+    return ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_candidates, n_secrets and the secrets' spans of every document."""
+    tune(spark)
+    forest = secret_scan.fit(secret_scan.labelled_findings())
+    found = secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text", "source"), forest, ["doc_id"], path="source")
+    return found.select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     tune(spark)
@@ -65,6 +79,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest rows of every row whose vec_id is divisible by 20."""
+    tune(spark)
+    return neighbours.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     tune(spark)
@@ -75,10 +95,36 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_nearest": op9_nearest,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": r"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM words, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS g(i) WHERE len(w) > 0
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 9 * k >= 4 * (x.n + y.n)),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+        classes AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM classes
+    """,
+    "op9_nearest": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM p)
+        SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20
+    """,
+}
