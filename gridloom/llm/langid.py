@@ -51,14 +51,16 @@ class LanguageModel:
 def _forward(block: list[str], n: int, voc, p: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, int, np.ndarray]]]:
     alpha = [np.ones((len(block), p.shape[1]))] + [np.zeros((len(block), p.shape[1])) for _ in range(n)]
     used = []
-    for start, end, ids in voc.edges(block, n):
-        hit = np.flatnonzero(ids >= 0)
-        if len(hit):
-            alpha[end][hit] += alpha[start][hit] * p[ids[hit]]
-            used.append((start, end, ids))
-        if start == end - 1 and len(hit) < len(block):
-            miss = np.flatnonzero(ids < 0)
-            alpha[end][miss] += alpha[start][miss] * UNKNOWN
+    for first, end, columns in voc.edges(block, n):
+        for start in range(first, end):
+            ids = columns[:, start - first]
+            hit = np.flatnonzero(ids >= 0)
+            if len(hit):
+                alpha[end][hit] += alpha[start][hit] * p[ids[hit]]
+                used.append((start, end, ids))
+            if start == end - 1 and len(hit) < len(block):
+                miss = np.flatnonzero(ids < 0)
+                alpha[end][miss] += alpha[start][miss] * UNKNOWN
     return alpha, used
 
 
@@ -78,7 +80,7 @@ def _expected(counts: Counter, voc, p: np.ndarray) -> np.ndarray:
     for n, block in by_length([BLANK + w for w in counts]):
         times = np.array([counts[w[1:]] for w in block], float)
         alpha, used = _forward(block, n, voc, p)
-        lost = {e: ids < 0 for s, e, ids in voc.edges(block, n) if s == e - 1}
+        lost = {e: ids[:, -1] < 0 for _, e, ids in voc.edges(block, n)}
         beta = [np.zeros((len(block), 1)) for _ in range(n)] + [np.ones((len(block), 1))]
         steps: dict[int, list] = {}
         for start, end, ids in used:

@@ -70,34 +70,36 @@ class Vocabulary:
         return ((h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
     def _table(self, ids: np.ndarray, hashes: np.ndarray) -> None:
+        """One slot for each hash; what meets a taken slot goes to a sorted rest, and the slot is marked."""
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces of the vocabulary have one hash")
-        self._key, self._id, over = [], [], np.arange(len(ids))
-        while len(over):  # what meets a taken slot goes to one more table; two or three are enough
-            key, val = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
-            slot = self._slot(hashes[over] + np.uint64(len(self._key)))
-            _, first = np.unique(slot, return_index=True)
-            key[slot[first]], val[slot[first]] = hashes[over][first], ids[over][first]
-            self._key.append(key)
-            self._id.append(val)
-            over = np.delete(over, first)
+        self._key, self._id = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
+        self._marked = np.zeros(1 << _SLOTS, bool)
+        slot = self._slot(hashes)
+        _, first = np.unique(slot, return_index=True)
+        self._key[slot[first]], self._id[slot[first]] = hashes[first], ids[first]
+        over = np.delete(np.arange(len(ids)), first)
+        self._marked[slot[over]] = True
+        order = np.argsort(hashes[over])
+        self._rest_key, self._rest_id = np.append(hashes[over][order], np.uint64(0)), np.append(ids[over][order], np.int32(-1))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of hashes, -1 where there is none."""
         slot = self._slot(h)
-        out = np.where(self._key[0][slot] == h, self._id[0][slot], -1)
-        for k in range(1, len(self._key)):
-            slot = self._slot(h + np.uint64(k))
-            out = np.where((self._key[k][slot] == h) & (self._id[k][slot] >= 0), self._id[k][slot], out)
+        out = np.where(self._key[slot] == h, self._id[slot], np.int32(-1))
+        more = np.nonzero(self._marked[slot] & (out < 0))
+        if len(more[0]):
+            at = np.searchsorted(self._rest_key[:-1], h[more])
+            out[more] = np.where(self._rest_key[at] == h[more], self._rest_id[at], -1)
         return out
 
     def edges(self, words: Sequence[str], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, ids) over words of one length, ends ascending; ids is -1 where no piece covers start to end."""
+        """(first start, end, ids) over words of one length, ends ascending; ids has a column for each start from the first one to end - 1, -1 where no piece covers start to end."""
         h = self._prefixes(code_points(words, length))
-        power = np.array([pow(int(_BASE), n, 1 << 64) for n in range(self.longest + 1)], np.uint64)
+        power = np.array([pow(int(_BASE), n, 1 << 64) for n in range(self.longest, 0, -1)], np.uint64)
         for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                yield start, end, self.lookup(h[:, end] - h[:, start] * power[end - start])
+            first = max(0, end - self.longest)
+            yield first, end, self.lookup(h[:, end, None] - h[:, first:end] * power[self.longest - (end - first) :])
 
 
 @lru_cache(maxsize=2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import compress_quality, langid, mixing, neighbours, ngram_join, quality_rules, secret_scan, toxicity, url_filter
+from gridloom.llm import compress_quality, langid, mixing, neighbours, ngram_join, piece_sampling, quality_rules, secret_scan, toxicity, url_filter
 from gridloom.llm.common import crc_mod, sampled_by_class, table, tune
 
 URL_RULES = [
@@ -54,6 +54,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", "difference")
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document: doc_id, rank, pieces, n_pieces, log_prob, perturbed, threshold, log_inclusion."""
+    tune(spark)
+    return piece_sampling.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], k=2)
+
+
 def learned_rules(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> list[quality_rules.Rule]:
     """A decision list from the statistics of about per_class labelled documents of each class, chosen by hash."""
     chosen, _ = sampled_by_class(labels, "doc_id", "quality", per_class)
@@ -99,6 +105,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_pieces": op6_pieces,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_nearest": op9_nearest,
