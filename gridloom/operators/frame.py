@@ -291,7 +291,8 @@ class ArrayFrame:
     def mapped(self, meta: ArrayMeta, fn: Callable[[np.ndarray], np.ndarray], element: T.DataType) -> ArrayFrame:
         """Another array of the same grid, chunk by chunk through a numpy function."""
         schema = T.StructType([*(self.chunks.schema[n] for n in self.c), T.StructField("data", T.ArrayType(element))])
-        run = _per_chunk(self.meta, lambda chain, shape, data: from_numpy(fn(to_numpy(data, self.meta.dtype, shape)), meta.dtype), "data", pa.list_(_arrow_of(element)), "data", bound=False)
+        own = self.meta
+        run = _per_chunk(own, lambda chain, shape, data: from_numpy(fn(to_numpy(data, own.dtype, shape)), meta.dtype), "data", pa.list_(_arrow_of(element)), "data", bound=False)
         return ArrayFrame(meta, self.chunks.mapInArrow(run, schema))
 
     # ends
