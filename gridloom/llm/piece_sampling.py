@@ -32,17 +32,16 @@ from gridloom.llm.pieces import BLANK, code_points, default_vocabulary, vocabula
 from gridloom.llm.words import mix
 
 MOST = 40
-_PART = re.compile(rf" ?[^\W\d_]{{1,{MOST}}}| ?(?:[^\w \n]|[\d_]){{1,{MOST}}}|[ \n]")
-#: Stands for a blank mark that the text itself holds; it can't occur in valid text.
-_LITERAL = "\ud800"
-_TABLE_PARTS = 220_000
-_TOGETHER = 1 << 20
+#: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
+_PART = re.compile(rf" ?[^\W\d_]{{1,{MOST}}}| ?(?:[^\w \n{BLANK}]|[\d_]){{1,{MOST}}}|[ \n{BLANK}]")
+_TABLE_PARTS = 300_000
+_TOGETHER = 3 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def parts_of(text: str) -> list[str]:
     """The text's parts; joined they are a blank and the text."""
-    return _PART.findall(" " + text.replace(BLANK, _LITERAL))
+    return _PART.findall(" " + text)
 
 
 class Lattices:
@@ -60,7 +59,7 @@ class Lattices:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.base, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
-        self.cum, self.piece, self.next, self.logq = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0)
+        self.cum, self.piece, self.next, self.logq = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int8), np.empty(0, np.float32)
 
     def add(self, parts: Sequence[str]) -> None:
         """Enters new parts."""
@@ -87,34 +86,32 @@ class Lattices:
     def _block(self, block: list[str], n: int, width: int, states: int, edges: int):
         m = len(block)
         lattice = [BLANK + p[1:] if p[0] == " " else p for p in block]
-        weight, ids = np.zeros((m, n, width)), np.full((m, n, width), -1, np.int32)
-        codes = code_points(lattice, n)
+        # places for pieces from each position, longest first: the likeliest edge mostly is the first that a walk looks at
+        ids = np.full((m, n, width), -1, np.int32)
         for first, end, found in self.voc.edges(lattice, n):
             starts = np.arange(first, end)
-            ids[:, starts, end - starts - 1] = found
-        single = ids[:, :, 0] < 0
-        weight = np.where(ids >= 0, self.weight[ids], 0.0)
-        ids[:, :, 0] = np.where(single, self.voc.size + codes.astype(np.int64), ids[:, :, 0])
-        weight[:, :, 0] = np.where(single, self.unknown, weight[:, :, 0])
+            ids[:, starts, width - (end - starts)] = found
+        if n == 1:
+            ids[[k for k, p in enumerate(block) if p == BLANK]] = -1
+        weight = self.weight[ids]  # -1 reads the last weight, which is 0
+        single = np.nonzero(ids[:, :, -1] < 0)
+        ids[(*single, width - 1)] = self.voc.size + code_points(lattice, n)[single].astype(np.int64)
+        weight[(*single, width - 1)] = self.unknown
         beta = np.zeros((m, n + width))
         beta[:, n] = 1.0
         for start in range(n - 1, -1, -1):
-            weight[:, start, :] *= beta[:, start + 1 : start + 1 + width]
+            weight[:, start, :] *= beta[:, start + width : start : -1]
             beta[:, start] = weight[:, start, :].sum(1)
-        # longest pieces first: the likeliest edge mostly is the first that a walk looks at
-        q = (weight / beta[:, :n, None])[:, :, ::-1]
-        held = q > 0
-        state = states + np.arange(m * n).reshape(m, n)
-        cum = np.minimum(np.cumsum(q, 2), 1.0)
-        last = np.cumsum(held, 2) == held.sum(2)[:, :, None]
-        cum = np.where(last, 1.0, cum) + state[:, :, None]
-        with np.errstate(divide="ignore"):
-            logq = np.minimum(np.log(q), 0.0)
-        ends = np.arange(n)[:, None] + np.arange(1, width + 1)[None, :]
-        step = np.where(ends < n, np.arange(1, width + 1)[None, :], 0)  # how far the next state is; 0: the part ends
-        step = np.broadcast_to(step, (m, n, width))
-        count = held.sum(2).reshape(-1)
-        return state[:, 0], edges + np.cumsum(count), cum[held], ids[:, :, ::-1][held], step[:, :, ::-1][held].astype(np.int32), logq[held]
+        held = np.flatnonzero(weight.ravel() > 0)
+        state, back = np.divmod(held, width)
+        q = weight.ravel()[held] / beta[:, :n].ravel()[state]
+        last = np.cumsum(np.bincount(state, minlength=m * n))
+        # every state's probabilities sum to 1, so the running sum is the state's number plus the cumulative probability
+        cum = states + np.cumsum(q)
+        cum[last - 1] = states + np.arange(1, m * n + 1)
+        step = width - back
+        step[state % n + step == n] = 0  # how far the next state is; 0: the part ends
+        return states + n * np.arange(m), edges + last, cum, ids.ravel()[held], step.astype(np.int8), np.minimum(np.log(q), 0.0).astype(np.float32)
 
 
 _tables: dict[tuple[str, float], Lattices] = {}
@@ -192,7 +189,7 @@ class _Search:
 
     def siblings(self, bound: float, path: np.ndarray, falls: np.ndarray, step: int, taken: tuple[int, ...]) -> None:
         edges = self._edges(path[step], taken)
-        left = float(np.exp(self.t.logq[edges]).sum())
+        left = float(np.exp(self.t.logq[edges], dtype=np.float64).sum())
         if left > 0:
             self.nodes.append((_under(bound, float(falls[step]) + math.log(left), self.draw()), path, falls, step, taken, edges))
 
@@ -225,7 +222,7 @@ class _Search:
             edges = self._edges(path[step], taken)
             if not len(edges):  # a step without siblings has no mass; only rounding leads here
                 return self.take()
-        q = np.exp(self.t.logq[edges])
+        q = np.exp(self.t.logq[edges], dtype=np.float64)
         chosen = int(edges[min(int(np.searchsorted(np.cumsum(q), self.draw() * q.sum(), "right")), len(edges) - 1)])
         if len(edges) > 1:
             self.siblings(value, path, falls, step, (*taken, chosen))
@@ -238,17 +235,18 @@ class _Search:
 def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattices) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its sampled segmentations, best first: (piece ids, log probability, perturbed value); one more value, without pieces, is the threshold."""
     cut = [parts_of(t) if t else [] for t in texts]
-    new = set().union(*cut) if cut else set()
+    coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
     if len(table.known) > _TABLE_PARTS:
         table.clear()
-    fresh = sorted(new.difference(table.known))
+    fresh = sorted(p for p in distinct if p not in table.known)
     if fresh:
         table.add(fresh)
     seeds = seeds.astype(np.uint64)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(c) for c in cut], out=bounds[1:])
     n = int(bounds[-1])
-    unit = np.fromiter(map(table.known.__getitem__, chain.from_iterable(cut)), np.int64, n)
+    unit = np.array([table.known[p] for p in distinct], np.int64)[coded.indices.to_numpy()]
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     key = mix(seeds[owner] * _ODD + (np.arange(n) - bounds[:-1][owner]).astype(np.uint64))
     base = table.base[unit]
@@ -260,7 +258,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     begin = np.zeros(len(texts), np.int64)
     out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
     for s in range(k):
-        pieces, falls = table.piece[path], np.concatenate([[0.0], np.cumsum(table.logq[path])])
+        pieces, falls = table.piece[path], np.concatenate([[0.0], np.cumsum(table.logq[path], dtype=np.float64)])
         for i in live.tolist():
             a, b = at[i], at[i + 1]
             own = falls[a : b + 1] - falls[a]
@@ -316,7 +314,7 @@ def spelled(ids: np.ndarray, voc) -> np.ndarray:
         return ids
     if not hasattr(voc, "byte_ids"):
         voc.byte_ids = np.array([voc.bytes[b] for b in range(256)], np.int32)
-    code = np.where(ids[over] - voc.size == ord(_LITERAL), ord(BLANK), ids[over] - voc.size)
+    code = ids[over] - voc.size
     n = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
     size = np.ones(len(ids), np.int64)
     size[over] = n
