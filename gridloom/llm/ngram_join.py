@@ -7,8 +7,8 @@ Chosen paths: in each of RUNS runs a set chooses one of its tokens as the smalle
 under a hash that depends on the path so far, DEPTH times. Sets that chose the same path share a bucket. Two sets that share 0.8 of
 their tokens choose alike with that chance at each step. Buckets of at most BUCKET sets are compared at once by brute force
 over sketches; larger ones are split by the next token of the path. A bucket that is still larger at the last depth is compared with its
-leaders: sets less similar to all earlier leaders than LIKE become leaders, and every set is tied to all leaders it could
-share a neighbour with, so that no pair above the threshold is parted and nothing is dropped. The runs are repeated to a
+leaders: sets less similar to all earlier leaders than LEADER become leaders, and every set is tied to all leaders it could
+share a neighbour with (Jaccard distance is a metric), so that no pair above the threshold is parted and nothing is dropped. The runs are repeated to a
 recall of 1 - (1 - 0.8**d)**RUNS for a pair that is split d times (above 1 - 1e-8 for d = 1).
 
 Sketches (the smallest hash in each of 64 ranges, a byte each) only propose; with ties they form candidate components. Inside these all
@@ -37,8 +37,8 @@ from gridloom.llm.components import connected_components
 SHINGLE = 5
 RUNS, DEPTH, BUCKET = 12, 4, 256
 BINS, NONE = 64, 255
-#: Sketch similarities: of a candidate pair, and of a set that could share a neighbour with a leader.
-LIKE, NEAR = 0.55, 0.3
+#: Sketch similarities: of a candidate pair, of a set that its leader stands for, and of one that could share a neighbour with a leader.
+LIKE, LEADER, NEAR = 0.55, 0.8, 0.4
 #: Sets and tokens of a block of a large component.
 BLOCK_SETS, BLOCK_TOKENS = 2048, 4_000_000
 #: Rows about candidates are broadcast up to this number (24 bytes each).
@@ -130,21 +130,33 @@ def _within(reps: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class _Leaders:
-    """Leaders of a bucket too large to compare; only they are held."""
+    """Leaders of a bucket too large to compare; only they are held, with the component that each is known to lie in."""
 
     def __init__(self) -> None:
-        self.reps, self.sketches = np.empty(64, np.int64), np.empty((64, BINS), np.uint8)
-        self.n = 0
+        self.reps, self.sketches, self.root = np.empty(64, np.int64), np.empty((64, BINS), np.uint8), []
+
+    def _find(self, k: int) -> int:
+        while self.root[k] != k:
+            self.root[k] = self.root[self.root[k]]
+            k = self.root[k]
+        return k
 
     def tie(self, rep: int, sketch: np.ndarray) -> list[tuple[int, int]]:
-        alike = _alike(sketch[None, :], self.sketches[: self.n])
-        out = [(rep, int(r)) for r in self.reps[: self.n][alike >= NEAR] if r != rep]
-        if not (alike >= LIKE).any():
-            if self.n == len(self.reps):
+        """One tie to the components of all leaders that could share a neighbour with the set, which become one."""
+        n = len(self.root)
+        alike = _alike(sketch[None, :], self.sketches[:n])
+        out, roots = [], sorted({self._find(k) for k in np.flatnonzero(alike >= NEAR).tolist()})
+        for k in roots[1:]:
+            self.root[k] = roots[0]
+            out.append((int(self.reps[k]), int(self.reps[roots[0]])))
+        if roots and self.reps[roots[0]] != rep:
+            out.append((rep, int(self.reps[roots[0]])))
+        if not (alike >= LEADER).any():
+            if n == len(self.reps):
                 self.reps = np.concatenate([self.reps, np.empty_like(self.reps)])
                 self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
-            self.reps[self.n], self.sketches[self.n] = rep, sketch
-            self.n += 1
+            self.reps[n], self.sketches[n] = rep, sketch
+            self.root.append(roots[0] if roots else n)
         return out
 
 

@@ -236,7 +236,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     """For each text its sampled segmentations, best first: (piece ids, log probability, perturbed value); one more value, without pieces, is the threshold."""
     cut = [parts_of(t) if t else [] for t in texts]
     coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(table.known) > _TABLE_PARTS:
         table.clear()
     fresh = sorted(p for p in distinct if p not in table.known)

@@ -168,7 +168,7 @@ def learn(rows: list[tuple], most_rules: int = 12, most_conditions: int = 4, lea
         return []
     raw = {s: np.array([r[2 + i] for r in rows], float) for i, s in enumerate(STATISTICS)}
     x = np.stack([raw[t] if b is None else np.where(raw[b] > 0, raw[t] / np.maximum(raw[b], 1), 0.0) for _, t, b in RATIOS], 1)
-    held = np.arange(len(rows)) % 3 == 0
+    held = np.random.default_rng(9).permutation(len(rows)) % 3 == 0
     rules: list[Rule] = []
     left = np.ones(len(rows), bool)
     while len(rules) < most_rules and (left & ~held & bad).sum() >= 3:
