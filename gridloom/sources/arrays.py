@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from gridloom.functions.keys import V2_ARRAY_KEY, V2_ATTRIBUTES_KEY, V2_GROUP_KEY, V3_KEY, check_path, node_key, node_key_column
 from gridloom.operators.frame import ArrayFrame, _arrow_of, _per_chunk, index_names
 from gridloom.plans.meta import ArrayMeta, GroupMeta, MetadataError, array_to_v3, group_to_v3
+from gridloom.plans.shared import written
 from gridloom.sources.store import SparkStore, Store
 
 
@@ -42,13 +44,10 @@ def erase_node(store: Store, path: str, which: str = "all") -> None:
 def blob_chunks(store: SparkStore, path: str, meta: ArrayMeta) -> DataFrame:
     """c0.., key, value of an array's stored chunks; chunk numbers come from the keys."""
     prefix = "" if path == "/" else path[1:]
-    encoding, c = meta.keys, index_names(meta.dims, "c")
+    c = index_names(meta.dims, "c")
     key = F.col("key") if not prefix else F.expr(f"substring(key, {len(prefix) + 2})")
     blobs = store.blobs(prefix).withColumn("_key", key)
-    lead = f"{encoding.prefix}\\{encoding.separator}" if encoding.prefix else ""
-    tail = encoding.suffix.replace(".", "\\.")
-    number = "(\\d+)"
-    pattern = f"^{lead}{f'\\{encoding.separator}'.join([number] * meta.dims)}{tail}$" if c else f"^{encoding.alone}{tail}$"
+    pattern = chunk_pattern(meta)
     found = blobs.where(F.col("_key").rlike(pattern))
     return found.select(*(F.regexp_extract("_key", pattern, k + 1).cast("long").alias(n) for k, n in enumerate(c)), "key", "value")
 
@@ -72,19 +71,27 @@ def open_array(store: SparkStore, path: str = "/") -> ArrayFrame:
 
 
 def save_array(store: SparkStore, path: str, frame: ArrayFrame) -> int:
-    """Writes metadata and chunks; stored chunks that the frame lacks are erased. The number of chunks written."""
+    """Writes metadata and chunks; stored chunks that the frame lacks are erased. The number of chunks written.
+
+    Encoded chunks are staged in the shared folder first, so that a frame read from this store can be written back to it. Chunks never pass the driver.
+    """
+    staged = written(frame.encode().select(node_key_column(path, F.col("key")).alias("key"), "value"))
     write_node(store, path, frame.meta)
-    blobs = frame.encode().select(node_key_column(path, F.col("key")).alias("key"), "value").persist()
-    try:
-        kept = {r["key"] for r in blobs.select("key").toLocalIterator()}
-        n = store.write_blobs(blobs)
-    finally:
-        blobs.unpersist()
     prefix = "" if path == "/" else path[1:] + "/"
-    for k in store.list_prefix(prefix):
-        if k not in kept and frame.meta.keys.chunk(k[len(prefix) :]) is not None:
-            store.erase(k)
-    return n
+    old = store.listing().where(F.col("key").startswith(prefix)).select("key")
+    below = F.expr(f"substring(key, {len(prefix) + 1})")
+    stale = old.where(below.rlike(chunk_pattern(frame.meta))).join(staged.select("key"), "key", "left_anti")
+    store.erase_keys(stale).count()
+    return store.write_blobs(staged).count()
+
+
+def chunk_pattern(meta: ArrayMeta) -> str:
+    """A regular expression of an array's chunk keys, with a group for each chunk number."""
+    encoding = meta.keys
+    between = re.escape(encoding.separator)
+    lead = re.escape(encoding.prefix) + between if encoding.prefix else ""
+    numbers = between.join(["(\\d+)"] * meta.dims)
+    return f"^{lead}{numbers}{re.escape(encoding.suffix)}$" if meta.dims else f"^{re.escape(encoding.alone + encoding.suffix)}$"
 
 
 def encoded_chunks(store: SparkStore, path: str, numbers: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Stores: flat key to bytes maps. On the driver for metadata, and as DataFrames for chunks.
 
 A store's root is any path that Spark reads; listings and blobs come through Spark's `binaryFile` source, so the executors need no
-file system of their own. Writes go through Hadoop's file system from the executors' results, one file for each key, by a temporary name and a rename.
+file system of their own. Executors write values by Arrow's file systems, to a temporary name that is then moved; the driver writes metadata.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -170,8 +171,25 @@ class SparkStore(Store):
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{prefix}".rstrip("/"))
         return files.select(F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})").alias("key"), F.col("content").alias("value"))
 
-    def write_blobs(self, blobs: DataFrame) -> int:
-        """Writes key, value rows, streaming them partition by partition; the number of keys written."""
+    @property
+    def uri(self) -> str:
+        """The root with its scheme."""
+        return self._fs.makeQualified(self._path(self.root)).toUri().toString()
+
+    def write_blobs(self, blobs: DataFrame) -> DataFrame:
+        """Writes key, value rows from the executors; a lazy DataFrame of the keys written.
+
+        Each value goes to a temporary name and is moved over the old one, so repeated and speculative tasks do no harm. File systems that
+        Arrow can't write (it knows local, hdfs, s3 and gs) go by `write_blobs_here`.
+        """
+        return blobs.select("key", "value").mapInArrow(_writer(self.uri), "key string")
+
+    def erase_keys(self, keys: DataFrame) -> DataFrame:
+        """Deletes keys from the executors; a lazy DataFrame of them."""
+        return keys.select("key").mapInArrow(_eraser(self.uri), "key string")
+
+    def write_blobs_here(self, blobs: DataFrame) -> int:
+        """Writes key, value rows by the driver, one partition at a time."""
         n = 0
         for r in blobs.select("key", "value").toLocalIterator(prefetchPartitions=True):
             self.set(r["key"], bytes(r["value"]))
@@ -179,6 +197,44 @@ class SparkStore(Store):
         return n
 
 
+def _opened(uri: str):
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
+def _writer(uri: str):
+    def run(batches):
+        files, root = _opened(uri)
+        for b in batches:
+            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = f"{root}/{key}"
+                files.create_dir(at.rpartition("/")[0], recursive=True)
+                # hidden from listings until it is moved
+                part = f"{at.rpartition('/')[0]}/_{uuid.uuid4().hex}.part"
+                with files.open_output_stream(part) as f:
+                    f.write(value)
+                files.move(part, at)
+            yield b.select(["key"])
+
+    return run
+
+
+def _eraser(uri: str):
+    def run(batches):
+        files, root = _opened(uri)
+        for b in batches:
+            for key in b.column(0).to_pylist():
+                if files.get_file_info(f"{root}/{key}").is_file:
+                    files.delete_file(f"{root}/{key}")
+            yield b.select(["key"])
+
+    return run
+
+
 @dataclass
 class Metrics:
     bytes_read: int = 0

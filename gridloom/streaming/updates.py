@@ -24,12 +24,7 @@ def merge_cells(store: SparkStore, path: str, cells: DataFrame, order: str | Non
         return
     latest = cells.groupBy(*names).agg((F.max_by("v", order) if order else F.max("v")).alias("v"))
     box = Box.including([bounds[f"min_{n}"] for n in names], [bounds[f"max_{n}"] for n in names])
-    updated = frame.store_cells(latest, box)
-    # read before its files are replaced
-    kept = updated.cached()
-    kept.chunks.count()
-    save_array(store, path, kept)
-    kept.release()
+    save_array(store, path, frame.store_cells(latest, box))
 
 
 def stream_cells(cells: DataFrame, store: SparkStore, path: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
