@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.plans.shared import checkpointed, shared_folder, written
+
+__all__ = ["checkpointed", "claim", "crc_mod", "labelled_texts", "logistic_1d", "map_texts", "sampled_by_class", "shared_folder", "sigmoid", "table", "tune", "unit_hash", "written"]
+
 #: Words are runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -22,12 +27,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Reads a table with only the named columns, so that extra ones never reach an operator."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -91,6 +90,22 @@ def map_texts(df: DataFrame, text: str, fn: Callable[..., Sequence[pa.Array]], f
     return df.select(*dict.fromkeys([*kept, *read])).mapInArrow(run, schema)
 
 
+_owner: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Gives this worker's memory to one operator: what another one has stored goes first, since workers outlive stages."""
+    if name not in _owner:
+        for drop in _owner.values():
+            drop()
+        _owner.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _owner[name] = clear
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -50, 50)))
 
@@ -113,17 +128,3 @@ def logistic_1d(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
             break
     return float(beta[0]), float(beta[1])
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where spark.checkpoint.dir is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return context.getCheckpointDir()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a table in the shared folder; columns that a later plan doesn't need aren't read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import labelled_texts, logistic_1d, map_texts, sigmoid
+from gridloom.llm.common import claim, labelled_texts, logistic_1d, map_texts, sigmoid
 
-BLOCK = 2048
+BLOCK = 512
 LEVEL = 3
 
 
@@ -54,6 +54,7 @@ _compressors: dict[tuple[int, int], tuple] = {}
 def _pair(model: CompressionModel) -> tuple:
     key = (hash(model.good), hash(model.bad))
     if key not in _compressors:
+        claim("compression", _compressors.clear)
         _compressors.clear()
         made = []
         for content in (model.good, model.bad):
@@ -77,7 +78,7 @@ def difference(model: CompressionModel, text: str | None) -> float:
     return (b - g) / (b + g)
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column, label: str = "quality", per_class: int = 500, dictionary_bytes: int = 64 << 10) -> CompressionModel:
+def fit(docs: DataFrame, labels: DataFrame, trainable: Column, label: str = "quality", per_class: int = 1000, dictionary_bytes: int = 110 << 10) -> CompressionModel:
     """Fits on about per_class labelled documents of each class, chosen by hash: every other one feeds a dictionary, the rest the curve."""
     sample, counts = labelled_texts(docs, labels, label, trainable, per_class)
     seen = {int(k): v for k, v in counts.items()}

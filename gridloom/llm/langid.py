@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import map_texts, sampled_by_class
+from gridloom.llm.common import claim, map_texts, sampled_by_class
 from gridloom.llm.pieces import BLANK, by_length, default_vocabulary, vocabulary
 
 MOST = 40
@@ -134,6 +134,7 @@ _words: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
 def _rows(model: LanguageModel, texts: list[list[str]]) -> tuple[dict[str, int], np.ndarray]:
     """The worker's store of word scores, with every word of the texts in it."""
+    claim("language", _words.clear)
     known, scores = _words.get(model.key) or ({}, np.empty((0, len(model.languages))))
     new: set[str] = set()
     for words in texts:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import words as W
-from gridloom.llm.common import map_texts, written
+from gridloom.llm.common import claim, map_texts, written
 from gridloom.llm.components import connected_components
 
 SHINGLE = 5
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
     fields = [T.StructField("n", T.IntegerType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.BinaryType())]
 
     def run(column: pa.Array):
+        claim("shingles", lambda: None)
         n, a, b, sketch, paths = [], [], [], [], []
         for s in shingle_sets(*W.buffers(column)):
             n.append(len(s))

@@ -28,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridloom.llm.common import claim, map_texts
 from gridloom.llm.pieces import BLANK, code_points, default_vocabulary, vocabulary
 from gridloom.llm.words import mix
 
 MOST = 40
 #: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
 _PART = re.compile(rf" ?[^\W\d_]{{1,{MOST}}}| ?(?:[^\w \n{BLANK}]|[\d_]){{1,{MOST}}}|[ \n{BLANK}]")
-_TABLE_PARTS = 300_000
-_TOGETHER = 3 << 20
+_TABLE_PARTS = 220_000
+_TOGETHER = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -348,6 +349,7 @@ def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "t
     schema = T.StructType([*(docs.schema[c] for c in kept), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces", _tables.clear)
         table = _tables.setdefault((path, alpha), Lattices(path, alpha))
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
@@ -397,8 +399,6 @@ def hash_key(key) -> int:
 
 def decode(rows: DataFrame, keep: list[str], pieces: str = "pieces", path: str | None = None) -> DataFrame:
     """Appends `decoded`, the text of each row's pieces; null pieces give null."""
-    from gridloom.llm.common import map_texts
-
     path = path or default_vocabulary()
     run = lambda column: [pa.array([None if ids is None else decode_ids(ids, path) for ids in column.to_pylist()], pa.string())]
     return map_texts(rows, pieces, run, [T.StructField("decoded", T.StringType())], keep)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from gridloom.llm.common import labelled_texts, logistic_1d, map_texts, sigmoid
+from gridloom.llm.common import claim, labelled_texts, logistic_1d, map_texts, sigmoid
 
 WINDOW = 7
 DECAY = 0.6
@@ -281,6 +281,7 @@ _words: dict[str, dict[str, float]] = {}
 
 def values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
     """The largest window decision of each text; words are scored once per worker."""
+    claim("toxicity", _words.clear)
     known = _words.setdefault(model.key, {})
     out = np.full(len(texts), model.bias)
     if len(model.weight) == 1:
