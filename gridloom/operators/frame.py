@@ -399,6 +399,15 @@ def all_fill(a: np.ndarray, meta: ArrayMeta) -> bool:
     return same_bits(a, meta.fill)
 
 
+def dump(frame: ArrayFrame) -> DataFrame:
+    """lin, json: all elements in C order as JSON values; sort by lin to print them."""
+    lin = F.lit(0).cast("long")
+    for n, e in zip(frame.i, frame.meta.shape, strict=True):
+        lin = lin * e + F.col(n)
+    text = F.coalesce(F.regexp_extract(F.to_json(F.struct("v")), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))
+    return frame.value_view().select(lin.alias("lin"), F.when(F.col("v").isNull(), "null").otherwise(text).alias("json"))
+
+
 def transposed(frame: ArrayFrame, order: Sequence[int]) -> DataFrame:
     """Cells with permuted indices: a renaming, without work."""
     names = frame.i

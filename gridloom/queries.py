@@ -477,6 +477,37 @@ def datetime_view(spark, sf_dir):
     return f.time_view(ArrayFrame.decode(f.meta, f.encode(), f.element).value_view())
 
 
+@query("SELECT d.i AS lin, coalesce(quality::VARCHAR, 'null') AS json FROM generate_series(0, (SELECT max(doc_id) FROM documents)) d(i) LEFT JOIN labels ON doc_id = i")
+def dump(spark, sf_dir):
+    return FR.dump(labels(spark, sf_dir))
+
+
+@query("SELECT c AS c0, 'c/' || c AS key, EXISTS (SELECT 1 FROM labels WHERE doc_id // 64 = c) AS stored FROM generate_series(0, (SELECT max(doc_id) // 64 FROM documents)) g(c)")
+def encoded_chunks(spark, sf_dir):
+    """Which chunks of the whole grid are stored, by their encoded values."""
+    f = labels(spark, sf_dir)
+    numbers = f.meta.grid.rows(spark, ["c0"])
+    held = numbers.join(f.encode().drop("key"), ["c0"], "left")
+    return held.select("c0", f.meta.keys.column([F.col("c0")]).alias("key"), F.col("value").isNotNull().alias("stored"))
+
+
+@query("SELECT p_partkey AS i0, (p_size * 2)::SMALLINT AS v FROM part")
+def mapped_chunks(spark, sf_dir):
+    """A numpy function over decoded chunks."""
+    f = sizes(spark, sf_dir)
+    return f.mapped(f.meta, lambda a: a * 2, T.ShortType()).value_view()
+
+
+@query(f"SELECT i0 // 25 AS c0, i1 // 8 AS c1, count(*) AS n, round(sum(v), 6) AS total FROM ({_E}) GROUP BY ALL")
+def rechunk(spark, sf_dir):
+    """Another chunk grid for the same cells."""
+    f = embeddings(spark, sf_dir)
+    meta = replace(f.meta, chunk_grid={"name": "regular", "configuration": {"chunk_shape": [25, 8]}}).bound()
+    chunks = ArrayFrame.from_cells(meta, f.value_view()).chunks
+    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return chunks.select("c0", "c1", F.size("data").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
 # hierarchies
 
 

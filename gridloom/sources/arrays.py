@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.keys import V2_ARRAY_KEY, V2_ATTRIBUTES_KEY, V2_GROUP_KEY, V3_KEY, check_path, node_key, node_key_column
+from gridloom.operators import hierarchy as H
 from gridloom.operators.frame import ArrayFrame, _arrow_of, _per_chunk, index_names
 from gridloom.plans.meta import ArrayMeta, GroupMeta, MetadataError, array_to_v3, group_to_v3
 from gridloom.plans.shared import written
@@ -41,6 +42,30 @@ def erase_node(store: Store, path: str, which: str = "all") -> None:
     store.erase_many(node_key(path, k) for k in (keys.get(which) or keys["v3"] + keys["v2"]))
 
 
+def open_hierarchy(store: SparkStore, path: str = "/", use_consolidated: str = "auto") -> DataFrame:
+    """Nodes at and below a path. Consolidated metadata spares the listing: "auto" where there is some, "must" or an error, "never".
+
+    A consolidated document may be older than the store; it is taken as it stands.
+    """
+    root = read_node(store, path)
+    inline = isinstance(root, GroupMeta) and root.consolidated is not None
+    if use_consolidated == "must" and not inline:
+        raise MetadataError(f"no consolidated metadata at {path}")
+    if inline and use_consolidated != "never":
+        return H.consolidated_nodes(store.spark, root, path)
+    return H.traverse(H.nodes_of(store.blobs()), path)
+
+
+def consolidate_group(store: SparkStore, path: str = "/") -> GroupMeta:
+    """Gathers the metadata below a group into the group's own document."""
+    root = read_node(store, path)
+    if not isinstance(root, GroupMeta):
+        raise MetadataError(f"no group at {path}")
+    made = GroupMeta(root.attributes, H.consolidate(open_hierarchy(store, path, "never"), path), root.additional)
+    write_node(store, path, made)
+    return made
+
+
 def blob_chunks(store: SparkStore, path: str, meta: ArrayMeta) -> DataFrame:
     """c0.., key, value of an array's stored chunks; chunk numbers come from the keys."""
     prefix = "" if path == "/" else path[1:]

@@ -14,7 +14,7 @@ from gridloom.operators import hierarchy as H
 from gridloom.operators.frame import ArrayFrame
 from gridloom.plans.meta import ArrayBuilder, ArrayMeta, GroupMeta, MetadataError, array_to_v3
 from gridloom.registry import UnsupportedExtension
-from gridloom.sources.arrays import compacted, open_array, read_node, save_array, subchunk_bytes, write_node
+from gridloom.sources.arrays import compacted, consolidate_group, encoded_chunks, open_array, open_hierarchy, read_node, save_array, subchunk_bytes, write_node
 from gridloom.sources.store import LoggedStore, MemoryStore, MeteredStore, RangeError, ReadOnlyStore, SparkStore, byte_range
 
 
@@ -141,6 +141,13 @@ def test_store_and_open(spark, tmp_path):
     root = GroupMeta(consolidated=H.consolidate(nodes))
     write_node(store, "/", root)
     assert [r["path"] for r in H.children(H.consolidated_nodes(spark, read_node(store, "/")), "/", True).collect()] == ["/a/board"]
+    listed = [r["path"] for r in open_hierarchy(store, "/", "never").collect()]
+    assert listed == ["/", "/a/board"] and {r["path"] for r in open_hierarchy(store).collect()} == set(listed)
+    with pytest.raises(MetadataError):
+        open_hierarchy(store, "/a/board", "must")
+    assert list(consolidate_group(store).consolidated) == ["a/board"]
+    found = encoded_chunks(store, "/a/board", f.meta.grid.rows(spark, ["c0", "c1"])).collect()
+    assert sorted((r["c0"], r["c1"]) for r in found if r["value"] is not None) == [(0, 1), (1, 0)]
     parts = subchunk_bytes(f.meta, f.encode()).collect()
     assert len(parts) == 10 and all(len(p["value"]) == 1 for p in parts)
     assert not compacted(f.meta, f.encode()).where("changed").count()
