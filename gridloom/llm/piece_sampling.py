@@ -35,7 +35,7 @@ from gridloom.llm.words import mix
 MOST = 40
 #: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
 _PART = re.compile(rf" ?[^\W\d_]{{1,{MOST}}}| ?(?:[^\w \n{BLANK}]|[\d_]){{1,{MOST}}}|[ \n{BLANK}]")
-_TABLE_PARTS = 220_000
+_TABLE_PARTS = 160_000
 _TOGETHER = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,7 +46,10 @@ def parts_of(text: str) -> list[str]:
 
 
 class Lattices:
-    """Lattices of distinct parts as one table: a state for each part and position, its edges with cumulative probabilities above the state's number."""
+    """Lattices of distinct parts as one table: a state for each part and position, its edges with cumulative probabilities.
+
+    A part's numbers depend on the part alone, so draws don't depend on what else the table holds.
+    """
 
     def __init__(self, path: str, alpha: float):
         self.voc, self.alpha = vocabulary(path), alpha
@@ -103,13 +106,12 @@ class Lattices:
         for start in range(n - 1, -1, -1):
             weight[:, start, :] *= beta[:, start + width : start : -1]
             beta[:, start] = weight[:, start, :].sum(1)
+        share = weight / beta[:, :n, None]
         held = np.flatnonzero(weight.ravel() > 0)
         state, back = np.divmod(held, width)
-        q = weight.ravel()[held] / beta[:, :n].ravel()[state]
+        q, cum = share.ravel()[held], np.cumsum(share, 2).ravel()[held]
         last = np.cumsum(np.bincount(state, minlength=m * n))
-        # every state's probabilities sum to 1, so the running sum is the state's number plus the cumulative probability
-        cum = states + np.cumsum(q)
-        cum[last - 1] = states + np.arange(1, m * n + 1)
+        cum[last - 1] = 1.0
         step = width - back
         step[state % n + step == n] = 0  # how far the next state is; 0: the part ends
         return states + n * np.arange(m), edges + last, cum, ids.ravel()[held], step.astype(np.int8), np.minimum(np.log(q), 0.0).astype(np.float32)
@@ -131,7 +133,9 @@ def _walk(t: Lattices, part: np.ndarray, state: np.ndarray, key: np.ndarray, sam
     out: tuple[list, list, list] = ([], [], [])
     count = begin.copy()
     while len(part):
-        x = state + np.minimum(_uniform(key, count + (sample << 32)), 1 - 2.0**-27)
+        h = (key ^ (count + (sample << 32)).astype(np.uint64) * _ODD) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        x = (h >> np.uint64(11)) * 2.0**-53  # below 1, where the last edge's cumulative probability stands
         edge = t.first[state]
         late = np.flatnonzero(t.cum[edge] <= x)
         while len(late):
@@ -167,37 +171,40 @@ class _Search:
     path, from one step on, without the steps already opened. The latter's mass telescopes, so opening one costs a binary search.
     """
 
-    def __init__(self, table: Lattices, seed: np.ndarray):
+    def __init__(self, table: Lattices, seed: int):
         self.t, self.seed, self.drawn, self.nodes = table, seed, 0, []
-        self.u = iter(())
 
     def draw(self) -> float:
-        for u in self.u:
-            return u
-        self.u = iter(_uniform(np.repeat(self.seed, 16), np.arange(self.drawn, self.drawn + 16), 77).tolist())
-        self.drawn += 16
-        return next(self.u)
+        """The next number in (0, 1) of the text's own sequence."""
+        self.drawn += 1
+        x = self.seed + self.drawn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+        return (((x ^ x >> 31) >> 11) + 0.5) / (1 << 53)
 
     def rest(self, bound: float, path: np.ndarray, falls: np.ndarray, begin: int, opened: tuple[int, ...]) -> None:
         """falls: log masses of the path's prefixes, one more than steps."""
         mass = -math.expm1(falls[-1] - falls[begin]) - sum(self._own(falls, begin, s) for s in opened)
         if mass > 1e-15:
-            self.nodes.append((_under(bound, falls[begin] + math.log(mass), self.draw()), path, falls, begin, opened, None))
+            self.nodes.append((_under(bound, float(falls[begin]) + math.log(mass), self.draw()), path, falls, begin, opened, None))
 
     @staticmethod
     def _own(falls: np.ndarray, begin: int, step: int) -> float:
         return math.exp(falls[step] - falls[begin]) * -math.expm1(falls[step + 1] - falls[step])
 
     def siblings(self, bound: float, path: np.ndarray, falls: np.ndarray, step: int, taken: tuple[int, ...]) -> None:
-        edges = self._edges(path[step], taken)
-        left = float(np.exp(self.t.logq[edges], dtype=np.float64).sum())
+        edges = self._edges(int(path[step]), taken)
+        left = sum(self._shares(edges))
         if left > 0:
             self.nodes.append((_under(bound, float(falls[step]) + math.log(left), self.draw()), path, falls, step, taken, edges))
 
-    def _edges(self, edge: int, taken: tuple[int, ...]) -> np.ndarray:
-        # an edge's cumulative probability lies above its state's number, by at most one
-        state = math.ceil(self.t.cum[edge]) - 1
-        return np.setdiff1d(np.arange(self.t.first[state], self.t.first[state + 1]), taken)
+    def _edges(self, edge: int, taken: tuple[int, ...]) -> list[int]:
+        """The edges beside this one, without those taken."""
+        state = int(np.searchsorted(self.t.first, edge, "right")) - 1
+        return [e for e in range(int(self.t.first[state]), int(self.t.first[state + 1])) if e not in taken]
+
+    def _shares(self, edges: list[int]) -> list[float]:
+        return [math.exp(x) for x in self.t.logq[edges].tolist()]
 
     def take(self) -> tuple[float, np.ndarray, np.ndarray, int, int] | None:
         """Opens the best node: its value, the path and its falls, the step and the edge where the new segmentation leaves it."""
@@ -220,11 +227,16 @@ class _Search:
                 step -= 1
             self.rest(value, path, falls, begin, (*opened, step))
             taken = (int(path[step]),)
-            edges = self._edges(path[step], taken)
-            if not len(edges):  # a step without siblings has no mass; only rounding leads here
+            edges = self._edges(taken[0], taken)
+            if not edges:  # a step without siblings has no mass; only rounding leads here
                 return self.take()
-        q = np.exp(self.t.logq[edges], dtype=np.float64)
-        chosen = int(edges[min(int(np.searchsorted(np.cumsum(q), self.draw() * q.sum(), "right")), len(edges) - 1)])
+        q = self._shares(edges)
+        r, chosen = self.draw() * sum(q), edges[-1]
+        for e, p in zip(edges, q, strict=True):
+            r -= p
+            if r < 0:
+                chosen = e
+                break
         if len(edges) > 1:
             self.siblings(value, path, falls, step, (*taken, chosen))
         return value, path, falls, step, chosen
@@ -255,7 +267,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     at = at_part[bounds]
     top = -np.log(-np.log(_uniform(seeds, 5)))
     live = np.flatnonzero(np.diff(bounds) > 0)
-    search = {i: _Search(table, seeds[i : i + 1]) for i in live.tolist()}
+    search = {i: _Search(table, int(seeds[i])) for i in live.tolist()}
     begin = np.zeros(len(texts), np.int64)
     out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
     for s in range(k):
@@ -284,7 +296,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
             kept_number.append(np.arange(step + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths))
             kept_edge.append(np.append(old[:step], chosen))
             if table.next[chosen]:
-                state = math.ceil(table.cum[chosen]) - 1
+                state = int(np.searchsorted(table.first, chosen, "right")) - 1
                 go_part.append(np.array([bounds[i] + done]))
                 go_state.append(np.array([state + int(table.next[chosen])]))
                 go_begin.append(lengths[-1:])
@@ -363,6 +375,7 @@ def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "t
                     end += 1
                 yield _batch(b.slice(start, end - start), sample(texts[start:end], seeds[start:end], k, table))
                 start = end
+            pa.default_memory_pool().release_unused()
 
     def _batch(b: pa.RecordBatch, found) -> pa.RecordBatch:
         voc = vocabulary(path)
