@@ -38,9 +38,9 @@ SHINGLE = 5
 RUNS, DEPTH, BUCKET = 12, 4, 256
 BINS, NONE = 64, 255
 #: Sketch similarities: of a candidate pair, of a set that its leader stands for, and of one that could share a neighbour with a leader.
-LIKE, LEADER, NEAR = 0.55, 0.8, 0.4
+LIKE, LEADER, NEAR = 0.55, 0.85, 0.52
 #: Sets and tokens of a block of a large component.
-BLOCK_SETS, BLOCK_TOKENS = 2048, 4_000_000
+BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 #: Rows about candidates are broadcast up to this number (24 bytes each).
 BROADCAST_ROWS = 500_000
 SALTS = 32
@@ -113,9 +113,12 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _smallest(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the smallest index in its component."""
-    label = np.arange(len(linked))
+    n = len(linked)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        low = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        low = label.copy()
+        for r in range(0, n, 256):
+            low[r : r + 256] = np.minimum(label[r : r + 256], np.where(linked[r : r + 256], label, np.int32(n)).min(1))
         low = low[low]
         if (low == label).all():
             return label
@@ -283,11 +286,15 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = np.array([rows[r][1] for r in reps])
         sets = [np.frombuffer(rows[r][2], np.uint64) for r in reps]
         size = np.array([len(s) for s in sets], np.float32)
-        linked = 9.0 * _common(sets) >= 4.0 * (size[:, None] + size[None, :])
+        common = _common(sets)
+        linked = np.empty(common.shape, bool)
+        for r in range(0, len(sets), 256):
+            linked[r : r + 256] = 9.0 * common[r : r + 256] >= 4.0 * (size[r : r + 256, None] + size)
+        del common
         np.fill_diagonal(linked, False)
         if unit[1] != unit[2]:
             linked &= block[:, None] != block[None, :]
-        links = linked @ copies
+        links = np.concatenate([linked[r : r + 256] @ copies for r in range(0, len(sets), 256)])
         reps = np.array(reps, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links), pa.array(reps[_smallest(linked)]), pa.array(np.full(len(reps), unit[3], np.int32))], schema=schema)
 

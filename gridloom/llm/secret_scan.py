@@ -169,6 +169,8 @@ def labelled_findings(n: int = 1600, seed: int = 13) -> list[tuple[str, str, int
             ][kind]()
             lead = {0: name + sign + q, 1: r.choice(["commit ", "sha256: ", "md5 ", "checksum ", "revision ", "digest: ", "etag "]), 2: r.choice(["uuid ", "id: ", "guid=", ""]), 3: name + sign + q, 5: r.choice(["example ", "sample ", ""])}.get(kind, "")
         head = prose(r.randint(1, 8)) + " " + lead
+        if good and r.random() < 0.2:  # such words stand near keys, too
+            q += " " + prose(1) + " " + r.choice(HARMLESS)
         rows.append((head + value + q + " " + prose(r.randint(0, 6)), r.choice(paths), len(head), len(head) + len(value), int(good)))
     return rows
 
