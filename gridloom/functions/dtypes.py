@@ -40,6 +40,11 @@ class DataType:
     def is_float(self) -> bool:
         return self.small is not None or self.numpy.kind == "f"
 
+    @property
+    def is_plain(self) -> bool:
+        """Numbers whose column values convert as whole buffers."""
+        return self.inner is None and self.small is None and self.numpy.kind in "biuf" and self.name not in ("bfloat16", "uint64")
+
     def fill(self, value):
         """The element of a JSON fill value."""
         if self.inner is not None:

@@ -285,14 +285,14 @@ class ArrayFrame:
         c = index_names(meta.dims, "c")
         schema = T.StructType([*(blobs.schema[n] for n in c), T.StructField("data", T.ArrayType(element))])
         arrow = pa.list_(_arrow_of(element))
-        run = _per_chunk(meta, lambda chain, shape, value: from_numpy(chain.decode(value), meta.dtype), "value", arrow, "data", drop=("key",))
+        run = _per_chunk(meta, lambda chain, shape, value: chain.decode(value), "value", arrow, "data", drop=("key",), chunks_of=meta.dtype)
         return ArrayFrame(meta, blobs.select(*c, "value").mapInArrow(run, schema))
 
     def mapped(self, meta: ArrayMeta, fn: Callable[[np.ndarray], np.ndarray], element: T.DataType) -> ArrayFrame:
         """Another array of the same grid, chunk by chunk through a numpy function."""
         schema = T.StructType([*(self.chunks.schema[n] for n in self.c), T.StructField("data", T.ArrayType(element))])
         own = self.meta
-        run = _per_chunk(own, lambda chain, shape, data: from_numpy(fn(to_numpy(data, own.dtype, shape)), meta.dtype), "data", pa.list_(_arrow_of(element)), "data", bound=False)
+        run = _per_chunk(own, lambda chain, shape, data: fn(to_numpy(data, own.dtype, shape)), "data", pa.list_(_arrow_of(element)), "data", bound=False, chunks_of=meta.dtype)
         return ArrayFrame(meta, self.chunks.mapInArrow(run, schema))
 
     # ends
@@ -326,8 +326,8 @@ def _arrow_of(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _per_chunk(meta: ArrayMeta, fn, column: str, arrow: pa.DataType, name: str, bound: bool = True, drop: tuple = ()):
-    """An Arrow stage that maps one column chunk by chunk; the chain is bound once for each chunk shape."""
+def _per_chunk(meta: ArrayMeta, fn, column: str, arrow: pa.DataType, name: str, bound: bool = True, drop: tuple = (), chunks_of: DataType | None = None):
+    """An Arrow stage that maps one column chunk by chunk; the chain is bound once for each chunk shape. chunks_of: fn gives chunks of this type."""
     c = index_names(meta.dims, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +341,25 @@ def _per_chunk(meta: ArrayMeta, fn, column: str, arrow: pa.DataType, name: str,
                     chains[shape] = meta.chain(shape)
                 made.append(fn(chains.get(shape), shape, values[k].as_py() if column == "value" else values[k]))
             kept = [n for n in b.schema.names if n != column and n not in drop]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), pa.array(made, arrow)], names=[*kept, name])
+            column_made = pa.array(made, arrow) if chunks_of is None else chunk_lists(made, arrow, chunks_of)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in kept), column_made], names=[*kept, name])
 
     return run
 
 
+def chunk_lists(chunks: list[np.ndarray], arrow: pa.DataType, dtype: DataType) -> pa.Array:
+    """Chunks as one Arrow list array; plain numbers go over as buffers, without Python values."""
+    if not dtype.is_plain:
+        return pa.array([from_numpy(c, dtype) for c in chunks], arrow)
+    offsets = np.concatenate([[0], np.cumsum([c.size for c in chunks])]).astype(np.int32)
+    flat = np.concatenate([c.ravel() for c in chunks]) if chunks else np.empty(0, dtype.numpy)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(arrow.value_type.to_pandas_dtype()), arrow.value_type))
+
+
 def to_numpy(values, dtype: DataType, shape: Sequence[int]) -> np.ndarray:
     """Column elements as a numpy array of the type; nulls of optional types are masked."""
+    if isinstance(values, pa.ListScalar) and dtype.is_plain and values.values.null_count == 0:
+        return values.values.to_numpy(zero_copy_only=False).astype(dtype.numpy).reshape(shape)
     values = values.as_py() if isinstance(values, pa.Scalar) else list(values)
     if dtype.inner is not None:
         mask = [v is None for v in values]
