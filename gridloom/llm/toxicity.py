@@ -108,16 +108,19 @@ def _norms(code: np.ndarray) -> np.ndarray:
 
 
 def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Normalised kernel matrix of windows, through a dense table of the subsequences of b."""
+    """Normalised kernel matrix of windows, through a dense table of the subsequences of b; the rows of a go in blocks."""
     ib, wb = _subsequences(b)
-    ia, wa = _subsequences(a)
     columns = np.unique(ib)
-    dense_b = np.zeros((len(b), len(columns)))
+    dense_b = np.zeros((len(b), len(columns)), np.float32)
     np.add.at(dense_b, (np.arange(len(b))[:, None], np.searchsorted(columns, ib)), wb)
-    place = np.minimum(np.searchsorted(columns, ia), len(columns) - 1)
-    dense_a = np.zeros((len(a), len(columns)))
-    np.add.at(dense_a, (np.arange(len(a))[:, None], place), np.where(columns[place] == ia, wa, 0.0))
-    return dense_a @ dense_b.T / np.outer(_norms(a), _norms(b))
+    out = np.empty((len(a), len(b)))
+    for r in range(0, len(a), 512):
+        ia, wa = _subsequences(a[r : r + 512])
+        place = np.minimum(np.searchsorted(columns, ia), len(columns) - 1)
+        dense_a = np.zeros((len(ia), len(columns)), np.float32)
+        np.add.at(dense_a, (np.arange(len(ia))[:, None], place), np.where(columns[place] == ia, wa, 0.0))
+        out[r : r + 512] = dense_a @ dense_b.T
+    return out / np.outer(_norms(a), _norms(b))
 
 
 @dataclass(frozen=True)
@@ -235,7 +238,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, label: str = "tox
     seen = {int(k): v for k, v in counts.items()}
     share = seen.get(1, 0) / max(1, sum(seen.values()))
     flat = ToxicityModel(np.zeros(1), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), "flat")
-    words = [([letters(t) for t in tokens(text)], y) for text, y in sample]
+    read: dict[str, str] = {}  # equal words are held once
+    words = [([read[t] if t in read else read.setdefault(t, letters(t)) for t in tokens(text)], y) for text, y in sample]
+    del read
     if len({y for _, y in words}) < 2:
         return flat
     parts = {y: [w for w, v in words if v == y] for y in (0, 1)}
