@@ -35,7 +35,7 @@ from gridloom.llm.words import mix
 MOST = 40
 #: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
 _PART = re.compile(rf" ?[^\W\d_]{{1,{MOST}}}| ?(?:[^\w \n{BLANK}]|[\d_]){{1,{MOST}}}|[ \n{BLANK}]")
-_TABLE_PARTS = 160_000
+_TABLE_PARTS = 200_000
 _TOGETHER = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,33 +59,41 @@ class Lattices:
         self.weight = weight**alpha
         self.unknown = (1e-8) ** alpha
         self.clear()
+        self.base, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.cum, self.piece, self.next, self.logq = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int8), np.empty(0, np.float32)
 
     def clear(self) -> None:
+        """Forgets all parts; the arrays stay for the next ones."""
         self.known: dict[str, int] = {}
-        self.base, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
-        self.cum, self.piece, self.next, self.logq = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int8), np.empty(0, np.float32)
+        self.states = self.edges = 0
+
+    def _append(self, name: str, start: int, values: np.ndarray) -> None:
+        """Writes values from a place on; the array grows by a quarter when it is full."""
+        own = getattr(self, name)
+        if start + len(values) > len(own):
+            larger = np.empty(max(start + len(values), len(own) + len(own) // 4), own.dtype)
+            larger[:start] = own[:start]
+            setattr(self, name, own := larger)
+        own[start : start + len(values)] = values
 
     def add(self, parts: Sequence[str]) -> None:
         """Enters new parts."""
         groups: dict[int, list[str]] = {}
         for p in parts:
             groups.setdefault(len(p), []).append(p)
-        made: list[list[np.ndarray]] = [[], [], [], [], [], []]
-        states, edges = len(self.first) - 1, len(self.cum)
-        for n, group in sorted(groups.items()):
+        for n, group in groups.items():
             width = min(n, self.voc.longest)
             most = max(20, 400_000 // (n * width))
             for i in range(0, len(group), most):
                 block = group[i : i + most]
+                base, first, *numbers = self._block(block, n, width, self.states, self.edges)
+                self._append("base", len(self.known), base)
+                self._append("first", self.states + 1, first)
+                for name, x in zip(("cum", "piece", "next", "logq"), numbers, strict=True):
+                    self._append(name, self.edges, x)
                 self.known.update(zip(block, range(len(self.known), len(self.known) + len(block)), strict=True))
-                base, first, cum, piece, step, logq = self._block(block, n, width, states, edges)
-                for to, x in zip(made, (base, first, cum, piece, step, logq), strict=True):
-                    to.append(x)
-                states += n * len(block)
-                edges += len(cum)
-        self.base = np.concatenate([self.base, *made[0]])
-        self.first = np.concatenate([self.first, *made[1]])
-        self.cum, self.piece, self.next, self.logq = (np.concatenate([old, *new]) for old, new in zip((self.cum, self.piece, self.next, self.logq), made[2:], strict=True))
+                self.states += n * len(block)
+                self.edges += len(numbers[0])
 
     def _block(self, block: list[str], n: int, width: int, states: int, edges: int):
         m = len(block)
@@ -200,7 +208,7 @@ class _Search:
 
     def _edges(self, edge: int, taken: tuple[int, ...]) -> list[int]:
         """The edges beside this one, without those taken."""
-        state = int(np.searchsorted(self.t.first, edge, "right")) - 1
+        state = int(np.searchsorted(self.t.first[: self.t.states + 1], edge, "right")) - 1
         return [e for e in range(int(self.t.first[state]), int(self.t.first[state + 1])) if e not in taken]
 
     def _shares(self, edges: list[int]) -> list[float]:
@@ -252,14 +260,15 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(table.known) > _TABLE_PARTS:
         table.clear()
-    fresh = sorted(p for p in distinct if p not in table.known)
-    if fresh:
-        table.add(fresh)
+    places = list(map(table.known.get, distinct))
+    if None in places:
+        table.add([p for p, place in zip(distinct, places, strict=True) if place is None])
+        places = list(map(table.known.__getitem__, distinct))
     seeds = seeds.astype(np.uint64)
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(c) for c in cut], out=bounds[1:])
     n = int(bounds[-1])
-    unit = np.array([table.known[p] for p in distinct], np.int64)[coded.indices.to_numpy()]
+    unit = np.array(places, np.int64)[coded.indices.to_numpy()]
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     key = mix(seeds[owner] * _ODD + (np.arange(n) - bounds[:-1][owner]).astype(np.uint64))
     base = table.base[unit]
@@ -296,7 +305,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
             kept_number.append(np.arange(step + 1) - np.repeat(np.cumsum(lengths) - lengths, lengths))
             kept_edge.append(np.append(old[:step], chosen))
             if table.next[chosen]:
-                state = int(np.searchsorted(table.first, chosen, "right")) - 1
+                state = int(np.searchsorted(table.first[: table.states + 1], chosen, "right")) - 1
                 go_part.append(np.array([bounds[i] + done]))
                 go_state.append(np.array([state + int(table.next[chosen])]))
                 go_begin.append(lengths[-1:])
@@ -320,11 +329,11 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     return out
 
 
-def spelled(ids: np.ndarray, voc) -> np.ndarray:
-    """Ids with characters beyond the vocabulary replaced by their byte pieces."""
+def spelled(ids: np.ndarray, voc, lengths: np.ndarray | None = None) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """Ids with characters beyond the vocabulary replaced by their byte pieces; with the lengths of several sequences, their new lengths, too."""
     over = ids >= voc.size
     if not over.any():
-        return ids
+        return ids if lengths is None else (ids, lengths)
     if not hasattr(voc, "byte_ids"):
         voc.byte_ids = np.array([voc.bytes[b] for b in range(256)], np.int32)
     code = ids[over] - voc.size
@@ -339,7 +348,10 @@ def spelled(ids: np.ndarray, voc) -> np.ndarray:
         low = 0x80 | (c >> (6 * (m - 1 - k))) & 0x3F
         head = np.where(m == 1, c, np.where(m == 2, 0xC0 | c >> 6, np.where(m == 3, 0xE0 | c >> 12, 0xF0 | c >> 18)))
         out[start[has] + k] = voc.byte_ids[head if k == 0 else low]
-    return out
+    if lengths is None:
+        return out
+    ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])]
+    return out, np.diff(ends)
 
 
 def decode_ids(ids: Sequence[int], path: str | None = None) -> str:
@@ -385,13 +397,14 @@ def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "t
             for r, (ids, log_prob, value) in enumerate(own[:-1], 1):
                 rows.append(i)
                 rank.append(r)
-                pieces.append(spelled(ids, voc))
+                pieces.append(ids)
                 x = log_prob - threshold
                 inclusion = 0.0 if threshold == -np.inf else x - np.exp(x) / 2 if x < -20 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
                 numbers.append((log_prob, value, threshold, inclusion))
-        lengths = np.array([len(p) for p in pieces], np.int64)
+        joined = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+        joined, lengths = spelled(joined, voc, np.array([len(p) for p in pieces], np.int64))
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces) if pieces else np.empty(0, np.int32), pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined, pa.int32()))
         take = pa.array(rows, pa.int64())
         columns = [b.column(b.schema.get_field_index(c)).take(take) for c in kept]
         values = np.array(numbers, float).reshape(-1, 4)
