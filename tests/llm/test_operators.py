@@ -352,7 +352,7 @@ def test_lattice_tables_match_plain_sums():
             for start in range(first, end):
                 assert found[0, start - first] == ids.get(w[start:end], -1)
     table.add([" the", "ing", " "])
-    for state in range(len(table.first) - 1):
+    for state in range(table.states):
         a, b = table.first[state], table.first[state + 1]
         assert table.cum[b - 1] == 1 and np.allclose(np.exp(table.logq[a:b]), np.diff(table.cum[a:b], prepend=0), atol=1e-6)
 
