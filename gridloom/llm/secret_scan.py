@@ -3,7 +3,8 @@
 Patterns propose: values assigned to a name, long tokens of mixed characters, private key blocks. The forest judges each
 by its length, transitions between kinds of characters, entropy, the part covered by dictionary words, the path and the
 words around it. It is trained from labelled findings (text, path, start, end, label); `labelled_findings` makes a table of
-them from rules. Overlapping candidates are one finding, the longer one.
+them from rules. Values have no largest length: a candidate goes to the end of its run or to its END line, and overlapping candidates are one,
+their union.
 
 Null texts give no finding; so do empty ones. Null paths count as empty. Rows are scanned one by one, without a shuffle.
 """
@@ -30,9 +31,14 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "xo
 HARMLESS = ("example", "sample", "dummy", "placeholder", "fake", "test", "sha", "sha1", "sha256", "md5", "hash", "checksum", "commit", "revision", "digest", "uuid", "guid", "isbn", "id", "version", "build", "etag")
 WORDS = ("change", "changeme", "your", "here", "password", "secret", "token", "example", "default", "admin", "none", "null", "true", "false", "undefined", "localhost", "value", "string", "config", "settings", "getenv", "environ", "process", "variable", "replace", "insert", "hidden", "removed", "redacted")
 
-_ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([^\s\"',;]{6,400})")
-_LONG = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,400}={0,2}")
-_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]|-(?!----)){0,10000}(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
+_ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([^\s\"',;]{6,})")
+_LONG = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}={0,2}")
+_BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_DASHES = re.compile(r"-{5,}")
+_END = re.compile(r"END [A-Z ]{0,40}PRIVATE KEY-----")
+#: A block without an END line: as much of what follows, and then as many lines of key characters as there are.
+_OPEN_BLOCK = 10_000
+_KEY_LINES = re.compile(r"[A-Za-z0-9+/=]*(?:(?:\\[nrt]|[^A-Za-z0-9+/=\-])+[A-Za-z0-9+/=]{16,})*(?:(?:\\[nr]|[\r\n])+[A-Za-z0-9+/=]{1,15}(?=\\[nr]|[ \t]*(?:[\r\n]|\Z)))?")
 _NAME_BEFORE = re.compile(r"(?i)([a-z][a-z0-9_\-]{1,40})[\"']?\s*$")
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
@@ -48,6 +54,35 @@ class Candidate:
     name: str
 
 
+def _blocks(text: str) -> list[Candidate]:
+    """Private key blocks: to their END line, whatever their length; to the next dashes or the end of the key's lines, where there is none."""
+    found, at = [], 0
+    while m := _BEGIN.search(text, at):
+        dashes = _DASHES.search(text, m.end())
+        end = _END.match(text, dashes.end()) if dashes else None
+        if end:
+            at = end.end()
+        else:
+            stop = dashes.start() if dashes else len(text)
+            at = min(stop, m.end() + _OPEN_BLOCK)
+            if at < stop:
+                at = _KEY_LINES.match(text, at, stop).end()
+        found.append(Candidate(m.start(), at, "block", ""))
+    return found
+
+
+def _united(found: list[Candidate]) -> list[Candidate]:
+    """Overlapping candidates as one: their union, a block before an assigned value before a token."""
+    out: list[Candidate] = []
+    for c in sorted(found, key=lambda c: (c.start, -c.end, c.kind)):
+        if out and c.start < (last := out[-1]).end:
+            kind = next(k for k in ("block", "assigned", "token") if k in (last.kind, c.kind))
+            out[-1] = Candidate(last.start, max(last.end, c.end), kind, last.name or c.name)
+        else:
+            out.append(c)
+    return out
+
+
 def candidates(text: str) -> list[Candidate]:
     """Proposed spans, left to right, without overlaps."""
     found = []
@@ -62,16 +97,8 @@ def candidates(text: str) -> list[Candidate]:
         if digits >= 2 and digits < len(value) or value.startswith(PREFIXES):
             found.append(Candidate(m.start(), m.end(), "token", ""))
     if "-----BEGIN" in text:
-        found += [Candidate(m.start(), m.end(), "block", "") for m in _BLOCK.finditer(text)]
-    found.sort(key=lambda c: (c.start, -c.end, c.kind))
-    out: list[Candidate] = []
-    for c in found:
-        if out and c.start < out[-1].end:
-            if c.end - c.start > out[-1].end - out[-1].start:
-                out[-1] = c
-        else:
-            out.append(c)
-    return out
+        found += _blocks(text)
+    return _united(found)
 
 
 @lru_cache(maxsize=1)
@@ -97,8 +124,8 @@ FEATURES = ("length", "digits", "capitals", "others", "transitions", "entropy",
 def features(text: str, path: str, c: Candidate) -> list[float]:
     value = text[c.start : c.end]
     n = max(1, len(value))
-    kinds = [0 if x.islower() else 1 if x.isupper() else 2 if x.isdigit() else 3 for x in value[:400]]
-    counts = Counter(value[:400])
+    kinds = [0 if x.islower() else 1 if x.isupper() else 2 if x.isdigit() else 3 for x in value]
+    counts = Counter(value)
     total = sum(counts.values())
     before = re.findall(r"[a-z0-9]+", text[max(0, c.start - 60) : c.start].lower())[-4:]
     after = re.findall(r"[a-z0-9]+", text[c.end : c.end + 40].lower())[:3]
@@ -106,7 +133,7 @@ def features(text: str, path: str, c: Candidate) -> list[float]:
     hexed = bool(_HEX.match(value))
     low_path = path.lower()
     return [
-        float(min(n, 400)),
+        float(n),
         kinds.count(2) / n,
         kinds.count(1) / n,
         kinds.count(3) / n,
