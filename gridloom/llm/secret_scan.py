@@ -4,7 +4,7 @@ Patterns propose: values assigned to a name, long tokens of mixed characters, pr
 by its length, transitions between kinds of characters, entropy, the part covered by dictionary words, the path and the
 words around it. It is trained from labelled findings (text, path, start, end, label); `labelled_findings` makes a table of
 them from rules. Values have no largest length: a candidate goes to the end of its run or to its END line, and overlapping candidates are one,
-their union.
+their union. Of assignments inside an assigned value (`token=a&password=b`) the whole and the parts are judged, and parts of a secret are not reported.
 
 Null texts give no finding; so do empty ones. Null paths count as empty. Rows are scanned one by one, without a shuffle.
 """
@@ -31,7 +31,10 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "xo
 HARMLESS = ("example", "sample", "dummy", "placeholder", "fake", "test", "sha", "sha1", "sha256", "md5", "hash", "checksum", "commit", "revision", "digest", "uuid", "guid", "isbn", "id", "version", "build", "etag")
 WORDS = ("change", "changeme", "your", "here", "password", "secret", "token", "example", "default", "admin", "none", "null", "true", "false", "undefined", "localhost", "value", "string", "config", "settings", "getenv", "environ", "process", "variable", "replace", "insert", "hidden", "removed", "redacted")
 
-_ASSIGNED = re.compile(r"[=:][ \t]*[\"']?([^\s\"',;]{6,})")
+_SIGN = re.compile(r"(?<=[\w\-\"'\s])[=:]")
+_VALUE = re.compile(r"[ \t]*[\"']?")
+_STOP = re.compile(r"[\s\"',;]|\Z")
+_LEAST = 6
 _LONG = re.compile(r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}={0,2}")
 _BEGIN = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 _DASHES = re.compile(r"-{5,}")
@@ -54,6 +57,28 @@ class Candidate:
     name: str
 
 
+def _assigned(text: str) -> tuple[list[Candidate], list[Candidate]]:
+    """Values after a known name and its sign, to the end of their run; where such values hold more names with signs, also the parts between these."""
+    signs = []
+    for m in _SIGN.finditer(text):
+        name = _NAME_BEFORE.search(text, max(0, m.start() - 44), m.start())
+        if name and any(n in name.group(1).lower() for n in NAMES):
+            signs.append((name.start(), _VALUE.match(text, m.end()).end(), name.group(1).lower()))
+    found: list[Candidate] = []
+    inner: list[Candidate] = []
+    end, whole = -1, None
+    for k, (_, start, name) in enumerate(signs):
+        within = start < end
+        if not within:
+            end, whole = _STOP.search(text, start).start(), None
+        after = min(end, signs[k + 1][0]) if k + 1 < len(signs) else end
+        if not within and end - start >= _LEAST:
+            found.append(whole := Candidate(start, end, "assigned", name))
+        if whole and (within or after < end) and after - start >= _LEAST:
+            inner.append(Candidate(start, after, "assigned", name))
+    return found, inner
+
+
 def _blocks(text: str) -> list[Candidate]:
     """Private key blocks: to their END line, whatever their length; to the next dashes or the end of the key's lines, where there is none."""
     found, at = [], 0
@@ -84,13 +109,8 @@ def _united(found: list[Candidate]) -> list[Candidate]:
 
 
 def candidates(text: str) -> list[Candidate]:
-    """Proposed spans, left to right, without overlaps."""
-    found = []
-    for m in _ASSIGNED.finditer(text):
-        name = _NAME_BEFORE.search(text[max(0, m.start() - 44) : m.start()])
-        low = name.group(1).lower() if name else ""
-        if any(n in low for n in NAMES):
-            found.append(Candidate(m.start(1), m.end(1), "assigned", low))
+    """Proposed spans, left to right. Those that overlap are one, but assignments inside an assigned value are proposed beside it."""
+    found, inner = _assigned(text)
     for m in _LONG.finditer(text):
         value = m.group()
         digits = sum(c.isdigit() for c in value)
@@ -98,7 +118,8 @@ def candidates(text: str) -> list[Candidate]:
             found.append(Candidate(m.start(), m.end(), "token", ""))
     if "-----BEGIN" in text:
         found += _blocks(text)
-    return _united(found)
+    out = _united(found)
+    return sorted(out + inner, key=lambda c: (c.start, -c.end)) if inner else out
 
 
 @lru_cache(maxsize=1)
@@ -280,7 +301,10 @@ def scan(docs: DataFrame, forest: Forest, keep: list[str], text: str = "text", p
         score = iter(forest.predict(np.array(rows)).tolist() if rows else [])
         secrets, clean = [], []
         for t, own in zip(texts, proposed, strict=True):
-            held = [{"start": c.start, "end": c.end, "kind": c.kind, "score": s} for c in own if (s := next(score)) >= threshold]
+            held = []
+            for c in own:
+                if (s := next(score)) >= threshold and not (held and c.end <= held[-1]["end"]):  # not those inside a secret
+                    held.append({"start": c.start, "end": c.end, "kind": c.kind, "score": s})
             secrets.append(held)
             if redact is not None:
                 for h in reversed(held):

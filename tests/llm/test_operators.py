@@ -236,6 +236,27 @@ def test_secrets_of_any_length(spark, size):
     assert np.allclose(shares, [sum(map(str.isdigit, key)) / size, sum(map(str.isupper, key)) / size, sum(x in "+/" for x in key) / size])
 
 
+def test_secrets_after_other_signs(spark):
+    texts = [
+        ("note: password=Tr0ub4dor", "note: password=[S]"),
+        ("https://h/login?password=Tr0ub4dor", "https://h/login?password=[S]"),
+        ("env:TOKEN=Tr0ub4dor and more", "env:TOKEN=[S] and more"),
+        ("at 12:30:45 a=b:pwd: 'Tr0ub4dor'", "at 12:30:45 a=b:pwd: '[S]'"),
+        ("secret: password=Tr0ub4dor", "secret: [S]"),
+        ("note: password=changeme", "note: password=changeme"),
+    ]
+    for text in ("note: password=hunter22", "https://h/login?password=hunter22", "env:TOKEN=hunter22", "secret: password=hunter22"):
+        assert "hunter22" in [text[c.start : c.end] for c in secret_scan.candidates(text) if c.name]
+    both = "https://h/?token=Zk3q9Lw81x&password=Tr0ub4dor"
+    assert {both[c.start : c.end] for c in secret_scan.candidates(both)} >= {"Zk3q9Lw81x&password=Tr0ub4dor", "Tr0ub4dor"}
+    assert len(secret_scan.candidates("token=" * 20_000 + "=:" * 20_000)) <= 20_000
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate([*texts, (both, "")])], "doc_id long, text string")
+    forest = secret_scan.fit(secret_scan.labelled_findings())
+    got = {r["doc_id"]: r for r in secret_scan.scan(df, forest, ["doc_id"], redact="[S]").collect()}
+    assert [got[k]["redacted"] for k in range(len(texts))] == [want for _, want in texts]
+    assert "Zk3q9Lw81x" not in got[len(texts)]["redacted"] and "Tr0ub4dor" not in got[len(texts)]["redacted"]
+
+
 # 4
 
 
