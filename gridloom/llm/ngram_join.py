@@ -206,7 +206,7 @@ def _buckets(last: bool):
                 if keys[lo] != key:
                     yield from closed()
                     held, key, over, leaders = [], keys[lo], False, None
-                if hi - lo == 1 and hi < len(keys) and not held:
+                if hi - lo == 1 and hi < len(keys) and not held and not over:
                     key = None  # alone with its key
                     continue
                 part = batch.slice(lo, hi - lo)

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -164,6 +165,16 @@ def test_ngram_join_with_large_buckets_and_blocks(spark, monkeypatch):
     assert got == brute_links(rows)
 
 
+def test_large_bucket_across_batches():
+    for last in (False, True):
+        n = ngram_join.BUCKET + 3
+        keys = [b"a" * 8] * n + [b"b" * 8, b"c" * 8]
+        sketch = bytes(ngram_join.BINS)
+        rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(len(keys)), pa.int64()), pa.array([sketch] * len(keys)), pa.array([b"p"] * len(keys))], names=["key", "rep", "sketch", "path"])
+        out = pa.Table.from_batches(ngram_join._buckets(last)([rows.slice(0, n - 1), rows.slice(n - 1)])).to_pydict()
+        assert sorted(out["a"]) == list(range(1 if last else 0, n))
+
+
 def test_ngram_join_query(spark, duck):
     same_rows(queries.QUERIES["op2_ngram_join"](spark, DATA), duck, queries.ORACLES["op2_ngram_join"])
 
