@@ -8,7 +8,9 @@ under a hash that depends on the path so far, DEPTH times. Sets that chose the s
 their tokens choose alike with that chance at each step. Buckets of at most BUCKET sets are compared at once by brute force
 over sketches; larger ones are split by the next token of the path. A bucket that is still larger at the last depth is compared with its
 leaders: sets less similar to all earlier leaders than LEADER become leaders, and every set is tied to all leaders it could
-share a neighbour with (Jaccard distance is a metric), so that no pair above the threshold is parted and nothing is dropped. The runs are repeated to a
+share a neighbour with, so that what a small bucket would propose is tied here, too: the part of 64 held ranges that differ is a metric, and a pair
+alike in LIKE of them lies within 1 - LIKE + 1 - LEADER of the leader. In both kinds of bucket a pair of similarity 0.8 is passed over where its
+sketches are alike in less than LIKE (35 of 64 ranges or fewer: chance 4e-6; runs share the sketch). The runs are repeated to a
 recall of 1 - (1 - 0.8**d)**RUNS for a pair that is split d times (above 1 - 1e-8 for d = 1).
 
 Sketches (the smallest hash in each of 64 ranges, a byte each) only propose; with ties they form candidate components. Inside these all
@@ -37,8 +39,9 @@ from gridloom.llm.components import connected_components
 SHINGLE = 5
 RUNS, DEPTH, BUCKET = 12, 4, 256
 BINS, NONE = 64, 255
-#: Sketch similarities: of a candidate pair, of a set that its leader stands for, and of one that could share a neighbour with a leader.
-LIKE, LEADER, NEAR = 0.55, 0.85, 0.52
+#: Sketch similarities: of a candidate pair, of a set that its leader stands for, and of one that could share a neighbour with a leader
+#: (LIKE + LEADER - 1: no pair that a small bucket would propose is parted).
+LIKE, LEADER, NEAR = 0.55, 0.85, 0.4
 #: Sets and tokens of a block of a large component.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
 #: Rows about candidates are broadcast up to this number (24 bytes each).

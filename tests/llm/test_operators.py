@@ -175,6 +175,17 @@ def test_large_bucket_across_batches():
         assert sorted(out["a"]) == list(range(1 if last else 0, n))
 
 
+def test_leaders_part_no_candidate_pair():
+    leader = np.arange(64, dtype=np.uint8)
+    one, two = leader.copy(), leader.copy()
+    one[:9] += 100  # alike in 55 of 64 ranges: the leader stands for it
+    two[:37] += 100  # 36 of 64 ranges alike with the former, 27 with the leader
+    assert ngram_join._alike(one, leader) >= ngram_join.LEADER and ngram_join._alike(one, two) >= ngram_join.LIKE
+    leaders = ngram_join._Leaders()
+    ties = [t for k, sketch in enumerate([leader, one, two]) for t in leaders.tie(k, sketch)]
+    assert {x for t in ties for x in t} == {0, 1, 2}
+
+
 def test_ngram_join_query(spark, duck):
     same_rows(queries.QUERIES["op2_ngram_join"](spark, DATA), duck, queries.ORACLES["op2_ngram_join"])
 
