@@ -64,8 +64,8 @@ def values(spark: SparkSession, sf_dir: str, chunk: int = 1000, codecs=None, fil
 
 def conversations(spark: SparkSession, sf_dir: str, codecs=None) -> ArrayFrame:
     df = _table(spark, sf_dir, "conversations")
-    meta = ArrayBuilder((_extent(df, "conv_id"), 8), [10, 4], "string", "", codecs).build()
-    return ArrayFrame.from_cells(meta, df.where("turn < 8").select(F.col("conv_id").alias("i0"), F.col("turn").alias("i1"), F.col("text").alias("v")))
+    meta = ArrayBuilder((_extent(df, "conv_id"), max(8, _extent(df, "turn"))), [10, 4], "string", "", codecs).build()
+    return ArrayFrame.from_cells(meta, df.where("turn IS NOT NULL").select(F.col("conv_id").alias("i0"), F.col("turn").alias("i1"), F.col("text").alias("v")))
 
 
 def labels(spark: SparkSession, sf_dir: str, codecs=None) -> ArrayFrame:

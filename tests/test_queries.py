@@ -31,3 +31,11 @@ def test_box_predicate_reaches_the_scan(spark, tmp_path):
     stored = replace(frame, chunks=spark.read.parquet(str(tmp_path / "chunks")))
     plan = stored.subset(Box.of((95, 105), (10, 40)))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(c0,1)" in plan and "LessThan(c0,3)" in plan
+
+
+def test_conversations_with_a_ninth_turn(spark, tmp_path):
+    rows = [(0, t, "user", f"a{t}") for t in range(10)] + [(1, 8, "user", "b8"), (1, None, "user", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = {(0, t): f"a{t}" for t in range(10)} | {(1, t): "b8" if t == 8 else "" for t in range(10)}
+    for name in ("ragged_read", "vlen_utf8_roundtrip", "vlen_roundtrip"):
+        assert {(r["i0"], r["i1"]): r["v"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
