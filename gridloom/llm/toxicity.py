@@ -7,17 +7,21 @@ landmarks' own kernel matrix. Since the kernel is an inner product of subsequenc
 landmarks fold into one weight per subsequence, and a window is scored by a sum over its subsequences: the same value
 without a kernel evaluation per landmark.
 
-Labels belong to whole texts, so the offending sentences are found first, by letter four-grams that toxic texts hold
-beyond chance and clean ones hardly (copies count once); the words of toxic texts that hold one give the positive windows, words of clean texts the negative ones. A text's value is the largest decision
-over its windows; a logistic curve fitted on held-back labelled texts makes it a score.
+Labels belong to whole texts, so the offending forms are found first: letter sequences of four to seven that words of toxic texts hold beyond chance and
+far more often than words of clean ones (copies of a text count once). Two machines share the landmarks. The one for sure forms
+learns sequences of which clean texts are all but free; a single one makes a text suspect. The one for likely forms learns those that are merely far more frequent, such as stems that a clean text
+may meet by chance; they count by their number against the text's words, as a log-likelihood ratio of the rates in toxic and clean texts.
+Windows of words that hold such a sequence are positive, all other windows of clean texts negative. Each of the two figures becomes a probability by a logistic curve fitted
+on labelled texts that the machines haven't seen; a text's score is that of either being so.
 
 Before windows are cut a word's digits and signs that stand for letters are read as these, other non-letters go, and runs of
-single letters (as in spaced-out words) are joined. Null and empty texts, and texts without a window, have the value of a
-window without any weight. With fewer than two classes of labels every text gets the share of label 1 (0 without labels).
+single letters (as in spaced-out words) are joined. Null and empty texts, and texts without a window, have the decision of a
+window without any weight, and no likely form. With fewer than two classes of labels every text gets the share of label 1 (0 without labels).
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -123,29 +127,45 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / np.outer(_norms(a), _norms(b))
 
 
+SURE, LIKELY = 0, 1
+#: A word counts as a likely form from the machine's margin on.
+MARGIN = 1.0
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weight: of each subsequence; a window's decision is its normalised sum plus bias."""
+    """weight: of each subsequence in each machine; a window's decisions are its normalised sums plus bias. rates: of likely forms among the words of toxic and clean texts.
+    curves: slope and intercept for the largest sure decision and for the likely forms' log-likelihood ratio; None for a machine without positive windows."""
 
     weight: np.ndarray
-    bias: float
-    slope: float
-    intercept: float
+    bias: np.ndarray
+    rates: tuple[float, float]
+    curves: tuple[tuple[float, float] | None, tuple[float, float] | None]
+    share: float
     key: str
 
 
 def _decisions(model: ToxicityModel, words: list[str]) -> np.ndarray:
-    """The largest decision over each word's windows; the bias where there is none."""
-    out = np.full(len(words), model.bias)
+    """(words, machines) the largest decisions over each word's windows; the bias where there is none."""
+    out = np.tile(model.bias, (len(words), 1))
     for start in range(0, len(words), 20_000):
-        block = words[start : start + 20_000]
-        code, owner = _codes(block)
+        code, owner = _codes(words[start : start + 20_000])
         if len(code):
-            value = np.zeros(len(code))
+            value = np.zeros((len(code), 2), np.float32)
+            rows = np.arange(len(code))
             for i, j, k in _TRIPLES:
-                value += np.where(code[:, k] > 0, model.weight[(code[:, i] * _LETTERS + code[:, j]) * _LETTERS + code[:, k]], 0.0) * DECAY ** (k - i - 2)
-            value = value / _norms(code) + model.bias
-            np.maximum.at(out, owner + start, value)
+                # windows are filled from the left, so a missing last letter is a missing triple
+                own = rows if k < 3 else np.flatnonzero(code[:, k])
+                at = code[own, i] * (_LETTERS * _LETTERS) + code[own, j] * _LETTERS + code[own, k]
+                part = model.weight[at] * np.float32(DECAY ** (k - i - 2))
+                if len(own) == len(code):
+                    value += part
+                else:
+                    value[own] += part
+            value = value / _norms(code)[:, None] + model.bias
+            # a word's windows stand together
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            out[owner[first] + start] = np.maximum.reduceat(value, first, axis=0)
     return out
 
 
@@ -184,24 +204,39 @@ def _unlike(sample: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
     return kept
 
 
-def _offending(sample: list[tuple[set[str], int]]) -> list[str]:
-    """Four-grams that toxic texts hold far more often than clean ones, by a log-likelihood ratio beyond chance over all of them."""
-    toxic = Counter(g for grams, y in sample if y for g in grams)
-    clean = Counter(g for grams, y in sample if not y for g in grams)
-    n1 = max(1, sum(1 for _, y in sample if y))
-    n0 = max(1, len(sample) - n1)
-    least, taken = 2 * np.log(max(2, len(toxic))) + 2, []
+def _offending(words: dict[str, tuple[int, int]], ratio: float) -> set[str]:
+    """Sequences of four to seven letters whose share of toxic texts' words exceeds `ratio` times the most that clean ones' share may well be, beyond chance over all sequences.
+
+    words: for each word the numbers of toxic and clean texts that hold it.
+    """
+    toxic, clean = Counter(), Counter()
+    for w, (a, b) in words.items():
+        for g in {w[k : k + n] for n in range(4, WINDOW + 1) for k in range(len(w) - n + 1)}:
+            if a:
+                toxic[g] += a
+            if b:
+                clean[g] += b
+    n1, n0 = sum(a for a, _ in words.values()), sum(b for _, b in words.values())
+    least, taken = 2 * np.log(max(2, len(toxic))) + 2, set()
     for g, a in toxic.items():
         b = clean[g]
-        if a < 3 or a / n1 < 25 * (b + 0.5) / n0:
+        # three more than were seen: the upper end of what may lie behind none
+        if a < 3 or a * n0 < ratio * (b + 3) * n1:
             continue
-        total, ratio = a + b, 0.0
-        share = total / (n1 + n0)
+        share, surprise = (a + b) / (n1 + n0), 0.0
         for seen, expected in ((a, n1 * share), (b, n0 * share), (n1 - a, n1 * (1 - share)), (n0 - b, n0 * (1 - share))):
-            ratio += 2 * seen * np.log(seen / expected) if seen else 0.0
-        if ratio > least:
-            taken.append(g)
-    return sorted(taken)
+            surprise += 2 * seen * np.log(seen / expected) if seen else 0.0
+        if surprise > least:
+            taken.add(g)
+    return taken
+
+
+def _windows(word: str) -> list[str]:
+    return [word[k : k + WINDOW] for k in range(max(1, len(word) - WINDOW + 1))]
+
+
+def _holds(window: str, grams: set[str]) -> bool:
+    return any(window[k : k + n] in grams for n in range(4, len(window) + 1) for k in range(len(window) - n + 1))
 
 
 def _far_apart(windows: list[str], n: int) -> list[str]:
@@ -217,8 +252,8 @@ def _far_apart(windows: list[str], n: int) -> list[str]:
     return [windows[i] for i in sorted(chosen)]
 
 
-def _folded(positive: list[str], negative: list[str], marks: list[str]) -> tuple[np.ndarray, float]:
-    """The machine over Nystroem features of the windows with the landmarks, as weights of subsequences, and its bias."""
+def _folded(positive: list[str], negative: list[str], marks: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
+    """The machine over Nystroem features of the windows with the landmarks: as weights of subsequences, its bias, and as weights of the landmarks' kernel values."""
     to_code = lambda xs: _codes(xs)[0]
     code = to_code(marks)
     inner = _kernel(code, code)
@@ -229,79 +264,132 @@ def _folded(positive: list[str], negative: list[str], marks: list[str]) -> tuple
     ids, weight = _subsequences(code)
     folded = np.zeros(_LETTERS**3)
     np.add.at(folded, ids, weight * ((whiten @ w) / _norms(code))[:, None])
+    return folded, bias, whiten @ w
+
+
+def _spread(xs: list[str], n: int) -> list[str]:
+    return xs[:: max(1, -(-len(xs) // n))]
+
+
+def _trained(words: dict[str, tuple[int, int]], grams: set[str], landmarks: int, negatives: int) -> tuple[np.ndarray, float] | None:
+    """One machine: windows that hold one of the sequences against the clean texts' other windows; None without the former."""
+    found: Counter = Counter()
+    clean: Counter = Counter()
+    for w, (a, b) in words.items():
+        for x in _windows(w):
+            if _holds(x, grams):
+                found[x] += a
+            elif b:
+                clean[x] += b
+    positive = [x for x, n in sorted(found.items(), key=lambda x: (-x[1], x[0])) if n][:1000]
+    if not positive or not clean:
+        return None
+    common = [x for x, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
+    negative = sorted({*common[: negatives // 2], *_spread(common[negatives // 2 :], negatives // 2)})
+    everything, hard = sorted(clean), []
+    own = _far_apart(positive, landmarks // 2)
+    for _ in range(4):  # the clean windows nearest to the border join the negatives
+        folded, bias, _ = _folded(positive, negative, own + _spread(negative, landmarks // 4) + _far_apart(hard, landmarks // 4))
+        raw = ToxicityModel(np.repeat(folded[:, None], 2, 1).astype(np.float32), np.full(2, bias), (0.0, 0.0), (None, None), 0.0, "raw")
+        value = _decisions(raw, everything)[:, 0]
+        near = [everything[i] for i in np.argsort(-value, kind="stable")[:800] if value[i] > -0.8]
+        if not set(near) - set(negative):
+            break
+        negative, hard = sorted({*negative, *near}), sorted({*hard, *near})
     return folded, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, trainable: Column, label: str = "toxic", per_class: int = 1500, landmarks: int = 600, negatives: int = 4000) -> ToxicityModel:
-    """Fits on about per_class labelled documents of each class, chosen by hash; two thirds for the machine, a third for the curve."""
+def _times(words: list[str], hits: set[str]) -> float:
+    """How many likely forms a text holds; one that it repeats counts by its number's logarithm."""
+    return sum(1.0 + math.log2(words.count(w)) for w in hits)
+
+
+def _ratio(hits: np.ndarray, n: np.ndarray, rates: tuple[float, float]) -> np.ndarray:
+    """The log-likelihood ratio of so many likely forms among n words, within bounds that keep the curve's fit stable."""
+    toxic, clean = rates
+    return np.clip(hits * math.log(toxic / clean) - (toxic - clean) * n, -6.0, 12.0)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, trainable: Column, label: str = "toxic", per_class: int = 1500, landmarks: int = 600, negatives: int = 4000, sure: float = 60.0, likely: float = 8.0
+) -> ToxicityModel:
+    """Fits on about per_class labelled documents of each class, chosen by hash; two thirds for the machines, a third for the curves.
+
+    sure, likely: how many times as frequent in toxic texts a machine's forms are at least.
+    """
     sample, counts = labelled_texts(docs, labels, label, trainable, per_class)
     seen = {int(k): v for k, v in counts.items()}
     share = seen.get(1, 0) / max(1, sum(seen.values()))
-    flat = ToxicityModel(np.zeros(1), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), "flat")
+    flat = ToxicityModel(np.zeros((1, 2)), np.zeros(2), (0.0, 0.0), (None, None), share, "flat")
     read: dict[str, str] = {}  # equal words are held once
-    words = [([read[t] if t in read else read.setdefault(t, letters(t)) for t in tokens(text)], y) for text, y in sample]
+    texts = [([x for t in tokens(text) if (x := read[t] if t in read else read.setdefault(t, letters(t)))], y) for text, y in sample]
     del read
-    if len({y for _, y in words}) < 2:
-        return flat
-    parts = {y: [w for w, v in words if v == y] for y in (0, 1)}
-    train = [(w, y) for y in (0, 1) for i, w in enumerate(parts[y]) if i % 3 or len(parts[y]) < 30]
-    grams = [({w[k : k + 4] for w in set(ws) for k in range(len(w) - 3)}, y) for ws, y in _unlike(train)]
-    marks = _offending(grams)
-    if not marks:
+    if len({y for _, y in texts}) < 2:
         return flat
-    spread = lambda xs, n: xs[:: max(1, -(-len(xs) // n))]
-    found = Counter(w[max(0, w.find(m) - 1) : w.find(m) + WINDOW] for ws, y in train if y for w in ws for m in marks if m in w)
-    positive = sorted({p[k : k + WINDOW] for p, n in found.most_common(1500) for k in range(max(1, len(p) - WINDOW + 1))})
-    positive = [p for p in positive if any(m in p for m in marks)]
-    common = Counter(w for ws, y in train if not y for w in set(ws) if w)
-    benign = [w for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[: negatives // 2]]
-    rest = sorted(set(common) - set(benign))
-    benign += rest[:: max(1, len(rest) // (negatives // 2))]
-    clean = {w[k : k + WINDOW] for w in common for k in range(max(1, len(w) - WINDOW + 1))}
-    positive = spread([p for p in positive if p not in clean], 1000)
-    if not positive:
+    parts = {y: [w for w, v in texts if v == y] for y in (0, 1)}
+    few = {y: len(parts[y]) < 30 for y in (0, 1)}
+    numbers: dict[str, list[int]] = {}
+    for y in (0, 1):
+        for ws, _ in _unlike([(ws, y) for i, ws in enumerate(parts[y]) if i % 3 or few[y]]):
+            for w in set(ws):
+                numbers.setdefault(w, [0, 0])[1 - y] += 1
+    words = {w: (a, b) for w, (a, b) in numbers.items()}
+    made = [_trained(words, _offending(words, ratio), landmarks, negatives) for ratio in (sure, likely)]
+    if made[LIKELY] is None:
         return flat
-    negative = sorted({w[k : k + WINDOW] for w in benign for k in range(max(1, len(w) - WINDOW + 1))})
-    negative = spread(negative, negatives)
-    clean_list, hard = sorted(clean), []
-    own = _far_apart(positive, landmarks // 2)
-    for _ in range(4):  # the clean windows nearest to the border join the negatives
-        folded, bias = _folded(positive, negative, own + spread(negative, landmarks // 4) + _far_apart(hard, landmarks // 4))
-        raw = ToxicityModel(folded, bias, 0.0, 0.0, "raw")
-        value = _decisions(raw, clean_list)
-        near = [clean_list[i] for i in np.argsort(-value, kind="stable")[:800] if value[i] > -0.8]
-        if not set(near) - set(negative):
-            break
-        negative, hard = sorted({*negative, *near}), sorted({*hard, *near})
-    curve = [(w, y) for v in (0, 1) for i, (w, y) in enumerate([p for p in words if p[1] == v]) if i % 3 == 0 or len(parts[v]) < 30]
-    top = np.array([_decisions(raw, w or [""]).max() for w, _ in curve])
+    none = (np.zeros(_LETTERS**3), -1.0)
+    weight = np.stack([(m or none)[0] for m in made], 1).astype(np.float32)
+    bias = np.array([(m or none)[1] for m in made])
+    raw = ToxicityModel(weight, bias, (0.0, 0.0), (None, None), share, "raw")
+    curve = [(ws, y) for y in (0, 1) for i, ws in enumerate(parts[y]) if i % 3 == 0 or few[y]]
     truth = np.array([y for _, y in curve])
+    distinct = sorted(set().union(*(ws for ws, _ in curve)))
+    known = dict(zip(distinct, _decisions(raw, distinct).tolist(), strict=True))
+    top = np.array([max((known[w][SURE] for w in ws), default=bias[SURE]) for ws, _ in curve])
+    n = np.array([len(ws) for ws, _ in curve], float)
+    hits = np.array([_times(ws, {w for w in ws if known[w][LIKELY] >= MARGIN}) for ws, _ in curve])
+    rates = [(hits[truth == y].sum() + 1.0 - 0.5 * y) / (n[truth == y].sum() + 2.0) for y in (1, 0)]
+    if rates[0] <= rates[1]:
+        return flat
     balance = np.where(truth == 1, share / max(1, (truth == 1).sum()), (1 - share) / max(1, (truth == 0).sum())) * len(truth)
-    slope, intercept = logistic_1d(top, truth, balance)
-    return ToxicityModel(folded, bias, max(slope, 0.0), intercept, f"{hash((folded.tobytes(), bias))}")
+    curves: list[tuple[float, float] | None] = []
+    for machine, x in ((SURE, top), (LIKELY, _ratio(hits, n, (rates[0], rates[1])))):
+        slope, intercept = logistic_1d(x, truth, balance)
+        curves.append((max(slope, 0.0), intercept) if made[machine] else None)
+    return ToxicityModel(weight, bias, (rates[0], rates[1]), (curves[0], curves[1]), share, f"{hash((weight.tobytes(), bias.tobytes()))}")
 
 
-_words: dict[str, dict[str, float]] = {}
+_words: dict[str, tuple[dict[str, float], set[str]]] = {}
 
 
-def values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
-    """The largest window decision of each text; words are scored once per worker."""
+def scores(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
+    """The score of each text; words are judged once per worker."""
     claim("toxicity", _words.clear)
-    known = _words.setdefault(model.key, {})
-    out = np.full(len(texts), model.bias)
-    if len(model.weight) == 1:
-        return out
+    if model.curves[LIKELY] is None:
+        return np.full(len(texts), model.share)
+    sure, likely = _words.setdefault(model.key, ({}, set()))
+    top, hits, n = np.full(len(texts), model.bias[SURE]), np.zeros(len(texts)), np.zeros(len(texts))
     for start in range(0, len(texts), 200):
-        own = [set(tokens(t)) if t else set() for t in texts[start : start + 200]]
-        new = sorted(set().union(*own).difference(known))
-        if len(known) + len(new) > _CACHE_WORDS:
-            known.clear()
+        lists = [tokens(t) if t else [] for t in texts[start : start + 200]]
+        own = [set(ws) for ws in lists]
+        new = sorted(set().union(*own).difference(sure))
+        if len(sure) + len(new) > _CACHE_WORDS:
+            sure.clear()
+            likely.clear()
             new = sorted(set().union(*own))
-        known.update(zip(new, _decisions(model, [letters(w) for w in new]).tolist(), strict=True))
-        for i, ws in enumerate(own, start):
+        value = _decisions(model, [letters(w) for w in new])
+        sure.update(zip(new, value[:, SURE].tolist(), strict=True))
+        likely.update(new[k] for k in np.flatnonzero(value[:, LIKELY] >= MARGIN))
+        for i, (ws, distinct) in enumerate(zip(lists, own, strict=True), start):
             if ws:
-                out[i] = max(map(known.__getitem__, ws))
-    return out
+                top[i], n[i] = max(map(sure.__getitem__, distinct)), len(ws)
+                if found := distinct & likely:
+                    hits[i] = _times(ws, found)
+    p = np.ones(len(texts))
+    for curve, x in zip(model.curves, (top, _ratio(hits, n, model.rates)), strict=True):
+        if curve:
+            p *= 1.0 - sigmoid(curve[0] * x + curve[1])
+    return 1.0 - p
 
 
 def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -309,7 +397,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str], text: str = "t
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def run(column: pa.Array):
-        s = sigmoid(model.slope * values(model, column.to_pylist()) + model.intercept)
+        s = scores(model, column.to_pylist())
         return pa.array(s), pa.array((s >= threshold).astype(np.int32))
 
     return map_texts(docs, text, run, fields, keep)
