@@ -1,7 +1,7 @@
 """Encoding into pieces of a public vocabulary: distinct sampled segmentations by Gumbel top-k, and decoding.
 
-A text is cut into runs of letters and runs of other characters, each with the blank before it, line breaks and single blanks (and
-after MOST characters); each part has a lattice of pieces, and the text's lattice is their chain. A segmentation's probability is the product of its pieces' weights over the sum for all segmentations,
+A text is cut where no piece of the vocabulary spans the cut: before blanks that follow other characters, between runs of letters and runs of other characters, around line breaks. Such
+parts have a lattice of pieces each, whatever their length, and the text's lattice is their chain: cutting loses no segmentation. A segmentation's probability is the product of its pieces' weights over the sum for all segmentations,
 which a backward sum gives. Pieces weigh by Zipf's law over the vocabulary's order, to the power `alpha`.
 Characters without a piece are spelled in byte pieces.
 
@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,17 +33,41 @@ from gridloom.llm.common import claim, map_texts
 from gridloom.llm.pieces import BLANK, code_points, default_vocabulary, vocabulary
 from gridloom.llm.words import mix
 
-MOST = 40
 #: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
-_PART = re.compile(rf" ?[^\W\d_]{{1,{MOST}}}| ?(?:[^\w \n{BLANK}]|[\d_]){{1,{MOST}}}|[ \n{BLANK}]")
-_TABLE_PARTS = 200_000
-_TOGETHER = 1 << 20
+_PART = re.compile(rf" *[^\W\d_]+| *(?:[^\w \n{BLANK}]|[\d_])+| +|[\n{BLANK}]")
+#: What a worker's table of lattices holds at most before it is emptied: edges (some 20 bytes each) and parts (some 150 bytes each).
+_TABLE_EDGES, _TABLE_PARTS = 2_200_000, 110_000
+#: Longer parts get their lattice position by position, in stretches of _STRETCH positions, and aren't kept.
+_LONG, _STRETCH = 64, 1 << 14
+#: Characters of the texts that are walked together.
+_TOGETHER = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def parts_of(text: str) -> list[str]:
+def _joints(voc) -> frozenset[str]:
+    """Pairs of neighbours that some piece holds and _PART would part."""
+    if not hasattr(voc, "joints"):
+        found = set()
+        for i in voc.plain:
+            s = voc.piece[i].replace(BLANK, " ")
+            ends = [m.end() for m in _PART.finditer(s)]
+            found.update(s[e - 1 : e + 1] for e in ends[:-1])
+        voc.joints = frozenset(found)
+    return voc.joints
+
+
+def parts_of(text: str, joints: frozenset[str] = frozenset()) -> list[str]:
     """The text's parts; joined they are a blank and the text."""
-    return _PART.findall(" " + text)
+    parts = _PART.findall(" " + text)
+    if any(j in text for j in joints):
+        out = parts[:1]
+        for p in parts[1:]:
+            if out[-1][-1] + p[0] in joints:
+                out[-1] += p
+            else:
+                out.append(p)
+        return out
+    return parts
 
 
 class Lattices:
@@ -60,7 +85,7 @@ class Lattices:
         self.unknown = (1e-8) ** alpha
         self.clear()
         self.base, self.first = np.empty(0, np.int64), np.zeros(1, np.int64)
-        self.cum, self.piece, self.next, self.logq = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int8), np.empty(0, np.float32)
+        self.cum, self.piece, self.next, self.logq = np.empty(0), np.empty(0, np.int32), np.empty(0, np.int8), np.empty(0)
 
     def clear(self) -> None:
         """Forgets all parts; the arrays stay for the next ones."""
@@ -76,6 +101,10 @@ class Lattices:
             setattr(self, name, own := larger)
         own[start : start + len(values)] = values
 
+    @property
+    def full(self) -> bool:
+        return self.edges > _TABLE_EDGES or len(self.known) > _TABLE_PARTS
+
     def add(self, parts: Sequence[str]) -> None:
         """Enters new parts."""
         groups: dict[int, list[str]] = {}
@@ -83,21 +112,53 @@ class Lattices:
             groups.setdefault(len(p), []).append(p)
         for n, group in groups.items():
             width = min(n, self.voc.longest)
-            most = max(20, 400_000 // (n * width))
+            most = 1 if n > _LONG else max(20, 400_000 // (n * width))
             for i in range(0, len(group), most):
                 block = group[i : i + most]
-                base, first, *numbers = self._block(block, n, width, self.states, self.edges)
-                self._append("base", len(self.known), base)
-                self._append("first", self.states + 1, first)
-                for name, x in zip(("cum", "piece", "next", "logq"), numbers, strict=True):
+                numbers = self._long(block[0], width) if n > _LONG else self._block(block, n, width)
+                state = numbers[0]
+                last = self.edges + np.cumsum(np.bincount(state, minlength=n * len(block)))
+                self._append("base", len(self.known), self.states + n * np.arange(len(block)))
+                self._append("first", self.states + 1, last)
+                for name, x in zip(("cum", "piece", "next", "logq"), numbers[1:], strict=True):
                     self._append(name, self.edges, x)
                 self.known.update(zip(block, range(len(self.known), len(self.known) + len(block)), strict=True))
                 self.states += n * len(block)
-                self.edges += len(numbers[0])
+                self.edges += len(state)
+
+    @staticmethod
+    def _marked(part: str) -> str:
+        """Blanks as the vocabulary writes them."""
+        return part.replace(" ", BLANK) if part[0] == " " else part
+
+    def _weigh(self, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Weights of the pieces; where no piece covers a single character, its code stands for one, and weighs little."""
+        weight = self.weight[ids]  # -1 reads the last weight, which is 0
+        single = ids[..., -1] < 0
+        ids[..., -1][single] = self.voc.size + codes[single].astype(np.int64)
+        weight[..., -1][single] = self.unknown
+        return weight
+
+    def _edges(self, weight: np.ndarray, ids: np.ndarray, width: int, n: int, first: int = 0):
+        """state, cum, piece, next, logq of the edges. weight: for each state and step (longest first) the mass of the segmentations by it, in any unit of the state's own."""
+        share = weight / weight.sum(1, keepdims=True)
+        held = np.flatnonzero(weight.ravel() > 0)
+        state, back = np.divmod(held, width)
+        q, cum = share.ravel()[held], np.cumsum(share, 1).ravel()[held]
+        cum[np.flatnonzero(np.append(state[1:] != state[:-1], True))] = 1.0
+        logq = np.log(q)
+        # near 1 the logarithm comes from the other edges' share
+        near = np.flatnonzero(q > 0.9999)
+        others = share[state[near]]
+        others[np.arange(len(near)), back[near]] = 0.0
+        logq[near] = np.log1p(-others.sum(1))
+        step = width - back
+        step[(first + state) % n + step == n] = 0  # how far the next state is; 0: the part ends
+        return state, cum, ids.ravel()[held], step.astype(np.int8), logq
 
-    def _block(self, block: list[str], n: int, width: int, states: int, edges: int):
+    def _block(self, block: list[str], n: int, width: int):
         m = len(block)
-        lattice = [BLANK + p[1:] if p[0] == " " else p for p in block]
+        lattice = [self._marked(p) for p in block]
         # places for pieces from each position, longest first: the likeliest edge mostly is the first that a walk looks at
         ids = np.full((m, n, width), -1, np.int32)
         for first, end, found in self.voc.edges(lattice, n):
@@ -105,24 +166,43 @@ class Lattices:
             ids[:, starts, width - (end - starts)] = found
         if n == 1:
             ids[[k for k, p in enumerate(block) if p == BLANK]] = -1
-        weight = self.weight[ids]  # -1 reads the last weight, which is 0
-        single = np.nonzero(ids[:, :, -1] < 0)
-        ids[(*single, width - 1)] = self.voc.size + code_points(lattice, n)[single].astype(np.int64)
-        weight[(*single, width - 1)] = self.unknown
+        weight = self._weigh(ids, code_points(lattice, n))
         beta = np.zeros((m, n + width))
         beta[:, n] = 1.0
         for start in range(n - 1, -1, -1):
             weight[:, start, :] *= beta[:, start + width : start : -1]
             beta[:, start] = weight[:, start, :].sum(1)
-        share = weight / beta[:, :n, None]
-        held = np.flatnonzero(weight.ravel() > 0)
-        state, back = np.divmod(held, width)
-        q, cum = share.ravel()[held], np.cumsum(share, 2).ravel()[held]
-        last = np.cumsum(np.bincount(state, minlength=m * n))
-        cum[last - 1] = 1.0
-        step = width - back
-        step[state % n + step == n] = 0  # how far the next state is; 0: the part ends
-        return states + n * np.arange(m), edges + last, cum, ids.ravel()[held], step.astype(np.int8), np.minimum(np.log(q), 0.0).astype(np.float32)
+            if n > 24 and start % 8 == 0:  # only ratios count: sums stay in range
+                beta[:, start : start + width] /= beta[:, start : start + width].max(1, keepdims=True)
+        return self._edges(weight.reshape(m * n, width), ids.reshape(m * n, width), width, n)
+
+    def _long(self, part: str, width: int):
+        """As _block, for one long part; stretches from its end on."""
+        n = len(part)
+        codes = code_points([self._marked(part)], n)
+        sums = self.voc.prefixes(codes)[0]
+        power = [np.uint64(x) for x in self.voc.powers(width)]
+        made, tail = [], np.zeros(width)
+        tail[0] = 1.0  # the sums of the positions after the stretch
+        for a in range((n - 1) // _STRETCH * _STRETCH, -1, -_STRETCH):
+            b = min(a + _STRETCH, n)
+            ids = np.full((b - a, width), -1, np.int32)
+            for size in range(1, width + 1):
+                stop = min(b, n - size + 1)
+                if stop > a:
+                    ids[: stop - a, width - size] = self.voc.lookup(sums[a + size : stop + size] - sums[a:stop] * power[size])
+            weight = self._weigh(ids, codes[0, a:b])
+            beta = np.concatenate([np.zeros(b - a), tail])
+            for k in range(b - a - 1, -1, -1):
+                row = weight[k]
+                row *= beta[k + width : k : -1]
+                beta[k] = total = row.sum()
+                if total < 1e-100:
+                    beta[k : k + width] /= total
+            tail = beta[:width].copy()
+            state, *rest = self._edges(weight, ids, width, n, a)
+            made.append((state + a, *rest))
+        return [np.concatenate(x) for x in zip(*reversed(made), strict=True)]
 
 
 _tables: dict[tuple[str, float], Lattices] = {}
@@ -166,6 +246,10 @@ def _ordered(n_parts: int, part: np.ndarray, number: np.ndarray, edge: np.ndarra
     return out, bounds
 
 
+#: Below this share, masses are summed step by step: differences of logarithms would lose them.
+_SMALL = 1e-3
+
+
 def _under(bound: float, log_mass: float, u: float) -> float:
     """The largest perturbed value of a set of segmentations of this mass, given that it lies below the bound."""
     g = log_mass - math.log(-math.log(u))
@@ -192,13 +276,23 @@ class _Search:
 
     def rest(self, bound: float, path: np.ndarray, falls: np.ndarray, begin: int, opened: tuple[int, ...]) -> None:
         """falls: log masses of the path's prefixes, one more than steps."""
-        mass = -math.expm1(falls[-1] - falls[begin]) - sum(self._own(falls, begin, s) for s in opened)
-        if mass > 1e-15:
+        mass = self._left(path, falls, begin, opened)
+        if mass > 0:
             self.nodes.append((_under(bound, float(falls[begin]) + math.log(mass), self.draw()), path, falls, begin, opened, None))
 
-    @staticmethod
-    def _own(falls: np.ndarray, begin: int, step: int) -> float:
-        return math.exp(falls[step] - falls[begin]) * -math.expm1(falls[step + 1] - falls[step])
+    def _left(self, path: np.ndarray, falls: np.ndarray, begin: int, opened: tuple[int, ...]) -> float:
+        """The mass of all siblings from a step on, without the opened steps, as a share of the prefix: by the difference where it is large, else step by step."""
+        mass = -math.expm1(falls[-1] - falls[begin]) - sum(self._own(path, falls, begin, s) for s in opened)
+        return mass if mass > _SMALL else float(self._each(path, falls, begin, opened).sum())
+
+    def _each(self, path: np.ndarray, falls: np.ndarray, begin: int, opened: tuple[int, ...]) -> np.ndarray:
+        """The mass of the siblings at each step."""
+        own = np.exp(falls[begin:-1] - falls[begin]) * -np.expm1(self.t.logq[path[begin:]])
+        own[[s - begin for s in opened]] = 0.0
+        return own
+
+    def _own(self, path: np.ndarray, falls: np.ndarray, begin: int, step: int) -> float:
+        return math.exp(falls[step] - falls[begin]) * -math.expm1(float(self.t.logq[path[step]]))
 
     def siblings(self, bound: float, path: np.ndarray, falls: np.ndarray, step: int, taken: tuple[int, ...]) -> None:
         edges = self._edges(int(path[step]), taken)
@@ -223,21 +317,10 @@ class _Search:
         value, path, falls, step, taken, edges = node
         if edges is None:
             begin, opened = step, taken
-            shares = [(s, self._own(falls, begin, s)) for s in sorted(opened)]
-            r = self.draw() * (-math.expm1(falls[-1] - falls[begin]) - sum(m for _, m in shares))
-            for s, m in shares:
-                if r >= -math.expm1(falls[s] - falls[begin]):
-                    r += m
-            # the last step whose prefix still has the mass that lies beyond r
-            step = int(np.searchsorted(-falls, -(falls[begin] + math.log(max(1.0 - r, 1e-300))), "right")) - 1
-            step = min(max(step, begin), len(path) - 1)
-            while step > begin and (falls[step + 1] == falls[step] or step in opened):
-                step -= 1
+            step = self._drawn_step(path, falls, begin, opened)
             self.rest(value, path, falls, begin, (*opened, step))
             taken = (int(path[step]),)
             edges = self._edges(taken[0], taken)
-            if not edges:  # a step without siblings has no mass; only rounding leads here
-                return self.take()
         q = self._shares(edges)
         r, chosen = self.draw() * sum(q), edges[-1]
         for e, p in zip(edges, q, strict=True):
@@ -249,16 +332,36 @@ class _Search:
             self.siblings(value, path, falls, step, (*taken, chosen))
         return value, path, falls, step, chosen
 
+    def _drawn_step(self, path: np.ndarray, falls: np.ndarray, begin: int, opened: tuple[int, ...]) -> int:
+        """A step by the masses of its siblings."""
+        shares = [(s, self._own(path, falls, begin, s)) for s in sorted(opened)]
+        mass = -math.expm1(falls[-1] - falls[begin]) - sum(m for _, m in shares)
+        if mass > _SMALL:
+            r = self.draw() * mass
+            for s, m in shares:
+                if r >= -math.expm1(falls[s] - falls[begin]):
+                    r += m
+            # the last step whose prefix still has the mass that lies beyond r
+            step = int(np.searchsorted(-falls, -(falls[begin] + math.log(max(1.0 - r, 1e-300))), "right")) - 1
+            step = min(max(step, begin), len(path) - 1)
+            if step not in opened and self.t.logq[path[step]] < 0:
+                return step
+        own = self._each(path, falls, begin, opened)
+        up = np.cumsum(own)
+        step = int(np.searchsorted(up, self.draw() * up[-1], "right"))
+        return begin + (step if step < len(own) and own[step] > 0 else int(own.argmax()))
+
     def best(self) -> float:
         return max((x[0] for x in self.nodes), default=-math.inf)
 
 
 def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattices) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text its sampled segmentations, best first: (piece ids, log probability, perturbed value); one more value, without pieces, is the threshold."""
-    cut = [parts_of(t) if t else [] for t in texts]
+    joints = _joints(table.voc)
+    cut = [parts_of(t, joints) if t else [] for t in texts]
     coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
     distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if len(table.known) > _TABLE_PARTS:
+    if table.full:
         table.clear()
     places = list(map(table.known.get, distinct))
     if None in places:
@@ -280,7 +383,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     begin = np.zeros(len(texts), np.int64)
     out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
     for s in range(k):
-        pieces, falls = table.piece[path], np.concatenate([[0.0], np.cumsum(table.logq[path], dtype=np.float64)])
+        pieces, falls = table.piece[path], np.concatenate([[0.0], np.cumsum(table.logq[path])])
         for i in live.tolist():
             a, b = at[i], at[i + 1]
             own = falls[a : b + 1] - falls[a]
@@ -354,21 +457,46 @@ def spelled(ids: np.ndarray, voc, lengths: np.ndarray | None = None) -> np.ndarr
     return out, np.diff(ends)
 
 
-def decode_ids(ids: Sequence[int], path: str | None = None) -> str:
-    """The text of piece ids."""
-    voc = vocabulary(path or default_vocabulary())
-    back = {i: bytes([b]) for b, i in voc.bytes.items()}
-    data = b"".join(back[i] if i in back else voc.piece[i].replace(BLANK, " ").encode() for i in ids)
-    return data.decode("utf-8", "replace")[1:]
-
-
-def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", k: int = 2, seed: int = 17, alpha: float = 1.0, path: str | None = None) -> DataFrame:
-    """k rows for each row (fewer where a text has fewer segmentations): the columns in keep, rank, pieces, n_pieces, log_prob, perturbed, threshold, log_inclusion."""
+def _bytes_of(voc) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all pieces after one another, and each piece's bounds in them."""
+    if not hasattr(voc, "spelling"):
+        back = {i: bytes([b]) for b, i in voc.bytes.items()}
+        parts = [back[i] if i in back else voc.piece[i].replace(BLANK, " ").encode() for i in range(voc.size)]
+        voc.spelling = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    return voc.spelling
+
+
+def decoded(ids: np.ndarray, lengths: np.ndarray, path: str | None = None) -> pa.Array:
+    """The texts of piece ids; lengths tells how many ids each text has. The blank that encoding puts before a text goes; bytes that aren't UTF-8 are replaced."""
+    data, at = _bytes_of(vocabulary(path or default_vocabulary()))
+    sizes = at[ids + 1] - at[ids]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = data[np.repeat(at[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+    bounds = ends[np.concatenate([[0], np.cumsum(lengths)])]
+    start = bounds[:-1][bounds[:-1] < bounds[1:]]
+    keep = np.ones(len(out), bool)
+    keep[start[out[start] == 32]] = False
+    kept = np.concatenate([[0], np.cumsum(keep)])[bounds]
+    texts = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(out[keep])])
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([b.decode("utf-8", "replace") for b in texts.cast(pa.large_binary(), safe=False).to_pylist()], pa.large_string())
+    return texts
+
+
+def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", k: int = 2, seed: int = 17, alpha: float = 1.0, path: str | None = None, check: bool = False) -> DataFrame:
+    """k rows for each row (fewer where a text has fewer segmentations): the columns in keep, rank, pieces, n_pieces, log_prob, perturbed, threshold, log_inclusion.
+
+    With `check` the pieces are decoded again; `exact` tells whether they give the text (null: an empty one).
+    """
     path = path or default_vocabulary()
     made = T.StructType(
         [T.StructField("rank", T.IntegerType()), T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType())]
         + [T.StructField(c, T.DoubleType()) for c in ("log_prob", "perturbed", "threshold", "log_inclusion")]
     )
+    if check:
+        made.add("exact", T.BooleanType())
     kept = [c for c in keep if c not in made.names]
     schema = T.StructType([*(docs.schema[c] for c in kept), *made])
 
@@ -403,12 +531,17 @@ def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", text: str = "t
                 numbers.append((log_prob, value, threshold, inclusion))
         joined = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
         joined, lengths = spelled(joined, voc, np.array([len(p) for p in pieces], np.int64))
+        del pieces
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(joined, pa.int32()))
         take = pa.array(rows, pa.int64())
         columns = [b.column(b.schema.get_field_index(c)).take(take) for c in kept]
         values = np.array(numbers, float).reshape(-1, 4)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(rank, pa.int32()), lists, pa.array(lengths.astype(np.int32)), *(pa.array(np.ascontiguousarray(values[:, c])) for c in range(4))], names=schema.names)
+        own = [pa.array(rank, pa.int32()), lists, pa.array(lengths.astype(np.int32)), *(pa.array(np.ascontiguousarray(values[:, c])) for c in range(4))]
+        if check:
+            texts = pc.fill_null(b.column(b.schema.get_field_index(text)), "").cast(pa.large_string()).take(take)
+            own.append(pc.equal(decoded(joined, lengths, path), texts))
+        return pa.RecordBatch.from_arrays([*columns, *own], names=schema.names)
 
     return docs.select(*dict.fromkeys([*kept, key, text])).mapInArrow(run, schema)
 
@@ -425,6 +558,11 @@ def hash_key(key) -> int:
 
 def decode(rows: DataFrame, keep: list[str], pieces: str = "pieces", path: str | None = None) -> DataFrame:
     """Appends `decoded`, the text of each row's pieces; null pieces give null."""
-    path = path or default_vocabulary()
-    run = lambda column: [pa.array([None if ids is None else decode_ids(ids, path) for ids in column.to_pylist()], pa.string())]
+
+    def run(column: pa.Array):
+        lists = pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = decoded(lists.flatten().to_numpy(zero_copy_only=False), lengths, path).cast(pa.string())
+        return [pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string())) if column.null_count else texts]
+
     return map_texts(rows, pieces, run, [T.StructField("decoded", T.StringType())], keep)

@@ -53,11 +53,17 @@ class Vocabulary:
         for n, group in sorted(by_length.items()):
             codes = code_points([self.piece[i] for i in group], n)
             ids.append(np.array(group, np.int32))
-            hashes.append(self._prefixes(codes)[:, n])
+            hashes.append(self.prefixes(codes)[:, n])
         self._table(np.concatenate(ids), np.concatenate(hashes))
 
     @staticmethod
-    def _prefixes(codes: np.ndarray) -> np.ndarray:
+    def powers(n: int) -> list[int]:
+        """The hash base to the powers 0 to n."""
+        return [pow(int(_BASE), k, 1 << 64) for k in range(n + 1)]
+
+    @staticmethod
+    def prefixes(codes: np.ndarray) -> np.ndarray:
+        """Hashes of all prefixes of each row of code points."""
         h = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
         mixed = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
@@ -95,7 +101,7 @@ class Vocabulary:
 
     def edges(self, words: Sequence[str], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first start, end, ids) over words of one length, ends ascending; ids has a column for each start from the first one to end - 1, -1 where no piece covers start to end."""
-        h = self._prefixes(code_points(words, length))
+        h = self.prefixes(code_points(words, length))
         power = np.array([pow(int(_BASE), n, 1 << 64) for n in range(self.longest, 0, -1)], np.uint64)
         for end in range(1, length + 1):
             first = max(0, end - self.longest)

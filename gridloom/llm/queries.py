@@ -55,9 +55,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every document: doc_id, rank, pieces, n_pieces, log_prob, perturbed, threshold, log_inclusion."""
+    """Two distinct sampled segmentations of every document: doc_id, rank, pieces, n_pieces, log_prob, perturbed, threshold, log_inclusion, and whether decoding gives the text."""
     tune(spark)
-    return piece_sampling.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], k=2)
+    return piece_sampling.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], k=2, check=True)
 
 
 def learned_rules(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> list[quality_rules.Rule]:
