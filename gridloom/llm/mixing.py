@@ -1,19 +1,22 @@
 """Mixing sources to target weights by pivotal dependent rounding. DataFrame and SQL functions only.
 
 A document of a source with target t and size s is wanted t / s times: its whole part is certain, its fraction is a copy
-probability. Fractions are rounded dependently: two of them meet, and mass moves at random from one to the other until one is 0 or 1, so that
-every document keeps its probability while the sum stays. Documents of one source and similar size meet first, inside
+probability. Fractions are rounded dependently: two of them meet, and words move at random from one to the other until one's probability is 0 or 1, so that
+every document keeps its probability while the words of the two together stay what they were. Documents of one source and similar size meet first, the longest first, inside
 groups of at most about FAN rows; each group leaves at most one fraction, and these meet again in a reduction
 tree whose groups come from the documents' hashes: level k has (rows / FAN**k) hash buckets, so that no group grows with
 a source's size, and log(rows) / log(FAN) levels bring one fraction per source and size class, then one per source, which
-a last draw rounds. All draws are hashes of the document and its place, so reruns and other partitionings agree.
+a last draw rounds. A source's words therefore miss its target by less than the size of that one document. All draws are hashes of the document and its place, so reruns and other partitionings agree.
 
 Sizes are words (runs of anything but ASCII blanks; null text: 0). Sources stand in code point order, null last; an empty table gives
-an empty result; documents of size 0 take 0; rows repeated in full are rounded each for itself.
+an empty result; documents of size 0 take 0 words, and their copies are drawn each for itself. Equal rows are rounded as one with as many copies, then told apart by their number:
+neither repeated rows nor null or repeated ids make a large group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,62 +62,72 @@ def with_source_figures(docs: DataFrame, figures: DataFrame, key: Column) -> Dat
     return left.join(right, ["_null", "_name", "_salt"]).drop("_null", "_name", "_salt")
 
 
-def _fold(seed: int, level: int) -> str:
-    """Folds an ordered array `m` of (size, id, p): what is decided, and the one fraction that is left (p null: none).
+def _fold(seed: int, level: int, who: str) -> str:
+    """Folds an ordered array `m` of (size, key, p, who): what is decided, and the one fraction that is left (p null: none).
 
-    With the running fraction a and the next one b: if a + b < 1 one of them gets a + b and the other 0, a with chance
-    a / (a + b); else one gets 1 and the other a + b - 1, a getting 1 with chance (1 - b) / (2 - a - b).
+    The running fraction may rise and the next one fall by the same `up` words, or the other way round by `down` words, as far as one of them gets integral;
+    the chances, down to up, keep both expectations. who: the type of the column `who`.
     """
-    u = f"(pmod(xxhash64(x.id, acc.rest.id, {seed}, {level}), 1099511627776L) / 1099511627776D)"
-    total = "(acc.rest.p + x.p)"
-    first = f"(CASE WHEN {total} < 1D THEN {u} * {total} < acc.rest.p ELSE {u} * (2D - {total}) < 1D - x.p END)"
-    keep = lambda who, p: f"named_struct('size', {who}.size, 'id', {who}.id, 'p', {p})"
-    done = lambda who, taken: f"concat(acc.done, array(named_struct('size', {who}.size, 'id', {who}.id, 'taken', {taken})))"
-    nothing = "named_struct('size', CAST(NULL AS BIGINT), 'id', CAST(NULL AS BIGINT), 'p', CAST(NULL AS DOUBLE))"
-    state = lambda d, r: f"named_struct('done', {d}, 'rest', {r})"
+    r, u = "acc.rest", "(pmod(xxhash64(x.key, acc.rest.key, {seed}, {level}), 1099511627776L) / 1099511627776D)".format(seed=seed, level=level)
+    keep = lambda one, p: f"named_struct('size', {one}.size, 'key', {one}.key, 'p', {p}, 'who', {one}.who)"
+    done = lambda one, taken: f"concat(acc.done, array(named_struct('size', {one}.size, 'who', {one}.who, 'taken', {taken})))"
+    nothing = f"named_struct('size', CAST(NULL AS BIGINT), 'key', CAST(NULL AS BIGINT), 'p', CAST(NULL AS DOUBLE), 'who', CAST(NULL AS {who}))"
+    state = lambda d, rest: f"named_struct('done', {d}, 'rest', {rest})"
+    rise, fall = f"(1D - {r}.p) * {r}.size", f"{r}.p * {r}.size"
     return f"""
-        aggregate(m, {state("CAST(array() AS array<struct<size: bigint, id: bigint, taken: int>>)", nothing)}, (acc, x) -> CASE
-            WHEN x.p <= 1e-12 THEN {state(done("x", "0"), "acc.rest")}
-            WHEN x.p >= 1D - 1e-12 THEN {state(done("x", "1"), "acc.rest")}
-            WHEN acc.rest.p IS NULL THEN {state("acc.done", keep("x", "x.p"))}
-            WHEN {total} < 1D AND {first} THEN {state(done("x", "0"), keep("acc.rest", total))}
-            WHEN {total} < 1D THEN {state(done("acc.rest", "0"), keep("x", total))}
-            WHEN {first} THEN {state(done("acc.rest", "1"), keep("x", total + " - 1D"))}
-            ELSE {state(done("x", "1"), keep("acc.rest", total + " - 1D"))} END)
+        aggregate(m, {state(f"CAST(array() AS array<struct<size: bigint, who: {who}, taken: int>>)", nothing)}, (acc, x) -> CASE
+            WHEN x.p <= 1e-12 THEN {state(done("x", "0"), r)}
+            WHEN x.p >= 1D - 1e-12 THEN {state(done("x", "1"), r)}
+            WHEN {r}.p IS NULL THEN {state("acc.done", keep("x", "x.p"))}
+            ELSE element_at(transform(array(named_struct('up', least({rise}, x.p * x.size), 'down', least({fall}, (1D - x.p) * x.size))), w -> CASE
+                WHEN {u} * (w.up + w.down) < w.down THEN CASE
+                    WHEN {rise} <= x.p * x.size THEN {state(done(r, "1"), keep("x", "x.p - w.up / x.size"))}
+                    ELSE {state(done("x", "0"), keep(r, f"{r}.p + w.up / {r}.size"))} END
+                WHEN {fall} <= (1D - x.p) * x.size THEN {state(done(r, "0"), keep("x", "x.p + w.down / x.size"))}
+                ELSE {state(done("x", "1"), keep(r, f"{r}.p - w.down / {r}.size"))} END), 1) END)
     """
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, most: float = 3.0, seed: int = 11, text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (= copies * size) for every document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, most: float = 3.0, seed: int = 11, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, the columns in keep, size, source_size, target, copies and taken (= copies * size) for every document.
 
-    docs has doc_id (an integer), text and source. Weights repeat over the sources in order; a target stops at `most` times its source.
+    docs has doc_id, text and source. Weights repeat over the sources in order; a target stops at `most` times its source.
     """
-    sized = checkpointed(docs.select("doc_id", "source", words(F.col(text)).alias("size")))
-    figures = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    own = ["doc_id", *keep]
+    measured = docs.select(*own, "source", words(F.col(text)).alias("size"), F.xxhash64("doc_id", "source", text).alias("key"))
+    sized = checkpointed(measured.groupBy(*own, "source", "size", "key").agg(F.count("*").alias("n")))
+    figures = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("rows"))
     figures = checkpointed(figures)
     total = figures.agg(F.sum("rows")).first()[0] or 0
     goals = checkpointed(targets(figures.select("source", "source_size"), weights, share, most))
-    joined = with_source_figures(sized, goals, F.col("doc_id"))
+    joined = with_source_figures(sized, goals, F.col("key"))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # a hair below a whole number is that number
+    # a hair below a whole number is that number; equal rows share one fraction, beyond the whole copies that they get together
     whole = F.floor(wanted + 1e-12)
-    base = joined.withColumn("whole", whole.cast("int")).withColumn("p", F.greatest(wanted - whole, F.lit(0.0)))
+    base = joined.withColumn("whole", whole.cast("int")).withColumn("together", F.greatest(wanted - whole, F.lit(0.0)) * F.col("n"))
+    base = base.withColumn("more", F.floor(F.col("together") + 1e-12)).withColumn("p", F.greatest(F.col("together") - F.col("more"), F.lit(0.0)))
     fixed = ["source", "source_size", "target", "whole"]
     size_class = F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int")
-    rest = base.select(*fixed, size_class.alias("class"), "size", F.col("doc_id").alias("id"), "p")
+    rest = base.select(*fixed, size_class.alias("class"), "size", "key", "p", F.struct(*own, "n", "more").alias("who"))
+    who = rest.schema["who"].dataType.simpleString()
     deepest = next(k for k in range(64) if FAN ** (k + 1) >= total)
-    hashed, parts = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 62)), []
+    drawn = F.pmod(F.xxhash64(F.col("key"), F.lit(seed), F.lit(-1)), F.lit(1 << 40)) / float(1 << 40)
+    draw = lambda df: df.select(*fixed, "size", "who", (drawn < F.col("p")).cast("int").alias("taken"))
+    parts = [draw(rest.where("size = 0"))]
+    rest = rest.where("size > 0")
+    hashed = F.pmod(F.xxhash64(F.col("key"), F.lit(seed)), F.lit(1 << 62))
     # the buckets of a level are unions of FAN buckets of the level before; the last level joins a source's size classes
     for level, modulus in enumerate([*(FAN**k for k in range(deepest, -1, -1)), None]):
         keys = [*fixed, "class", "bucket"] if modulus else fixed
-        groups = rest.withColumn("bucket", hashed % (modulus or 1)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("size", "id", "p"))).alias("m"))
+        groups = rest.withColumn("bucket", hashed % (modulus or 1)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("size", "key", "p", "who")), asc=False).alias("m"))
         size_class = F.col("class") if modulus else F.lit(0).alias("class")
-        folded = checkpointed(groups.select(*fixed, size_class, F.expr(_fold(seed, level)).alias("f")))
-        parts.append(folded.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.size", "d.id", "d.taken"))
-        rest = folded.where(F.col("f.rest.p").isNotNull()).select(*fixed, "class", "f.rest.size", "f.rest.id", "f.rest.p")
-    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(-1)), F.lit(1 << 40)) / float(1 << 40)
-    out = rest.select(*fixed, "size", "id", (drawn < F.col("p")).cast("int").alias("taken"))
+        folded = checkpointed(groups.select(*fixed, size_class, F.expr(_fold(seed, level, who)).alias("f")))
+        parts.append(folded.select(*fixed, F.explode("f.done").alias("d")).select(*fixed, "d.size", "d.who", "d.taken"))
+        rest = folded.where(F.col("f.rest.p").isNotNull()).select(*fixed, "class", "f.rest.size", "f.rest.key", "f.rest.p", "f.rest.who")
+    out = draw(rest)
     for part in parts:
         out = out.unionByName(part)
-    copies = (F.col("whole") + F.col("taken")).cast("int")
-    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    # equal rows in a row of their own each: the first ones get the copies beyond the whole ones
+    each = out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("who.n"))))
+    copies = (F.col("whole") + (F.col("_k") <= F.col("who.more") + F.col("taken")).cast("int")).cast("int")
+    return each.select(*(F.col(f"who.{c}").alias(c) for c in own), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -18,13 +18,13 @@ pairs are compared by their exact sets, so also pairs whose own paths never met.
 blocks and each pair of blocks is one unit of work with bounded memory. What leaves a unit is one row for each set, with the
 number of its links, not one per pair.
 
-Null texts count as empty. A document without words, or without links, is its own class with 0 links. A doc_id stands for one text: rows that repeat
-it in full count as copies. An empty table gives an empty result.
+Null texts count as empty. A document without words, or without links, is its own class with 0 links. Rows are told apart by their texts, not by their ids: an id
+may be null or stand for several texts, and rows repeated in full count as copies. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +89,13 @@ def _paths(s: np.ndarray) -> bytes:
     return keys.tobytes()
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), two hashes of the whole set, sketch and path keys; n is 0 where there are no words."""
+def _hashes(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a whole set."""
+    return W.mix(s).sum(dtype=np.uint64), W.mix(s ^ _ODD).sum(dtype=np.uint64)
+
+
+def signatures(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns in keep, n (size of the set), two hashes of the whole set, sketch and path keys; n is 0 where there are no words."""
     fields = [T.StructField("n", T.IntegerType()), T.StructField("set_a", T.LongType()), T.StructField("set_b", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("paths", T.BinaryType())]
 
     def run(column: pa.Array):
@@ -98,14 +103,15 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
         n, a, b, sketch, paths = [], [], [], [], []
         for s in shingle_sets(*W.buffers(column)):
             n.append(len(s))
-            a.append(W.mix(s).sum(dtype=np.uint64))
-            b.append(W.mix(s ^ _ODD).sum(dtype=np.uint64))
+            own = _hashes(s)
+            a.append(own[0])
+            b.append(own[1])
             sketch.append(_sketch(s) if len(s) else None)
             paths.append(_paths(s) if len(s) else None)
         to_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         return pa.array(n, pa.int32()), to_long(a), to_long(b), pa.array(sketch, pa.binary()), pa.array(paths, pa.binary())
 
-    return map_texts(docs, text, run, fields, ["doc_id"])
+    return map_texts(docs, text, run, fields, list(keep))
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -313,55 +319,76 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def _place(text: str = "text"):
+    """A hash by which a set's text is found again among the documents; the set itself tells whether it is the one."""
+    return F.xxhash64("doc_id", text)
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of each set's text, once for each set and task. Rows whose text only shares its hash go."""
+    claim("shingles", lambda: None)
+    seen: set[int] = set()
+    for b in batches:
+        d = {c: b.column(c).to_pylist() for c in ("rep", "set_a", "set_b")}
+        held, tokens = [], []
+        for k, s in enumerate(shingle_sets(*W.buffers(b.column("text")))):
+            own = tuple(int(x.view(np.int64)) for x in _hashes(s))
+            if own == (d["set_a"][k], d["set_b"][k]) and d["rep"][k] not in seen:
+                seen.add(d["rep"][k])
+                held.append(k)
+                tokens.append(s.tobytes())
+        take = pa.array(held, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("rep", "comp", "copies", "parts")), pa.array(tokens, pa.binary())], names=["rep", "comp", "copies", "parts", "tokens"])
+
+
 def exact_links(docs: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
     """(rep, links, root, parts) of each set in each unit of its candidate component."""
-    members = components.select(F.col("node").alias("rep"), F.col("label").alias("comp")).join(sets.select("rep", "n", "copies"), "rep")
+    members = components.select(F.col("node").alias("rep"), F.col("label").alias("comp")).join(sets.select("rep", "place", "n", "set_a", "set_b", "copies"), "rep")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
     parts = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    members = written(members.join(sizes.select("comp", parts.alias("parts")), "comp").select(F.col("rep").alias("doc_id"), "comp", "copies", "parts"))
+    members = written(members.join(sizes.select("comp", parts.alias("parts")), "comp").select("place", "rep", "set_a", "set_b", "comp", "copies", "parts"))
     few = members.count() <= BROADCAST_ROWS
-    chosen = docs.select("doc_id", "text").join(F.broadcast(members) if few else members, "doc_id")
-
-    def tokens(column: pa.Array):
-        return [pa.array([s.tobytes() for s in shingle_sets(*W.buffers(column))], pa.binary())]
-
-    held = map_texts(chosen, "text", tokens, [T.StructField("tokens", T.BinaryType())], ["doc_id", "comp", "copies", "parts"])
-    block = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    chosen = docs.select("text", _place().alias("place")).join(F.broadcast(members) if few else members, "place")
+    held = chosen.select("text", "rep", "set_a", "set_b", "comp", "copies", "parts").mapInArrow(_tokens, "rep long, comp long, copies long, parts int, tokens binary")
+    block = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     units = (
-        held.select(F.col("doc_id").alias("rep"), "comp", "copies", "parts", block.alias("block"), "tokens")
+        held.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "parts", "rep", "copies", "block", "tokens")
     )
     return units.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_exact, "rep long, links long, root long, parts int")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class of linked documents), n_links (documents at similarity 0.8 or more) and class_first (whether doc_id is class_id) for each row.
+def join(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns in keep, class_id (smallest doc_id of the class of linked documents), n_links (documents at similarity 0.8 or more), class_key (a number of the class, of this run alone) for each row.
 
-    docs has doc_id (an integer) and text.
+    docs has doc_id (an integer) and text. A class whose ids are all null has a null class_id; class_key is null where there is no link.
     """
-    docs = docs.select("doc_id", "text")
-    marked = written(signatures(docs))
+    docs = docs.select("doc_id", "text", *keep)
+    marked = written(signatures(docs.withColumn("place", _place()), ["doc_id", *keep, "place"]))
     key = ["n", "set_a", "set_b"]
-    first = F.min(F.struct("doc_id", "sketch", "paths"))
-    sets = written(marked.where("n > 0").groupBy(*key).agg(first.alias("f"), F.count("*").alias("copies")).select(*key, F.col("f.doc_id").alias("rep"), "copies", "f.sketch", "f.paths"))
+    first = F.min(F.struct("place", "sketch", "paths"))
+    found = marked.where("n > 0").groupBy(*key).agg(first.alias("f"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    # the numbers hold from here on, since the table is written
+    sets = written(found.select(F.monotonically_increasing_id().alias("rep"), *key, "first_id", "copies", "f.place", "f.sketch", "f.paths"))
     components = connected_components(candidate_ties(sets.select("rep", "sketch", "paths")))
     found = written(exact_links(docs, sets, components))
-    whole = found.where("parts = 1").select("rep", "links", F.col("root").alias("class_id"))
+    whole = found.where("parts = 1").select("rep", "links", F.col("root").alias("class_key"))
     cut = found.where("parts > 1")
     if not cut.isEmpty():
         counts = cut.groupBy("rep").agg(F.sum("links").alias("links"))
         roots = connected_components(cut.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        joined = counts.join(roots, counts.rep == roots.node, "left").select("rep", "links", F.coalesce("label", "rep").alias("class_id"))
+        joined = counts.join(roots, counts.rep == roots.node, "left").select("rep", "links", F.coalesce("label", "rep").alias("class_key"))
         whole = whole.union(joined)
-    classes = (
-        sets.select(*key, "rep", "copies")
+    linked = written(
+        sets.select(*key, "rep", "first_id", "copies")
         .join(whole, "rep", "left")
-        .select(*key, F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select(*key, "first_id", F.coalesce("class_key", "rep").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         .where("n_links > 0")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     )
-    salted = marked.select("doc_id", *key).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    classes = linked.drop("first_id").join(linked.groupBy("class_key").agg(F.min("first_id").alias("class_id")), "class_key")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = marked.select("doc_id", *keep, *key).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     out = salted.join(classes, [*key, "salt"], "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (class_id == F.col("doc_id")).alias("class_first"))
+    class_id = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return out.select("doc_id", *keep, class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")

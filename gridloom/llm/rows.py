@@ -1,4 +1,7 @@
-"""Applying decisions about documents to the documents' rows, without shuffling their texts where the decisions are few."""
+"""Applying decisions about rows to the documents, without shuffling their texts where the decisions are few.
+
+A row is known by two hashes of all its columns, not by its doc_id: ids may be null, or stand for several texts. Rows equal in all columns share them.
+"""
 
 from __future__ import annotations
 
@@ -7,21 +10,29 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import written
 
-#: Decisions are broadcast up to so many rows (a key and two counts each, some 20 MB).
+#: Decisions are broadcast up to so many rows (two hashes and two counts each, some 20 MB).
 BROADCAST_ROWS = 500_000
+ROW = ["_row_a", "_row_b"]
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with 128 bits that tell its rows apart."""
+    held = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumns({"_row_a": F.xxhash64(*held), "_row_b": F.xxhash64(F.lit(1), *held)})
 
 
 def with_copies(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs with each doc_id `copies` times; decisions has doc_id, copies (of the doc_id in all) and n (its rows in docs).
+    """docs with each row `copies` times; decisions has the row's hashes, copies (of the row in all) and n (how often it stands in docs).
 
-    Only doc_ids whose number of rows changes take part in a join, by broadcast up to BROADCAST_ROWS of them. Documents without a decision stay as they are.
+    Only rows whose number changes take part in a join, by broadcast up to BROADCAST_ROWS of them. Rows without a decision stay as they are.
     """
-    changed = written(decisions.where(F.col("copies") != F.col("n")).select("doc_id", F.col("copies").alias("_copies"), F.col("n").alias("_n")))
+    changed = written(decisions.where(F.col("copies") != F.col("n")).select(*ROW, F.col("copies").alias("_copies"), F.col("n").alias("_n")))
     few = changed.count() <= BROADCAST_ROWS
     near = lambda df: F.broadcast(df) if few else df
     repeat = lambda df: df.withColumn("_copy", F.explode(F.expr("array_repeat(0, CAST(coalesce(_copies, 1) AS INT))"))).select(*docs.columns)
-    once, often = changed.where("_n = 1"), changed.where("_n > 1")
+    named, once, often = with_row(docs), changed.where("_n = 1"), changed.where("_n > 1")
     if often.isEmpty():
-        return repeat(docs.join(near(once), "doc_id", "left"))
-    rest = repeat(docs.join(near(often), "doc_id", "left_anti").join(near(once), "doc_id", "left"))
-    return rest.unionByName(repeat(docs.join(near(often), "doc_id").dropDuplicates(["doc_id"])))
+        return repeat(named.join(near(once), ROW, "left"))
+    rest = repeat(named.join(near(often), ROW, "left_anti").join(near(once), ROW, "left"))
+    # rows with the same hashes are equal, so it doesn't matter which one stays
+    return rest.unionByName(repeat(named.join(near(often), ROW).dropDuplicates(ROW)))

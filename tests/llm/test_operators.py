@@ -150,6 +150,11 @@ def test_ngram_join_against_brute_force(spark, odd):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(df).collect()}
     assert got == brute_links(rows)
     assert ngram_join.join(df.limit(0)).count() == 0
+    mixed = [(1, texts[12]), (1, texts[-1]), (2, texts[13]), (None, texts[14]), (None, texts[-2]), (1, texts[12])]
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(mixed, "doc_id long, text string")).collect())
+    by_row = brute_links(list(enumerate(t for _, t in mixed)))
+    assert Counter((i, n) for (i, _, n), c in got.items() for _ in range(c)) == Counter((mixed[k][0], n) for k, (_, n) in by_row.items())
+    assert all(c == 1 for i, c, n in got if n)
     twice = ngram_join.join(odd.where("doc_id = 6")).collect()
     assert [(r["class_id"], r["n_links"]) for r in twice] == [(6, 1)] * 2
 
@@ -302,6 +307,38 @@ def test_string_kernel():
     assert np.allclose(got, [[slow_kernel(a, b) for b in ws] for a in ws])
 
 
+def test_folded_decisions_are_kernel_sums():
+    """The weights of subsequences give what the landmarks' kernel values give; a word's decision is its largest window's."""
+    positive, negative = ["^idiot$", "^stupid", "stupid$", "^moron$"], ["^banana", "anana$", "^the$", "^nation", "nation$", "^thing$"]
+    marks = positive + negative[::2]
+    folded, bias, own = toxicity._folded(positive, negative, marks)
+    model = toxicity.ToxicityModel(np.stack([folded, 2 * folded], 1).astype(np.float32), np.array([bias, 0.5]), (0.0, 0.0), (None, None), 0.0, "test")
+    words = ["^idixot$", "^bananas$", "^a$", "^stupidity$", "^xyz$"]
+    plain = lambda w: max(sum(c * slow_kernel(x, m) for c, m in zip(own, marks, strict=True)) if len(x) > 2 else 0.0 for x in toxicity._windows(w))
+    got = toxicity._decisions(model, [*words, ""])
+    assert np.allclose(got[:-1, 0], [plain(w) + bias for w in words], atol=1e-4) and got[-1].tolist() == [bias, 0.5]
+    assert np.allclose(got[:-1, 1], [2 * plain(w) + 0.5 for w in words], atol=1e-4)
+
+
+def test_likely_forms_count_by_number(spark):
+    """Stems that clean texts meet now and then make a text toxic by their number; sequences that only toxic texts hold by one."""
+    r = np.random.default_rng(4)
+    syllables = "an er st on th re in ed nd ha to ou ea ti es ng or te".split()
+    rows, labelled = [], []
+    for k in range(1800):
+        toxic, w = int(k % 4 == 0), ["".join(r.choice(syllables, int(r.integers(1, 4)))) for _ in range(int(r.integers(60, 400)))]
+        for _ in range(max(2, len(w) // 45) if toxic else int(r.random() < 0.15)):
+            w[int(r.integers(0, len(w)))] = "achlich" + str(r.choice(syllables))
+        rows.append((k, " ".join(w)))
+        labelled.append((k, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labelled, "doc_id long, toxic int"), crc_mod("doc_id", 3) != 1)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs.where(crc_mod("doc_id", 3) == 1), model, ["doc_id"]).collect()}
+    truth = dict(labelled)
+    assert np.mean([p for k, p in got.items() if truth[k]]) > 0.9
+    assert np.mean([p for k, p in got.items() if not truth[k]]) < 0.02
+
+
 def test_toxicity(spark, odd):
     r = np.random.default_rng(3)
     syllables = "an er st on th re in ed nd ha to ou ea ti es ng or te".split()
@@ -321,7 +358,7 @@ def test_toxicity(spark, odd):
     truth = {k: t for k, t, _ in labelled}
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in scored]) > 0.97
     for bad in ("you are an idxiot really", "what a m.o.r.o.n he is", "s c u m b a g indeed", "such an 1d1ot today"):
-        assert toxicity.values(model, [bad])[0] > toxicity.values(model, [" ".join(prose(20))])[0], bad
+        assert toxicity.scores(model, [bad])[0] > toxicity.scores(model, [" ".join(prose(20))])[0], bad
     got = toxicity.score(odd.withColumn("predicted", F.lit("clash")), model, ["doc_id"]).collect()
     assert len(got) == len(ODD) + 1 and all(0 <= r["score"] <= 1 for r in got) and {r["predicted"] for r in got if r["doc_id"] < 6} == {0}
     assert toxicity.score(odd.limit(0), model, ["doc_id"]).count() == 0
@@ -353,8 +390,8 @@ def all_segmentations(text, table):
     """Every segmentation of the parts' lattices with its probability."""
     voc, out = table.voc, [((), 1.0)]
     ids = {voc.piece[i]: i for i in voc.plain}
-    for part in piece_sampling.parts_of(text):
-        s = "▁" + part[1:] if part[0] == " " else part
+    for part in piece_sampling.parts_of(text, piece_sampling._joints(voc)):
+        s = part.replace(" ", "▁")
         own = [((), 1.0, 0)]
         done = []
         while own:
@@ -413,6 +450,43 @@ def test_pieces_round_trip(spark, odd, docs):
         assert r["decoded"] == text[r["doc_id"]]
 
 
+def test_no_cut_inside_a_piece():
+    """A vocabulary's piece is one part, with what stands before and after it, too; long runs are lattices like short ones."""
+    voc = vocabulary(default_vocabulary())
+    joints = piece_sampling._joints(voc)
+    for i in voc.plain:
+        text = voc.piece[i].replace("▁", " ")
+        parts = piece_sampling.parts_of("x" + text, joints)
+        assert "".join(parts) == " x" + text and any(text in p for p in parts), text
+    assert piece_sampling.parts_of("a" * 120 + "    b\n  c1 2", joints) == [" " + "a" * 120, "    b", "\n", "  c", "1", " 2"]
+    for alpha, long in ((1.0, "internationalisation" * 4), (0.3, "日本語x" * 20)):
+        short, whole = piece_sampling.Lattices(default_vocabulary(), alpha), piece_sampling.Lattices(default_vocabulary(), alpha)
+        piece_sampling._LONG, before = 1000, piece_sampling._LONG
+        short.add([long])
+        piece_sampling._LONG, stretch, piece_sampling._STRETCH = 10, piece_sampling._STRETCH, 7
+        whole.add([long])
+        piece_sampling._LONG, piece_sampling._STRETCH = before, stretch
+        assert short.edges == whole.edges
+        for name in ("cum", "piece", "next", "logq"):
+            assert np.allclose(getattr(short, name)[: short.edges], getattr(whole, name)[: short.edges], atol=1e-6)
+
+
+def test_all_segmentations_of_small_mass_come():
+    """Segmentations are found however little mass is left, and no others."""
+    table = piece_sampling.Lattices(default_vocabulary(), 12.0)  # so steep that all but one weigh nearly nothing
+    for text in ("the", "nation", "²."):
+        truth = all_segmentations(text, table)
+        own = piece_sampling.sample([text], np.array([3]), len(truth) + 5, table)[0]
+        assert len(own) - 1 == len(truth) and {tuple(ids.tolist()) for ids, _, _ in own[:-1]} == set(truth)
+        assert own[-1][2] == -math.inf
+
+
+def test_decoded_rows(spark):
+    rows = [(1, [0x41 + 3, 0x42 + 3]), (2, None), (3, []), (4, [0xE9 + 3]), (5, [0x20 + 3, 0x20 + 3, 0x41 + 3])]  # ids of byte pieces
+    got = {r["k"]: r["decoded"] for r in piece_sampling.decode(spark.createDataFrame(rows, "k long, pieces array<int>"), ["k"]).collect()}
+    assert got == {1: "AB", 2: None, 3: "", 4: "\ufffd", 5: " A"}
+
+
 def test_lattice_tables_match_plain_sums():
     table = piece_sampling.Lattices(default_vocabulary(), 1.0)
     voc = vocabulary(default_vocabulary())
@@ -530,6 +604,26 @@ def test_mixing_levels_and_salts_agree(spark, monkeypatch):
         assert abs(sum(g["taken"] for g in own) - own[0]["target"]) <= 150
 
 
+def test_mixing_keeps_probabilities(spark):
+    """Over seeds every document is taken as often as it is wanted, and a source's words miss its target by less than one document."""
+    sizes = [3, 50, 7, 400, 12, 90, 5, 33, 250, 8]
+    rows = [(k % 40, " ".join([f"w{k}"] * sizes[k % 10]), f"s{k % 2}") for k in range(60)] + [(None, "a b c", "s0")] * 9 + [(None, f"d {k}", None) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("k", F.expr("substring_index(text, ' ', 1)"))
+    copies, wanted, n = Counter(), {}, 60
+    for seed in range(n):
+        got = mixing.mix(df, weights=(5.0, 2.0), seed=seed, keep=["k"]).collect()
+        assert len(got) == len(rows)
+        for s in ("s0", "s1", None):
+            own = [g for g in got if g["source"] == s]
+            assert abs(sum(g["taken"] for g in own) - own[0]["target"]) < 400
+        for g in got:
+            copies[g["doc_id"], g["k"], g["source"]] += g["copies"]
+            wanted[g["doc_id"], g["k"], g["source"]] = g["target"] / g["source_size"]
+    times = Counter((g["doc_id"], g["k"], g["source"]) for g in got)
+    deviations = [(copies[x] - n * times[x] * p) / math.sqrt(n * times[x] * max((p % 1) * (1 - p % 1), 1e-3)) for x, p in wanted.items()]
+    assert max(map(abs, deviations)) < 5 and abs(np.mean(deviations)) < 0.6
+
+
 def test_target_levels(spark):
     cases = [{"a": 10, "b": 1000, "c": 5}, {"a": 1, "b": 1, None: 500}, {None: 7}, {"a": 0, "b": 0}, {"a": 0, "b": 9, "c": 3, "d": 100, "e": 1}]
     for sizes in cases:
@@ -589,6 +683,15 @@ def test_forward_sums():
             out += (p[i, k] if i is not None else langid.UNKNOWN if n == 1 else 0.0) * total(s[n:], k)
         return out
 
+    for w, times in (("internationalisationthequick" * 3, 2), ("ab" * 400, 1)):  # long words by scaled sums
+        parts = []
+        for long in (1000, 5):
+            langid.LONG, before = long, langid.LONG
+            parts.append((langid.word_log_likelihoods([w], voc, p) if len(w) < 200 else None, langid._expected(Counter({w: times}), voc, p[:, :1] if len(w) < 200 else p[:, :1] * 1e3)))
+            langid.LONG = before
+        assert len(w) > 200 or np.allclose(parts[0][0], parts[1][0])
+        assert np.allclose(parts[0][1], parts[1][1])
+    assert np.isfinite(langid.word_log_likelihoods(["ab" * 20_000], voc, p * 1e-3)).all()
     ws = ["thing", "a", "日本", "éaux", "nation"]
     got = langid.word_log_likelihoods(ws, voc, p)
     assert np.allclose(got, [[math.log(total("▁" + w, k)) for k in range(2)] for w in ws])
@@ -598,6 +701,8 @@ def test_language(spark, docs, odd):
     model = langid.fit(docs, crc_mod("doc_id", 4) != 2)
     held = langid.detect(docs.where(crc_mod("doc_id", 4) == 2), model, ["doc_id", "lang"]).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.93
+    langs, score = langid.predict(model, ["q" * 500, "the nation and the thing " * 3 + "wh" * 300])
+    assert all(0 < s <= 1 for s in score) and set(langs) <= set(model.languages)
     got = langid.detect(odd.withColumn("lang_pred", F.lit("clash")), model, ["doc_id"]).collect()
     assert len(got) == len(ODD) + 1
     for r in got:

@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from gridloom.llm import mixing, piece_sampling
-from gridloom.llm.rows import with_copies
+from gridloom.llm.rows import ROW, with_copies, with_row
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_links
 
@@ -58,6 +60,22 @@ def test_run_and_empty(spark, tmp_path):
 
 
 def test_copies_of_repeated_rows(spark):
-    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (4, "d"), (4, "d")], "doc_id long, text string")
-    decisions = spark.createDataFrame([(1, 1, 2), (2, 3, 1), (3, 0, 1), (4, 3, 2)], "doc_id long, copies int, n long")
-    assert Counter(r["doc_id"] for r in with_copies(docs, decisions).collect()) == {1: 1, 2: 3, 4: 3}
+    """Rows are told apart by all their columns: one id may stand for several texts, or be null."""
+    rows = [(1, "a"), (1, "a"), (1, "other"), (2, "b"), (3, "c"), (4, "d"), (4, "d"), (None, "e"), (None, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "a"): 1, (2, "b"): 3, (3, "c"): 0, (4, "d"): 3, (None, "e"): 2}
+    named = with_row(docs).groupBy("doc_id", "text", *ROW).agg(F.count("*").alias("n")).collect()
+    decisions = spark.createDataFrame([(r["_row_a"], r["_row_b"], want[r["doc_id"], r["text"]], r["n"]) for r in named if (r["doc_id"], r["text"]) in want], "_row_a long, _row_b long, copies int, n long")
+    got = Counter((r["doc_id"], r["text"]) for r in with_copies(docs, decisions).collect())
+    assert got == +Counter(want) + Counter({(1, "other"): 1, (None, "f"): 1})
+
+
+def test_one_row_of_each_class_stays(spark):
+    same = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, same, "en", "a", 0), (1, same, "en", "a", 0), (1, same + " more", "en", "b", 0), (2, same, "de", "a", 0), (None, same, "en", "a", 0), (1, "quite another text of its own", "en", "a", 0), (None, "and one without an id", "en", "a", 0), (7, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.near_duplicates(spark, docs, DATA).collect()
+    assert sorted((r["text"] or "")[:5] for r in kept) == ["", "and o", "quite", "w0 w1"]
+    assert [r["doc_id"] for r in kept if (r["text"] or "").startswith("w0")] == [1]
+    mixed = P.mixture(spark, docs, DATA).collect()
+    assert {(r["doc_id"], r["text"]) for r in mixed} <= {(r[0], r[1]) for r in rows}
