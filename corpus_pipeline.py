@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import langid, mixing, ngram_join, piece_sampling, secret_scan
 from gridloom.llm.common import crc_mod, shared_folder, tune, written
-from gridloom.llm.rows import with_copies
+from gridloom.llm.rows import ROW, with_copies, with_row
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 SECRET = "[SECRET]"
@@ -31,12 +31,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near duplicates."""
+    """Keeps one row of each class of near duplicates: that with the smallest doc_id (null ids last), of rows with that id the one with the smallest hash."""
     tune(spark)
     docs = docs.select(*DOCUMENT)
-    classes = ngram_join.join(docs)
-    decisions = classes.groupBy("doc_id").agg(F.max(F.col("class_first").cast("int")).alias("copies"), F.count("*").alias("n"))
-    return with_copies(docs, decisions)
+    linked = written(ngram_join.join(with_row(docs), ROW).where("n_links > 0").select("class_key", "doc_id", *ROW))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("f")
+    stays = linked.groupBy("class_key").agg(first).select(*(F.col(f"f.{c}").alias(c) for c in ROW), F.lit(1).alias("copies"))
+    decisions = linked.groupBy(*ROW).agg(F.count("*").alias("n")).join(stays, ROW, "left")
+    return with_copies(docs, decisions.select(*ROW, "n", F.coalesce("copies", F.lit(0)).alias("copies")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops and repeats documents so that the sources' words come near their targets."""
     tune(spark)
     docs = docs.select(*DOCUMENT)
-    mixed = written(mixing.mix(docs).select("doc_id", "copies"))
-    return with_copies(docs, mixed.groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
+    mixed = written(mixing.mix(with_row(docs), keep=ROW).select(*ROW, "copies"))
+    return with_copies(docs, mixed.groupBy(*ROW).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
