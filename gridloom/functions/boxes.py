@@ -154,10 +154,10 @@ class Box:
             out = out & (F.col(c) >= s) & (F.col(c) < e)
         return out
 
-    def domain(self, spark: SparkSession, columns: Sequence[str]) -> DataFrame:
+    def domain(self, spark: SparkSession, columns: Sequence[str], tasks: int | None = None) -> DataFrame:
         """All indices of the box, one row each, made by the executors."""
         self._same(columns)
-        rows = spark.range(self.size)
+        rows = spark.range(0, self.size, 1, tasks)
         made = unravel_columns(F.col("id"), self.shape)
         return rows.select(*((made[k] + self.start[k]).alias(c) for k, c in enumerate(columns)))
 

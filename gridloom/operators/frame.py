@@ -5,8 +5,9 @@ Three layouts of one array:
 - chunks: chunk columns c0.. and data, the chunk's elements in C order
 - blobs: a store key and the encoded chunk
 
-A read of a box filters chunks by the chunk range that the grid derives from the box, so scans prune by c0.., explodes only those, and fills
-what is missing by a left join from the box's own indices (made by the executors). Nothing is collected but by `to_numpy`.
+A read of a box takes the chunks that the grid derives from the box: of a stored array their files are opened one by one by the executors, without a shuffle, and only the parts that
+the box touches are decoded; of a table of chunks the scan is pruned by c0... Missing chunks are filled as whole chunks, so no single cell is joined or shuffled.
+Cells become chunks by one shuffle on the chunk numbers and one Arrow stage that puts them in place. Nothing is collected but by `to_numpy`.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 from math import prod
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.boxes import Box, Indexer, OutOfBoundsError, div, unravel_columns
 from gridloom.functions.dtypes import DataType, same_bits
+from gridloom.functions.grids import GRIDS, Grid
 from gridloom.plans.meta import ArrayMeta
 
 #: Index lists are broadcast up to so many entries (driver-made lists: they come from memory).
@@ -64,44 +68,59 @@ def is_fill(v: Column, meta: ArrayMeta, kind: T.DataType) -> Column:
 
 @dataclass(frozen=True)
 class ArrayFrame:
-    """An array: metadata and its stored chunks as a DataFrame (c0.., data)."""
+    """An array: metadata and its stored chunks as a DataFrame (c0.., data).
+
+    stored: where the chunks lie in a store, if the frame is an unchanged view of it. numbers: the chunk numbers that `chunks` holds, where a table
+    gives them without the data (a Parquet scan of c0..). made: makes a range of the chunks from their source, so that a read of a box filters the source's rows first.
+    """
 
     meta: ArrayMeta
     chunks: DataFrame
+    stored: Any = None
+    numbers: DataFrame | None = None
+    made: Callable[[Box], DataFrame] | None = None
 
     # building
 
     @staticmethod
     def from_cells(meta: ArrayMeta, cells: DataFrame, value: str = "v") -> ArrayFrame:
         """Groups cells (i0.., value) into dense chunks. One task owns a chunk; a cell given twice takes the larger value."""
-        i, c = index_names(meta.dims), index_names(meta.dims, "c")
-        kind = cells.schema[value].dataType
-        chunk = meta.grid.chunk_columns([F.col(x) for x in i])
-        placed = cells.select(*(x.alias(n) for x, n in zip(chunk, c, strict=True)), *i, F.col(value).alias("v")).where(reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in c), F.lit(True)))
-        lin = ravel_in_chunk(meta, [F.col(x) for x in i], [F.col(x) for x in c])
-        once = placed.select(*c, lin.alias("k"), "v").groupBy(*c, "k").agg(F.max("v").alias("v"))
-        grouped = once.groupBy(*c).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-        size = reduce(lambda a, b: a * b, meta.grid.edge_columns([F.col(x) for x in c]), F.lit(1).cast("long"))
-        fill = fill_column(meta, kind)
-        value_at = lambda k: F.when(F.map_contains_key("m", k), F.element_at("m", k)).otherwise(fill)
-        return ArrayFrame(meta, grouped.select(*c, F.transform(F.sequence(F.lit(0).cast("long"), size - 1), value_at).alias("data"))).without_fill()
+        kind, named = cells.schema[value].dataType, cells.withColumnRenamed(value, "v")
+
+        def made(chunks: Box | None) -> DataFrame:
+            near = named if chunks is None else named.where(meta.grid.chunks_subset(chunks).predicate(index_names(meta.dims)))
+            return placed_cells(meta, near).mapInArrow(_scatter(meta, kind), _chunk_schema(meta, kind))
+
+        return ArrayFrame(meta, made(None), made=made)
 
     @staticmethod
     def from_rows(meta: ArrayMeta, rows: DataFrame, index: str, vector: str) -> ArrayFrame:
-        """A 2-d array from rows that each hold one line of it: lines are sliced by chunk, so no single cells are shuffled."""
+        """A 2-d array from rows that each hold one line of it: lines are sliced by chunk, so no single cells are shuffled. A line given twice takes the larger one."""
         line, column = meta.grid.axes
         kind = rows.schema[vector].dataType.elementType
-        sliced = rows.select(F.col(index).cast("long").alias("i0"), F.col(vector).alias("line")).select(
-            line.chunk_column(F.col("i0")).alias("c0"), "i0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(column.count - 1).cast("long"))).alias("c1"), "line"
-        )
-        start, n = column.origin_column(F.col("c1")).cast("int"), column.edge_column(F.col("c1")).cast("int")
-        padded = lambda part: F.concat(part, F.array_repeat(fill_column(meta, kind), n - F.size(part)))
-        cut = sliced.where(F.col("c0").isNotNull()).select("c0", "c1", "i0", padded(F.slice("line", start + 1, n)).alias("part"))
-        grouped = cut.groupBy("c0", "c1").agg(F.map_from_entries(F.collect_list(F.struct("i0", "part"))).alias("m"))
-        origin, edge = line.origin_column(F.col("c0")), line.edge_column(F.col("c0"))
-        none = F.array_repeat(fill_column(meta, kind), column.edge_column(F.col("c1")).cast("int"))
-        data = F.flatten(F.transform(F.sequence(origin, origin + edge - 1), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), none)))
-        return ArrayFrame(meta, grouped.select("c0", "c1", data.alias("data"))).without_fill()
+
+        def made(chunks: Box | None) -> DataFrame:
+            first, last, near = 0, column.count - 1, rows
+            if chunks is not None:
+                box = meta.grid.chunks_subset(chunks)
+                near = rows.where((F.col(index) >= box.start[0]) & (F.col(index) < box.end[0]))
+                first, last = chunks.start[1], chunks.last[1]
+            sliced = near.select(F.col(index).cast("long").alias("i0"), F.col(vector).alias("line")).select(
+                line.chunk_column(F.col("i0")).alias("c0"), "i0", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("c1"), "line"
+            )
+            start, n = column.origin_column(F.col("c1")).cast("int"), column.edge_column(F.col("c1")).cast("int")
+            cut = sliced.where(F.col("c0").isNotNull()).select("c0", "c1", "i0", F.slice("line", start + 1, n).alias("part"))
+            once = cut.repartition("c0", "c1").groupBy("c0", "c1", "i0").agg(F.max("part").alias("part"))
+            place = (F.col("i0") - line.origin_column(F.col("c0"))) * column.edge_column(F.col("c1"))
+            grouped = once.groupBy("c0", "c1").agg(F.collect_list(F.struct(place.alias("k"), F.col("part").alias("v"))).alias("m"))
+            return grouped.mapInArrow(_scatter(meta, kind), _chunk_schema(meta, kind))
+
+        return ArrayFrame(meta, made(None), made=made)
+
+    @staticmethod
+    def of_table(meta: ArrayMeta, table: DataFrame) -> ArrayFrame:
+        """An array whose chunks (c0.., data) are a table that gives single columns cheaply, as Parquet does."""
+        return ArrayFrame(meta, table, numbers=table.select(*index_names(meta.dims, "c")))
 
     @staticmethod
     def empty(spark: SparkSession, meta: ArrayMeta) -> ArrayFrame:
@@ -124,7 +143,7 @@ class ArrayFrame:
         """Drops chunks of nothing but fill values, unless the array stores these too."""
         if self.meta.options.store_empty_chunks:
             return self
-        return replace(self, chunks=self.chunks.where(~F.forall("data", lambda v: is_fill(v, self.meta, self.element))))
+        return self._changed(self.chunks.where(~F.forall("data", lambda v: is_fill(v, self.meta, self.element))))
 
     # layouts
 
@@ -141,39 +160,51 @@ class ArrayFrame:
 
     def prune(self, box: Box) -> DataFrame:
         """The stored chunks that a box touches."""
+        return self._chunks_of(self._touched(box))
+
+    def _touched(self, box: Box) -> Box:
         chunks = self.meta.grid.chunks_in(box)
         if chunks is None:
             raise OutOfBoundsError(f"{box} lies outside the grid")
+        return chunks
+
+    def _chunks_of(self, chunks: Box) -> DataFrame:
+        if self.stored:
+            return self.stored.chunks(self.meta, chunks)
+        if self.made and not chunks.is_empty:
+            return self.made(chunks).where(chunks.predicate(self.c))
         return self.chunks.where(chunks.predicate(self.c))
 
     # reads
 
-    def _filled(self, domain: DataFrame, cells: DataFrame) -> DataFrame:
-        """Cells of the domain, fill values where nothing is stored. A stored null stays null."""
-        hit = cells.withColumn("_hit", F.lit(True))
-        value = F.when(F.col("_hit"), F.col("v")).otherwise(fill_column(self.meta, self.element))
-        order = ["ord"] if "ord" in domain.columns else []
-        return domain.join(hit, self.i, "left").select(*order, *self.i, value.alias("v"))
+    def _filled(self, chunks: Box) -> DataFrame:
+        """All chunks of a range (c0.., data), those that aren't stored full of fill values."""
+        spark, kind = self.chunks.sparkSession, T.ArrayType(self.element)
+        size = reduce(lambda a, b: a * b, self.meta.grid.edge_columns([F.col(n) for n in self.c]), F.lit(1).cast("long")).cast("int")
+        empty = F.array_repeat(fill_column(self.meta, self.element), size).cast(kind)
+        domain, held = chunks.domain(spark, self.c), self._chunks_of(chunks).select(*self.c, "data")
+        if self.numbers is not None:  # only numbers meet; the data stays where it is
+            missing = domain.join(self.numbers.where(chunks.predicate(self.c)), self.c, "left_anti")
+            return held.unionByName(missing.select(*self.c, empty.alias("data")))
+        return domain.hint("shuffle_hash").join(held, self.c, "left").select(*self.c, F.coalesce("data", empty).alias("data"))
 
     def subset(self, box: Box) -> DataFrame:
         """All elements of a box: i0.., v."""
         if box.is_empty:
             box._same(self.meta.shape)
             return box.domain(self.chunks.sparkSession, self.i).withColumn("v", fill_column(self.meta, self.element))
-        cells = self.cells(self.prune(box)).where(box.predicate(self.i))
-        return self._filled(box.domain(self.chunks.sparkSession, self.i), cells)
+        touched = self._touched(box)
+        if self.stored:
+            return self.stored.cells(self.meta, box)
+        return self.cells(self._filled(touched)).where(box.predicate(self.i))
 
     def chunk(self, *chunk: int) -> DataFrame:
         """One row: the chunk's data, all fill values when it isn't stored."""
-        found = self.chunk_if_exists(*chunk).select("data")
-        n = prod(self.meta.grid.chunk_shape(chunk))
-        one = self.chunks.sparkSession.range(1).select(F.array_repeat(fill_column(self.meta, self.element), n).alias("empty"))
-        return one.join(found, F.lit(True), "left").select(F.coalesce("data", "empty").alias("data"))
+        return self._filled(Box(tuple(chunk), (1,) * len(chunk))).select("data")
 
     def chunk_if_exists(self, *chunk: int) -> DataFrame:
         """The stored chunk, or no row."""
-        box = Box(tuple(chunk), (1,) * len(chunk))
-        return self.chunks.where(box.predicate(self.c))
+        return self._chunks_of(Box(tuple(chunk), (1,) * len(chunk)))
 
     def chunk_box(self, chunks: Box) -> DataFrame:
         """All elements of a range of chunks."""
@@ -190,13 +221,24 @@ class ArrayFrame:
         """Elements in the indexer's order, repeats kept: ord, i0.., v."""
         indexer.check(self.meta.shape)
         wanted = indexer.rows(self.chunks.sparkSession, self.i)
+        placed = wanted.select("*", *(x.alias(n) for x, n in zip(self.meta.grid.chunk_columns([F.col(n) for n in self.i]), self.c, strict=True)))
+        if self.stored:
+            return self.stored.gather(self.meta, placed)
         listed = [p for p in indexer.parts if not isinstance(p, Box)]
         small = not any(isinstance(p, Box) for p in indexer.parts) and sum(map(len, listed)) <= BROADCAST_INDICES
-        placed = wanted.select("*", *(x.alias(n) for x, n in zip(self.meta.grid.chunk_columns([F.col(n) for n in self.i]), self.c, strict=True)))
         touched = placed.select(*self.c).distinct()
         # only chunks that hold a wanted element are exploded
         near = self.chunks.join(F.broadcast(touched) if small else touched, self.c, "left_semi")
-        return self._filled(wanted, self.cells(near))
+        hit = self.cells(near).withColumn("_hit", F.lit(True))
+        value = F.when(F.col("_hit"), F.col("v")).otherwise(fill_column(self.meta, self.element))
+        return wanted.join(hit, self.i, "left").select("ord", *self.i, value.alias("v"))
+
+    def local_subchunk_grid(self, chunk: Sequence[int], level: int = 0) -> Grid | None:
+        """The grid of one stored chunk's inner chunks, with indices relative to the chunk; None where the chunk isn't stored or has none."""
+        shapes = self.meta.subchunk_shapes()
+        if level >= len(shapes) or self.chunk_if_exists(*chunk).select(*self.c).isEmpty():
+            return None
+        return GRIDS.get("regular")(self.meta.grid.chunk_shape(chunk), {"chunk_shape": list(shapes[level])})
 
     def subchunk(self, number: Sequence[int], level: int = 0) -> DataFrame:
         return self.subset(self.meta.subchunk_grid(level).subset(number))
@@ -222,18 +264,23 @@ class ArrayFrame:
 
     # updates
 
-    def _owned(self, box: Box) -> DataFrame:
-        return self.prune(box)
+    def _changed(self, chunks: DataFrame) -> ArrayFrame:
+        return ArrayFrame(self.meta, chunks)
 
     def store_chunk(self, chunk: Sequence[int], data: Sequence) -> ArrayFrame:
         """Replaces one chunk by a whole one."""
         if len(data) != prod(self.meta.grid.chunk_shape(chunk)):
             raise ValueError(f"{len(data)} elements for a chunk of {self.meta.grid.chunk_shape(chunk)}")
         row = self.chunks.sparkSession.createDataFrame([(*map(int, chunk), list(data))], self.chunks.schema)
-        return replace(self, chunks=self._erased(Box(tuple(chunk), (1,) * len(chunk))).unionByName(replace(self, chunks=row).without_fill().chunks))
+        return self._changed(self._erased(Box(tuple(chunk), (1,) * len(chunk))).unionByName(self._changed(row).without_fill().chunks))
+
+    def store_chunks(self, chunks: Box, rows: DataFrame) -> ArrayFrame:
+        """Replaces a range of chunks by whole ones (c0.., data); those of the range that rows lack become fill values."""
+        new = rows.where(chunks.predicate(self.c)).select(*self.c, F.col("data").cast(self.chunks.schema["data"].dataType).alias("data"))
+        return self._changed(self._erased(chunks).unionByName(self._changed(new).without_fill().chunks))
 
     def store_cells(self, cells: DataFrame, box: Box) -> ArrayFrame:
-        """Overwrites the cells of a box (i0.., v). Only touched chunks are rebuilt; the others pass through untouched."""
+        """Overwrites the cells of a box (i0.., v). New cells meet the touched chunks chunk by chunk; the other chunks pass through untouched."""
         if box.dims != self.meta.dims:
             box._same(self.meta.shape)
         grid = self.meta.grid
@@ -242,11 +289,10 @@ class ArrayFrame:
             raise OutOfBoundsError(f"{box} lies outside the grid")
         if box.is_empty:
             return self
-        new = cells.where(box.predicate(self.i)).select(*self.i, F.col("v").cast(self.element).alias("v"), F.lit(True).alias("_new"))
-        old = self.cells(self.chunks.where(touched.predicate(self.c))).select(*self.i, F.col("v").alias("_old"))
-        merged = old.join(new, self.i, "full_outer").select(*self.i, F.when(F.col("_new"), F.col("v")).otherwise(F.col("_old")).alias("v"))
-        rebuilt = ArrayFrame.from_cells(self.meta, merged)
-        return replace(self, chunks=self._erased(touched).unionByName(rebuilt.chunks))
+        new = placed_cells(self.meta, cells.where(box.predicate(self.i)).select(*self.i, F.col("v").cast(self.element).alias("v")))
+        merged = self._chunks_of(touched).select(*self.c, "data").join(new, self.c, "full_outer")
+        rebuilt = merged.mapInArrow(_scatter(self.meta, self.element), _chunk_schema(self.meta, self.element))
+        return self._changed(self._erased(touched).unionByName(rebuilt))
 
     def store_chunk_subset(self, chunk: Sequence[int], box: Box, cells: DataFrame) -> ArrayFrame:
         """As store_cells, with box and cells relative to one chunk."""
@@ -264,7 +310,7 @@ class ArrayFrame:
 
     def erase_chunks(self, chunks: Box) -> ArrayFrame:
         """Drops stored chunks; those that aren't there are no error."""
-        return replace(self, chunks=self._erased(chunks))
+        return self._changed(self._erased(chunks))
 
     def resize(self, shape: Sequence[int]) -> ArrayFrame:
         """Another shape; chunks stay, so growing shows fill values and shrinking hides elements."""
@@ -313,7 +359,7 @@ class ArrayFrame:
 
     def cached(self) -> ArrayFrame:
         """Keeps decoded chunks in Spark's storage, which drops the least recently used when memory is short; `release` frees them."""
-        return replace(self, chunks=self.chunks.persist())
+        return ArrayFrame(self.meta, self.chunks.persist())
 
     def release(self) -> ArrayFrame:
         self.chunks.unpersist()
@@ -326,6 +372,98 @@ def _arrow_of(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def _chunk_schema(meta: ArrayMeta, element: T.DataType) -> T.StructType:
+    return T.StructType([*(T.StructField(n, T.LongType()) for n in index_names(meta.dims, "c")), T.StructField("data", T.ArrayType(element))])
+
+
+def placed_cells(meta: ArrayMeta, cells: DataFrame) -> DataFrame:
+    """c0.., m: the cells (i0.., v) of each chunk as (place in the chunk, value), each place once, with the larger value. One shuffle, on the chunk numbers."""
+    i, c = index_names(meta.dims), index_names(meta.dims, "c")
+    chunk = meta.grid.chunk_columns([F.col(x) for x in i])
+    placed = cells.select(*(x.alias(n) for x, n in zip(chunk, c, strict=True)), *i, "v").where(reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in c), F.lit(True)))
+    lin = ravel_in_chunk(meta, [F.col(x) for x in i], [F.col(x) for x in c])
+    placed = placed.select(*c, lin.alias("k"), "v")
+    # both groupings find the rows where this one puts them
+    once = (placed.repartition(*c) if c else placed.coalesce(1)).groupBy(*c, "k").agg(F.max("v").alias("v"))
+    return once.groupBy(*c).agg(F.collect_list(F.struct("k", "v")).alias("m")).where(F.size("m") > 0)
+
+
+def fill_element(meta: ArrayMeta):
+    """The fill value as an element of a column."""
+    if meta.fill is None:
+        return None
+    dtype = meta.dtype.inner or meta.dtype
+    if dtype.numpy == object:
+        return meta.fill if isinstance(meta.fill, str) else bytes(meta.fill)
+    return from_numpy(np.array([meta.fill], dtype.numpy), dtype)[0]
+
+
+def _equals_fill(values: pa.Array, fill: pa.Array) -> np.ndarray:
+    """For each value whether it has the fill value's bits."""
+    if fill.null_count:
+        return values.is_null().to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(values.type):
+        bits = f"u{values.type.bit_width // 8}"
+        same = values.fill_null(0).to_numpy(zero_copy_only=False).view(bits) == fill.to_numpy(zero_copy_only=False).view(bits)[0]
+        return same & values.is_valid().to_numpy(zero_copy_only=False)
+    if pa.types.is_nested(values.type):
+        want = fill[0].as_py()
+        return np.array([v == want for v in values.to_pylist()], bool)
+    return pc.fill_null(pc.equal(values, fill[0]), False).to_numpy(zero_copy_only=False)
+
+
+def _scatter(meta: ArrayMeta, element: T.DataType):
+    """An Arrow stage that puts cells (k, v in m; v may be a run of elements) into dense chunks: over the old data where there is some, else over fill values.
+
+    Chunks of nothing but fill values are dropped, unless the array stores these too.
+    """
+    c, arrow, keep_empty = index_names(meta.dims, "c"), _arrow_of(element), meta.options.store_empty_chunks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, fill = meta.grid, pa.array([fill_element(meta)], arrow)
+        for b in batches:
+            column = lambda n, b=b: b.column(b.schema.get_field_index(n))
+            numbers = list(zip(*(column(n).to_pylist() for n in c), strict=True)) if c else [()] * b.num_rows
+            sizes = np.array([prod(grid.chunk_shape(n)) for n in numbers], np.int64)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            source = np.zeros(at[-1], np.int64)  # where each element comes from; 0 is the fill value
+            m = column("m")
+            cells, m_at = m.values, m.offsets.to_numpy().astype(np.int64)
+            place, v = cells.field(0).to_numpy(zero_copy_only=False).astype(np.int64), cells.field(1)
+            pools = [fill]
+            if "data" in b.schema.names:
+                data = column("data")
+                d_at = data.offsets.to_numpy().astype(np.int64)
+                for r in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
+                    source[at[r] : at[r + 1]] = 1 + np.arange(d_at[r], d_at[r + 1])
+                pools.append(data.values)
+            base = sum(map(len, pools))
+            used = slice(m_at[0], m_at[-1])
+            shift = np.repeat(at[:-1], np.diff(m_at))  # each cell's chunk
+            if pa.types.is_list(v.type):
+                v_at = v.offsets.to_numpy().astype(np.int64)
+                run_of = np.diff(v_at)[used]
+                first = np.repeat(shift + place[used], run_of)
+                step = np.arange(len(first)) - np.repeat(np.cumsum(run_of) - run_of, run_of)
+                source[first + step] = base + np.repeat(v_at[:-1][used], run_of) + step
+                v = v.values
+            else:
+                source[shift + place[used]] = base + np.arange(m_at[0], m_at[-1])
+            values = pa.concat_arrays([*pools, v.cast(arrow)]).take(pa.array(source))
+            rows = np.arange(len(sizes))
+            if not keep_empty and len(rows):
+                other = np.concatenate([[0], np.cumsum(~_equals_fill(values, fill))])
+                rows = np.flatnonzero(other[at[1:]] > other[at[:-1]])
+                if len(rows) < len(sizes):
+                    kept = np.repeat(np.isin(np.arange(len(sizes)), rows), sizes)
+                    values = values.filter(pa.array(kept))
+            offsets = np.concatenate([[0], np.cumsum(sizes[rows])]).astype(np.int32)
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(column(n).take(take) for n in c), pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*c, "data"])
+
+    return run
+
+
 def _per_chunk(meta: ArrayMeta, fn, column: str, arrow: pa.DataType, name: str, bound: bool = True, drop: tuple = (), chunks_of: DataType | None = None):
     """An Arrow stage that maps one column chunk by chunk; the chain is bound once for each chunk shape. chunks_of: fn gives chunks of this type."""
     c = index_names(meta.dims, "c")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from math import prod
 
 import numpy as np
@@ -14,7 +14,7 @@ from gridloom.functions.codecs import Chain, Form, default_codecs
 from gridloom.functions.dtypes import DataType, data_type
 from gridloom.functions.grids import Grid
 from gridloom.functions.keys import KeyEncoding
-from gridloom.registry import GRIDS, KEY_ENCODINGS, TRANSFORMERS, UnsupportedExtension
+from gridloom.registry import GRIDS, KEY_ENCODINGS, TRANSFORMERS, UnsupportedExtension, register_all, registered
 
 
 class MetadataError(ValueError):
@@ -27,11 +27,15 @@ class Options:
 
     store_empty_chunks: bool = False
     validate_checksums: bool = True
+    #: On writing an array that was read from a version 2 document.
     metadata_convert: str = "keep"  # or "v3"
     metadata_erase: str = "all"  # or "v2", "v3"
     use_consolidated: str = "auto"  # or "must", "never"
+    #: Tasks of a read from a store; None: by the number of chunks.
     concurrent_target: int | None = None
-    include_metadata_of_writer: bool = True
+    include_metadata_of_writer: bool = False
+    #: Whether updates of shards append inner chunks and leave dead bytes, until the array is compacted.
+    append_to_shards: bool = False
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,8 @@ class ArrayMeta:
     storage_transformers: tuple = ()
     additional: dict = field(default_factory=dict)
     options: Options = Options()
+    #: The version 2 document that this array was read from.
+    version2: dict | None = None
 
     def __post_init__(self) -> None:
         if prod(self.shape) >= 1 << 63:
@@ -59,6 +65,9 @@ class ArrayMeta:
             if not (isinstance(value, dict) and value.get("must_understand") is False):
                 raise UnsupportedExtension(f"unknown field {name}")
 
+    def __reduce__(self):
+        return _restored, (registered(), {f.name: getattr(self, f.name) for f in fields(self)})
+
     @property
     def dtype(self) -> DataType:
         return data_type(self.data_type)
@@ -80,7 +89,7 @@ class ArrayMeta:
         return KEY_ENCODINGS.get(self.chunk_key_encoding["name"])(self.chunk_key_encoding.get("configuration") or {})
 
     def chain(self, chunk_shape: Sequence[int]) -> Chain:
-        return Chain(self.codecs, Form(self.dtype, tuple(chunk_shape), self.fill))
+        return Chain(self.codecs, Form(self.dtype, tuple(chunk_shape), self.fill), self.options.validate_checksums)
 
     def bound(self) -> ArrayMeta:
         """Checks types, codecs and grid against each other, as opening an array does."""
@@ -146,7 +155,7 @@ class ArrayMeta:
 
     @staticmethod
     def from_json(doc: str | dict) -> ArrayMeta:
-        d = json.loads(doc) if isinstance(doc, str) else dict(doc)
+        d = dict(doc) if isinstance(doc, dict) else json.loads(doc)
         if d.pop("zarr_format", None) != 3 or d.pop("node_type", None) != "array":
             raise MetadataError("not a version 3 array")
         named = lambda m: {"name": m} if isinstance(m, str) else m
@@ -165,6 +174,12 @@ class ArrayMeta:
         ).bound()
 
 
+def _restored(entries: list[dict], own: dict) -> ArrayMeta:
+    """Metadata as it reaches an executor: with what the driver has registered at run time."""
+    register_all(entries)
+    return ArrayMeta(**own)
+
+
 @dataclass
 class ArrayBuilder:
     """Builds metadata step by step; what isn't set gets the usual value."""
@@ -208,7 +223,7 @@ class GroupMeta:
 
     @staticmethod
     def from_json(doc: str | dict) -> GroupMeta:
-        d = json.loads(doc) if isinstance(doc, str) else dict(doc)
+        d = dict(doc) if isinstance(doc, dict) else json.loads(doc)
         if d.pop("zarr_format", None) != 3 or d.pop("node_type", None) != "group":
             raise MetadataError("not a version 3 group")
         inline = d.pop("consolidated_metadata", None)
@@ -239,9 +254,9 @@ def _v2_codec(c: dict, dtype: DataType) -> dict:
     return {"name": name, "configuration": config} if config else {"name": name}
 
 
-def array_to_v3(zarray: str | dict, zattrs: str | dict | None = None) -> ArrayMeta:
+def array_to_v3(zarray: str | bytes | dict, zattrs: str | bytes | dict | None = None) -> ArrayMeta:
     """A version 2 array as version 3: Fortran order becomes a transpose, object filters become the serialiser."""
-    d = json.loads(zarray) if isinstance(zarray, str) else zarray
+    d = zarray if isinstance(zarray, dict) else json.loads(zarray)
     if d.get("zarr_format") != 2:
         raise MetadataError("not a version 2 array")
     if isinstance(d["dtype"], list):
@@ -264,7 +279,7 @@ def array_to_v3(zarray: str | dict, zattrs: str | dict | None = None) -> ArrayMe
     codecs += [_v2_codec(f, dtype) for f in array_filters] + [serial] + [_v2_codec(f, dtype) for f in filters if f not in array_filters]
     if d.get("compressor"):
         codecs.append(_v2_codec(d["compressor"], dtype))
-    attributes = (json.loads(zattrs) if isinstance(zattrs, str) else zattrs) or {}
+    attributes = (zattrs if isinstance(zattrs, dict | None) else json.loads(zattrs)) or {}
     return ArrayMeta(
         tuple(d["shape"]),
         name,
@@ -273,14 +288,15 @@ def array_to_v3(zarray: str | dict, zattrs: str | dict | None = None) -> ArrayMe
         tuple(codecs),
         {"name": "v2", "configuration": {"separator": d.get("dimension_separator", ".")}},
         dict(attributes),
+        version2=dict(d),
     ).bound()
 
 
-def group_to_v3(zgroup: str | dict, zattrs: str | dict | None = None) -> GroupMeta:
-    d = json.loads(zgroup) if isinstance(zgroup, str) else zgroup
+def group_to_v3(zgroup: str | bytes | dict, zattrs: str | bytes | dict | None = None) -> GroupMeta:
+    d = zgroup if isinstance(zgroup, dict) else json.loads(zgroup)
     if d.get("zarr_format") != 2:
         raise MetadataError("not a version 2 group")
-    return GroupMeta((json.loads(zattrs) if isinstance(zattrs, str) else zattrs) or {})
+    return GroupMeta((zattrs if isinstance(zattrs, dict | None) else json.loads(zattrs)) or {})
 
 
 def element_json(value, dtype: DataType):

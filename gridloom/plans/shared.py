@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,13 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where spark.checkpoint.dir is unset, as in tests."""
+    """The session's checkpoint folder; one of our own only where spark.checkpoint.dir is unset and all runs on this machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp())
     return context.getCheckpointDir()
 
 
+_made: list[str] = []
+
+
+def _clean() -> None:
+    """Removes the tables that this driver has written; where the file system can't be reached, they stay."""
+    from gridloom.sources.store import _opened
+
+    for path in _made:
+        try:
+            files, at = _opened(path if ":" in path.partition("/")[0] else f"file:{path}")
+            files.delete_dir(at)
+        except Exception:  # noqa: S112, the process is ending
+            continue
+    _made.clear()
+
+
+atexit.register(_clean)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -23,6 +53,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """Writes a table and reads it; columns that a later plan doesn't need aren't read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ L labels [n] optional int32 (fill null), P part sizes [n] uint8, O order prices
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -23,8 +24,11 @@ from gridloom.functions.keys import KEY_ENCODINGS
 from gridloom.operators import frame as FR
 from gridloom.operators import hierarchy as H
 from gridloom.operators.frame import ArrayFrame
-from gridloom.plans.meta import ArrayBuilder, ArrayMeta, GroupMeta
-from gridloom.sources.arrays import compacted, subchunk_bytes
+from gridloom.plans.meta import ArrayBuilder, ArrayMeta, GroupMeta, Options, array_to_v3
+from gridloom.plans.shared import scratch
+from gridloom.sources.arrays import compact_array, compacted, consolidate_group, erase_stored, open_array, open_hierarchy, save_array, subchunk_bytes, update_cells, write_node
+from gridloom.sources.datasource import GridloomSource
+from gridloom.sources.store import SparkStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,10 +116,13 @@ def chunk_read(spark, sf_dir):
     return embeddings(spark, sf_dir).chunk(2, 1).select(F.col("data").cast("array<double>").alias("data"))
 
 
-@query("SELECT 1::BIGINT AS c0 WHERE EXISTS (SELECT 1 FROM conversations WHERE conv_id BETWEEN 10 AND 19 AND turn BETWEEN 0 AND 3)")
+@query(f"""
+    SELECT 1::BIGINT AS c0, array_agg(coalesce(v, '') ORDER BY i0, i1) AS data FROM (SELECT i0.i AS i0, i1.i AS i1 FROM generate_series(10, 19) i0(i), generate_series(0, 3) i1(i)) LEFT JOIN ({_C}) USING (i0, i1)
+    HAVING bool_or(v <> '')
+""")
 def chunk_if_exists(spark, sf_dir):
     f = conversations(spark, sf_dir)
-    return f.chunk_if_exists(1, 0).unionByName(f.chunk_if_exists(100_000, 1)).select("c0")
+    return f.chunk_if_exists(1, 0).unionByName(f.chunk_if_exists(100_000, 1)).select("c0", "data")
 
 
 @query(f"SELECT * FROM ({_E}) WHERE i0 BETWEEN 50 AND 149 AND i1 BETWEEN 16 AND 47")
@@ -145,7 +152,7 @@ def multi_box_gather(spark, sf_dir):
     return _doubles(embeddings(spark, sf_dir).gather(Indexer([Box.of((10, 14), (2, 5)), Box.of((200, 202), (60, 62))])))
 
 
-@query(f"SELECT i0, i1, coalesce(v, '') AS v FROM (SELECT i0.i AS i0, i1.i AS i1 FROM generate_series(0, (SELECT max(conv_id) FROM conversations)) i0(i), generate_series(0, 7) i1(i)) LEFT JOIN ({_C}) USING (i0, i1)")
+@query(f"SELECT i0, i1, coalesce(v, '') AS v FROM (SELECT i0.i AS i0, i1.i AS i1 FROM generate_series(0, (SELECT max(conv_id) FROM conversations)) i0(i), generate_series(0, (SELECT greatest(7, max(turn)) FROM conversations)) i1(i)) LEFT JOIN ({_C}) USING (i0, i1)")
 def ragged_read(spark, sf_dir):
     return conversations(spark, sf_dir).value_view()
 
@@ -211,17 +218,19 @@ def contiguous_runs(spark, sf_dir):
     return index_runs(rows, "k")
 
 
-def index_runs(rows: DataFrame, key: str, width: int = 1 << 16) -> DataFrame:
-    """(start, length) of maximal runs of distinct indices. Runs are found in ranges of `width` indices and joined across their borders, so no task sees all."""
-    ranged = rows.select(F.col(key).alias("k"), B.div(F.col(key), width).alias("r"))
-    own = ranged.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("r").orderBy("k")))
-    runs = own.groupBy("r", "island").agg(F.min("k").alias("start"), F.count("*").alias("length"))
-    # at most two runs of a range touch its borders: only those are joined in one order
-    at_border = (F.col("start") % width == 0) | ((F.col("start") + F.col("length")) % width == 0)
-    border, inner = runs.where(at_border), runs.where(~at_border)
-    chained = border.withColumn("new", (F.coalesce(F.lag(F.col("start") + F.col("length")).over(Window.orderBy("start")), F.lit(-1)) != F.col("start")).cast("int"))
-    joined = chained.withColumn("id", F.sum("new").over(Window.orderBy("start"))).groupBy("id").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
-    return inner.select("start", "length").unionByName(joined.select("start", "length"))
+def index_runs(rows: DataFrame, key: str, widths=(1 << 16, 1 << 32, 1 << 48)) -> DataFrame:
+    """(start, length) of maximal runs of distinct indices: found in ranges of the first width; runs that touch a range's border are joined in ranges of the next one, and so on."""
+    runs, out = rows.select(F.col(key).cast("long").alias("start"), F.lit(1).cast("long").alias("length")), None
+    for width in (*widths, None):
+        ranged = runs.withColumn("r", B.div(F.col("start"), width) if width else F.lit(0))
+        order = Window.partitionBy("r").orderBy("start")
+        new = F.coalesce(F.lag(F.col("start") + F.col("length")).over(order), F.lit(-1)) != F.col("start")
+        chained = ranged.withColumn("new", new.cast("int")).withColumn("id", F.sum("new").over(order))
+        joined = chained.groupBy("r", "id").agg(F.min("start").alias("start"), F.sum("length").alias("length")).select("start", "length")
+        at_border = (F.col("start") % width == 0) | ((F.col("start") + F.col("length")) % width == 0) if width else F.lit(False)
+        done = joined.where(~at_border)
+        out, runs = done if out is None else out.unionByName(done), joined.where(at_border)
+    return out
 
 
 @query("SELECT c AS c0, c * 1000 AS origin, 'c/' || c AS key_default, c || '' AS key_v2, 'c.' || c || '.tif' AS key_suffix FROM generate_series(0, (SELECT max(o_orderkey) // 1000 FROM orders)) g(c)")
@@ -300,7 +309,7 @@ def _through(frame: ArrayFrame, codecs: list, to: str | None = None) -> ArrayFra
     """The array encoded and decoded with these codecs before its own serialiser."""
     last = default_codecs(frame.meta.dtype if to is None else data_type(to))
     meta = replace(frame.meta, codecs=tuple([*codecs, *last])).bound()
-    return ArrayFrame.decode(meta, replace(frame, meta=meta).encode(), frame.element)
+    return ArrayFrame.decode(meta, ArrayFrame(meta, frame.chunks).encode(), frame.element)
 
 
 @query("""
@@ -396,7 +405,7 @@ _round_trip("shuffle_roundtrip", lambda s, d: values(s, d, codecs=[_little, {"na
 _round_trip("bytes_be_roundtrip", lambda s, d: embeddings(s, d, codecs=[{"name": "transpose", "configuration": {"order": [1, 0]}}, {"name": "bytes", "configuration": {"endian": "big"}}]), _E, True)
 _round_trip("reshape_roundtrip", lambda s, d: embeddings(s, d, codecs=[{"name": "reshape", "configuration": {"shape": [[0], 4, -1]}}, _little]), _E, True)
 _round_trip("packbits_roundtrip", lambda s, d: sizes(s, d, [{"name": "packbits", "configuration": {"first_bit": 0, "last_bit": 5, "padding_encoding": "first_byte"}}]), _P)
-_FULL_C = f"SELECT i0, i1, coalesce(v, '') AS v FROM (SELECT i0.i AS i0, i1.i AS i1 FROM generate_series(0, (SELECT max(conv_id) FROM conversations)) i0(i), generate_series(0, 7) i1(i)) LEFT JOIN ({_C}) USING (i0, i1)"
+_FULL_C = f"SELECT i0, i1, coalesce(v, '') AS v FROM (SELECT i0.i AS i0, i1.i AS i1 FROM generate_series(0, (SELECT max(conv_id) FROM conversations)) i0(i), generate_series(0, (SELECT greatest(7, max(turn)) FROM conversations)) i1(i)) LEFT JOIN ({_C}) USING (i0, i1)"
 _round_trip("vlen_utf8_roundtrip", lambda s, d: conversations(s, d, ["vlen-utf8", "zstd"]), _FULL_C)
 _round_trip("vlen_roundtrip", lambda s, d: conversations(s, d, [{"name": "vlen", "configuration": {"index_data_type": "uint32", "index_codecs": [_little, "gzip"], "data_codecs": ["bytes", "zstd"], "index_location": "end"}}]), _FULL_C)
 _round_trip("optional_roundtrip", labels, ORACLES["optional_read"])
@@ -405,15 +414,16 @@ _round_trip("shard_roundtrip", lambda s, d: embeddings(s, d, codecs=[_little, "z
 
 @query(f"SELECT * FROM ({_E}) WHERE i0 BETWEEN 104 AND 111 AND i1 BETWEEN 30 AND 33")
 def shard_partial(spark, sf_dir):
-    """Only the inner chunks that a box touches are cut out of the shards and decoded."""
+    """Only the shards that a box touches are made, and only the inner chunks that it touches are cut out of them and decoded."""
     f = embeddings(spark, sf_dir, codecs=[_little, "gzip"], subchunk=(10, 8))
     box = Box.of((104, 112), (30, 34))
-    inner = f.meta.subchunk_grid(0)
-    wanted = inner.chunks_in(box)
-    stored = f.meta.grid.chunks_in(box)
-    blobs = f.encode().where(stored.predicate(["c0", "c1"]))
-    parts = subchunk_bytes(f.meta, blobs).select((F.col("c0") * 5 + F.col("s0")).alias("c0"), (F.col("c1") * 2 + F.col("s1")).alias("c1"), "value").where(wanted.predicate(["c0", "c1"]))
-    meta = ArrayMeta(f.meta.shape, "float32", {"name": "regular", "configuration": {"chunk_shape": [10, 8]}}, 0.0, (_little, {"name": "gzip"})).bound()
+    (inner_shape,) = f.meta.subchunk_shapes()
+    counts = [n // c for n, c in zip(f.meta.grid.chunk_shape((0, 0)), inner_shape, strict=True)]
+    wanted = f.meta.subchunk_grid(0).chunks_in(box)
+    blobs = ArrayFrame(f.meta, f.prune(box)).encode()
+    number = [(F.col(f"c{k}") * n + F.col(f"s{k}")).alias(f"c{k}") for k, n in enumerate(counts)]
+    parts = subchunk_bytes(f.meta, blobs).select(*number, "value").where(wanted.predicate(["c0", "c1"]))
+    meta = ArrayMeta(f.meta.shape, "float32", {"name": "regular", "configuration": {"chunk_shape": list(inner_shape)}}, 0.0, (_little, {"name": "gzip"})).bound()
     return _doubles(ArrayFrame.decode(meta, parts, T.FloatType()).subset(box))
 
 
@@ -508,6 +518,197 @@ def rechunk(spark, sf_dir):
     return chunks.select("c0", "c1", F.size("data").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
+# stored arrays: written to a store in the shared folder, opened again
+
+
+def _saved(spark: SparkSession, frame: ArrayFrame, path: str = "/a") -> SparkStore:
+    store = SparkStore(spark, scratch(spark, "arrays"))
+    save_array(store, path, frame)
+    return store
+
+
+@query(f"SELECT * FROM ({_E}) WHERE i0 >= 95 AND i0 < 105 AND i1 >= 10 AND i1 < 40")
+def stored_subset_read(spark, sf_dir):
+    store = _saved(spark, embeddings(spark, sf_dir, codecs=[_little, "gzip"], subchunk=(10, 8)))
+    return _doubles(open_array(store, "/a").subset(Box.of((95, 105), (10, 40))))
+
+
+@query(f"SELECT * FROM ({_E}) WHERE i0 BETWEEN 50 AND 149 AND i1 BETWEEN 16 AND 47")
+def stored_chunks_read(spark, sf_dir):
+    store = _saved(spark, embeddings(spark, sf_dir, codecs=[_little, {"name": "blosc", "configuration": {"cname": "zstd", "clevel": 5, "shuffle": "shuffle", "typesize": 4}}, "crc32c"]))
+    return _doubles(open_array(store, "/a").chunk_box(Box.of((1, 3), (1, 3))))
+
+
+@query(f"SELECT * FROM ({_E}) WHERE i0 BETWEEN 60 AND 74 AND i1 BETWEEN 8 AND 31")
+def stored_subchunks_read(spark, sf_dir):
+    """Inner chunks of inner chunks: both levels read only their own bytes."""
+    inner = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [5, 8], "codecs": [_little, "crc32c"]}}]
+    store = _saved(spark, embeddings(spark, sf_dir, codecs=inner, subchunk=(25, 16)))
+    return _doubles(open_array(store, "/a").subchunks(Box.of((12, 15), (1, 4)), level=1))
+
+
+@query(ORACLES["index_gather"])
+def stored_gather(spark, sf_dir):
+    store = _saved(spark, embeddings(spark, sf_dir, codecs=["bytes"]))
+    return _doubles(open_array(store, "/a").gather(Indexer([[(3, 5), (99, 63), (3, 5), (0, 0), (250, 31)]])))
+
+
+@query(ORACLES["optional_read"])
+def stored_optional_read(spark, sf_dir):
+    return open_array(_saved(spark, labels(spark, sf_dir)), "/a").value_view()
+
+
+@query(f"SELECT i0, i1, coalesce(v, '') AS v FROM (SELECT i0.i AS i0, i1.i AS i1 FROM generate_series(5, 24) i0(i), generate_series(1, 6) i1(i)) LEFT JOIN ({_C}) USING (i0, i1)")
+def stored_strings_read(spark, sf_dir):
+    return open_array(_saved(spark, conversations(spark, sf_dir, ["vlen-utf8", "zstd"])), "/a").subset(Box.of((5, 25), (1, 7)))
+
+
+@query(f"SELECT i0, i1, CASE WHEN i0 BETWEEN 45 AND 54 AND i1 BETWEEN 14 AND 17 THEN i0 * 100 + i1 ELSE v END AS v FROM ({_E}) WHERE i0 BETWEEN 40 AND 59 AND i1 BETWEEN 10 AND 20")
+def stored_update(spark, sf_dir):
+    """Cells written into a stored array: only the touched inner chunks are decoded and encoded."""
+    store = _saved(spark, embeddings(spark, sf_dir, codecs=[_little, "gzip"], subchunk=(10, 8)))
+    new = Box.of((45, 55), (14, 18)).domain(spark, ["i0", "i1"]).withColumn("v", (F.col("i0") * 100 + F.col("i1")).cast("float"))
+    update_cells(store, "/a", new)
+    return _doubles(open_array(store, "/a").subset(Box.of((40, 60), (10, 21))))
+
+
+@query(f"SELECT i0, CASE WHEN i0 >= 1000 AND i0 < 3000 THEN -1 ELSE v END AS v FROM ({_V})")
+def stored_erase(spark, sf_dir):
+    store = _saved(spark, values(spark, sf_dir))
+    erase_stored(store, "/a", Box.of((1, 3)))
+    return open_array(store, "/a").value_view()
+
+
+@query("""
+    WITH s AS (SELECT vec_id // 50 AS c0, b AS c1, bool_or(vec_id = 7 OR vec_id = 122) AS touched FROM embeddings, (VALUES (0), (1), (2), (3)) t(b) GROUP BY ALL)
+    SELECT count(*) AS shards, 4::HUGEINT::BIGINT AS encoded, count(*) FILTER (touched AND c1 IN (0, 3)) AS compacted, 0::BIGINT AS left_over FROM s
+""")
+def stored_append_compact(spark, sf_dir):
+    """Appending inner chunks leaves dead bytes in the shards that had them; compaction rewrites these shards, and then none is left to rewrite."""
+    frame = embeddings(spark, sf_dir, subchunk=(10, 8))
+    store = _saved(spark, frame)
+    shards = store.listing("a/").where("key LIKE '%/c/%'").count()
+    cells = spark.createDataFrame([(7, 3, 1.5), (7, 60, 2.5), (122, 0, 3.5), (122, 63, 4.5)], "i0 long, i1 long, v float")
+    encoded = update_cells(store, "/a", cells, Options(append_to_shards=True))
+    done = [compact_array(store, "/a") for _ in range(2)]
+    return spark.createDataFrame([(shards, encoded, *done)], "shards long, encoded long, compacted long, left_over long")
+
+
+@query(f"SELECT * FROM ({_E}) WHERE i0 BETWEEN 10 AND 29 AND i1 BETWEEN 3 AND 9")
+def version2_read(spark, sf_dir):
+    """An array of the older format: its documents, keys and Fortran order."""
+    f = embeddings(spark, sf_dir)
+    meta = array_to_v3({"zarr_format": 2, "shape": list(f.meta.shape), "chunks": [50, 16], "dtype": ">f4", "fill_value": 0.0, "order": "F", "filters": None, "compressor": {"id": "zlib", "level": 1}, "dimension_separator": "."})
+    store = _saved(spark, ArrayFrame(meta, f.chunks))
+    again = open_array(store, "/a")
+    if again.meta.version2 is None:
+        raise ValueError("the document has not stayed one of version 2")
+    return _doubles(again.subset(Box.of((10, 30), (3, 10))))
+
+
+@query(f"SELECT i0, v FROM ({_P}) WHERE i0 BETWEEN 20 AND 70")
+def datasource_read(spark, sf_dir):
+    spark.dataSource.register(GridloomSource)
+    f, path = sizes(spark, sf_dir, ["bytes", "zstd"]), scratch(spark, "arrays")
+    f.chunks.write.format("gridloom").mode("append").option("metadata", json.dumps(f.meta.to_json())).save(path)
+    return ArrayFrame(f.meta, spark.read.format("gridloom").option("box", "20:71").load(path)).subset(Box.of((20, 71)))
+
+
+# codecs: the bytes themselves
+
+_PART_BYTES = "p AS (SELECT c, k, coalesce(p_size, 0) AS b FROM generate_series(0, (SELECT max(p_partkey) // 100 FROM part)) t(c), generate_series(0, 99) u(k) LEFT JOIN part ON p_partkey = c * 100 + k)"
+_PART_KEYS = "p AS (SELECT c, k, coalesce(p_partkey, 0) AS v FROM generate_series(0, (SELECT max(p_partkey) // 100 FROM part)) t(c), generate_series(0, 99) u(k) LEFT JOIN part ON p_partkey = c * 100 + k)"
+_HEX = "string_agg(printf('%02X', b), '' ORDER BY k)"
+
+
+def _hexed(frame: ArrayFrame) -> DataFrame:
+    return frame.encode().select("c0", F.hex("value").alias("hex"))
+
+
+def _keys(spark: SparkSession, sf_dir: str, codecs: list) -> ArrayFrame:
+    """Part keys [n] int32, each at its own place."""
+    df = _table(spark, sf_dir, "part")
+    meta = ArrayBuilder((_extent(df, "p_partkey"),), [100], "int32", 0, codecs).build()
+    return ArrayFrame.from_cells(meta, df.select(F.col("p_partkey").alias("i0"), F.col("p_partkey").cast("int").alias("v")))
+
+
+@query(f"WITH {_PART_BYTES} SELECT c AS c0, {_HEX} AS hex FROM p GROUP BY c HAVING sum(b) > 0")
+def bytes_hex(spark, sf_dir):
+    return _hexed(sizes(spark, sf_dir, ["bytes"]))
+
+
+@query(f"WITH {_PART_KEYS} SELECT c AS c0, string_agg(printf('%08X', v), '' ORDER BY k) AS hex FROM p GROUP BY c HAVING sum(v) > 0")
+def bytes_be_hex(spark, sf_dir):
+    return _hexed(_keys(spark, sf_dir, [{"name": "bytes", "configuration": {"endian": "big"}}]))
+
+
+@query(f"WITH {_PART_KEYS} SELECT c AS c0, string_agg(printf('%02X', (v >> (8 * j)) & 255), '' ORDER BY j, k) AS hex FROM p, generate_series(0, 3) t(j) GROUP BY c HAVING sum(v) > 0")
+def shuffle_hex(spark, sf_dir):
+    return _hexed(_keys(spark, sf_dir, [_little, {"name": "shuffle", "configuration": {"elementsize": 4}}]))
+
+
+@query(f"""
+    WITH {_PART_BYTES}, s AS (SELECT c, (1 + sum(b)) % 65521 AS x, (100 + sum((100 - k) * b)) % 65521 AS y, {_HEX} AS h FROM p GROUP BY c HAVING sum(b) > 0)
+    SELECT c AS c0, printf('%02X%02X%02X%02X', (x % 256)::INT, (x // 256)::INT, (y % 256)::INT, (y // 256)::INT) || h AS hex FROM s
+""")
+def adler32_hex(spark, sf_dir):
+    return _hexed(sizes(spark, sf_dir, ["bytes", "adler32"]))
+
+
+@query(f"""
+    WITH {_PART_BYTES}, w AS (SELECT c, k // 2 AS j, sum(b * CASE WHEN k % 2 = 0 THEN 256 ELSE 1 END) AS w FROM p GROUP BY ALL),
+    f AS (SELECT c, (sum(w) - 1) % 65535 + 1 AS x, (sum((50 - j) * w) - 1) % 65535 + 1 AS y FROM w GROUP BY c HAVING sum(w) > 0),
+    h AS (SELECT c, {_HEX} AS h FROM p GROUP BY c)
+    SELECT c AS c0, h || printf('%02X%02X%02X%02X', (x % 256)::INT, (x // 256)::INT, (y % 256)::INT, (y // 256)::INT) AS hex FROM f JOIN h USING (c)
+""")
+def fletcher32_hex(spark, sf_dir):
+    return _hexed(sizes(spark, sf_dir, ["bytes", "fletcher32"]))
+
+
+@query(f"""
+    WITH RECURSIVE {_PART_BYTES}, r(c, k, x) AS (
+        SELECT c, 0::BIGINT, 4294967295::BIGINT FROM p WHERE k = 0
+        UNION ALL
+        SELECT r.c, r.k + 1, xor(r.x >> 8, list_reduce([xor(r.x, p.b) & 255, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 2197175160 * (x & 1)))) FROM r JOIN p ON p.c = r.c AND p.k = r.k
+    ), h AS (SELECT c, {_HEX} AS h FROM p GROUP BY c HAVING sum(b) > 0), z AS (SELECT c, xor(x, 4294967295) AS x FROM r WHERE k = 100)
+    SELECT c AS c0, h || printf('%02X%02X%02X%02X', (x & 255)::INT, ((x >> 8) & 255)::INT, ((x >> 16) & 255)::INT, (x >> 24)::INT) AS hex FROM h JOIN z USING (c)
+""")
+def crc32c_hex(spark, sf_dir):
+    return _hexed(sizes(spark, sf_dir, ["bytes", "crc32c"]))
+
+
+@query(f"""
+    WITH {_PART_BYTES}, l AS (SELECT c, list(b ORDER BY k) AS l FROM p GROUP BY c HAVING sum(b) > 0),
+    m AS (SELECT c, m, sum(((l[(8 * m + r) // 6 + 1] >> ((8 * m + r) % 6)) & 1) << r)::INT AS b FROM l, generate_series(0, 74) t(m), generate_series(0, 7) u(r) GROUP BY ALL)
+    SELECT c AS c0, '00' || string_agg(printf('%02X', b), '' ORDER BY m) AS hex FROM m GROUP BY c
+""")
+def packbits_hex(spark, sf_dir):
+    return _hexed(sizes(spark, sf_dir, [{"name": "packbits", "configuration": {"first_bit": 0, "last_bit": 5, "padding_encoding": "first_byte"}}]))
+
+
+@query(f"""
+    WITH {_PART_BYTES}, i AS (SELECT c, k // 25 AS j, sum(b) > 0 AS held, {_HEX} AS h FROM p GROUP BY c, k // 25),
+    o AS (SELECT *, CASE WHEN held THEN coalesce(sum(CASE WHEN held THEN 25 ELSE 0 END) OVER (PARTITION BY c ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT END AS place FROM i)
+    SELECT c AS c0, coalesce(string_agg(h, '' ORDER BY j) FILTER (held), '') || string_agg(CASE WHEN held THEN printf('%02X', place) || '000000000000001900000000000000' ELSE repeat('F', 32) END, '' ORDER BY j) AS hex
+    FROM o GROUP BY c HAVING bool_or(held)
+""")
+def shard_hex(spark, sf_dir):
+    """Inner chunks one after the other, then offsets and sizes; those of nothing but fill values are absent."""
+    inner = {"name": "sharding_indexed", "configuration": {"chunk_shape": [25], "codecs": ["bytes"], "index_codecs": [_little], "index_location": "end"}}
+    return _hexed(sizes(spark, sf_dir, [inner]))
+
+
+# runs
+
+
+@query("SELECT (r * 64 + 10)::BIGINT AS start, 30::BIGINT AS length FROM generate_series(95, 104) t(r) UNION ALL SELECT 128, 192")
+def box_runs(spark, sf_dir):
+    """Runs of boxes that are contiguous in the array: lines of a part of its columns, one run of whole lines."""
+    shape = embeddings(spark, sf_dir).meta.shape
+    runs = Indexer([Box.of((95, 105), (10, 40)), Box.of((2, 5), (0, 64))]).runs(shape)
+    return spark.createDataFrame(runs, "start long, length long")
+
+
 # hierarchies
 
 
@@ -545,3 +746,16 @@ def consolidate(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     root = GroupMeta(consolidated={p: {"zarr_format": 3, "node_type": "group"} for p in H.consolidate(nodes)})
     return H.children(H.consolidated_nodes(spark, root), "/", recursive=True).select(F.substring("path", 2, 1 << 30).alias("relative"))
+
+
+@query(f"SELECT path[2:] AS relative, 'array' AS node_type, k::BIGINT AS extent FROM {_N} UNION ALL SELECT replace(r_name, ' ', '_'), 'group', NULL FROM region")
+def stored_consolidate(spark, sf_dir):
+    """Groups and arrays of a store, their documents gathered into the root's and read from there."""
+    store = SparkStore(spark, scratch(spark, "arrays"))
+    for r in _nodes(spark, sf_dir).toLocalIterator():
+        shape = json.loads(r["meta"]).get("shape")
+        write_node(store, r["path"], GroupMeta() if shape is None else ArrayBuilder(shape, [max(1, shape[0])], "uint8", 0).build())
+    consolidate_group(store)
+    nodes = open_hierarchy(store, "/", "must").where("path <> '/'")
+    extent = F.get_json_object("meta", "$.shape[0]").cast("long")
+    return nodes.select(F.substring("path", 2, 1 << 30).alias("relative"), "node_type", extent.alias("extent"))

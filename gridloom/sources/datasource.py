@@ -1,4 +1,4 @@
-"""The Python data source "gridloom": arrays in a folder as chunks, one input partition per group of stored chunks.
+"""The Python data source "gridloom": arrays in a folder as chunks, one input partition per group of chunks.
 
     spark.dataSource.register(GridloomSource)
     spark.read.format("gridloom").option("box", "0:10,5:8").load("/path/to/array")
@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from gridloom.functions.boxes import Box
+from gridloom.functions.boxes import Box, unravel
 from gridloom.functions.keys import V2_ARRAY_KEY, V2_ATTRIBUTES_KEY, V3_KEY
 from gridloom.operators.frame import from_numpy, index_names, to_numpy
 from gridloom.plans.meta import ArrayMeta, MetadataError, array_to_v3
 
-#: Stored chunks of one input partition.
+#: Chunks of one input partition, where the grid isn't too large.
 CHUNKS_PER_TASK = 64
+MOST_TASKS = 10_000
 
 
 def read_meta(path: str) -> ArrayMeta:
@@ -42,35 +43,40 @@ def parse_box(text: str) -> Box:
 
 
 class Chunks(InputPartition):
-    def __init__(self, numbers: list[tuple[int, ...]]):
-        self.numbers = numbers
+    """Chunks by their C-order places in a range of chunks."""
+
+    def __init__(self, first: int, last: int):
+        self.first, self.last = first, last
 
 
 class Reader(DataSourceReader):
+    """Deals the grid's chunks, or those of a box, to tasks without listing the folder; what isn't stored gives no row."""
+
     def __init__(self, path: str, meta: dict, box: str | None):
         self.path, self.meta, self.box = path, meta, box
 
+    def _range(self, meta: ArrayMeta) -> Box:
+        chunks = Box.whole(meta.grid.shape) if self.box is None else meta.grid.chunks_in(parse_box(self.box))
+        return chunks or Box.empty(meta.dims)
+
     def partitions(self) -> list[Chunks]:
-        meta = ArrayMeta.from_json(self.meta)
-        found = []
-        for folder, _, names in os.walk(self.path):
-            for n in names:
-                key = os.path.relpath(os.path.join(folder, n), self.path).replace(os.sep, "/")
-                if (number := meta.keys.chunk(key)) is not None and len(number) == meta.dims:
-                    found.append(number)
-        if self.box is not None:
-            chunks = meta.grid.chunks_in(parse_box(self.box))
-            found = [n for n in found if chunks is not None and chunks.contains(n)]
-        found.sort()
-        return [Chunks(found[i : i + CHUNKS_PER_TASK]) for i in range(0, len(found), CHUNKS_PER_TASK)] or [Chunks([])]
+        n = self._range(ArrayMeta.from_json(self.meta)).size
+        each = max(CHUNKS_PER_TASK, -(-n // MOST_TASKS))
+        return [Chunks(i, min(i + each, n)) for i in range(0, n, each)] or [Chunks(0, 0)]
 
     def read(self, partition: Chunks) -> Iterator[tuple]:
         meta, chains = ArrayMeta.from_json(self.meta), {}
-        for number in partition.numbers:
+        chunks = self._range(meta)
+        for place in range(partition.first, partition.last):
+            number = tuple(s + i for s, i in zip(chunks.start, unravel(place, chunks.shape), strict=True))
             shape = meta.grid.chunk_shape(number)
             chain = chains.setdefault(shape, meta.chain(shape))
-            with open(os.path.join(self.path, meta.keys.key(number)), "rb") as f:
-                yield (*number, from_numpy(chain.decode(f.read()), meta.dtype))
+            try:
+                with open(os.path.join(self.path, meta.keys.key(number)), "rb") as f:
+                    data = f.read()
+            except FileNotFoundError:
+                continue
+            yield (*number, from_numpy(chain.decode(data), meta.dtype))
 
 
 class Written(WriterCommitMessage):

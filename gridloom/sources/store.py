@@ -39,6 +39,7 @@ class Store:
     def list(self) -> list[str]: ...
 
     def get_partial(self, key: str, ranges: Iterable[dict]) -> list[bytes] | None:
+        """Byte ranges of a value; a store that can seek reads no more than these."""
         data = self.get(check_key(key))
         return None if data is None else [byte_range(data, **r) for r in ranges]
 
@@ -124,15 +125,47 @@ class SparkStore(Store):
         finally:
             stream.close()
 
+    def get_partial(self, key: str, ranges: Iterable[dict]) -> list[bytes] | None:
+        at = self._at(key)
+        if not self._fs.exists(at):
+            return None
+        size, out = self._fs.getFileStatus(at).getLen(), []
+        stream = self._fs.open(at)
+        try:
+            for r in ranges:
+                offset, length, suffix = r.get("offset"), r.get("length"), r.get("suffix")
+                if suffix is not None:
+                    offset, length = size - suffix, suffix
+                length = size - offset if length is None else length
+                if offset < 0 or offset + length > size:
+                    raise RangeError(f"bytes {offset} to {offset + length} of {size}")
+                stream.seek(offset)
+                out.append(bytes(stream.readNBytes(length)))
+        finally:
+            stream.close()
+        return out
+
     def set(self, key: str, value: bytes) -> None:
-        """Written under another name, then renamed, so that readers see the old or the new value."""
-        part = self._path(f"{self.root}/{key}.__part")
+        """Readers see the old or the new value, whenever the driver stops: local files and hdfs by a rename that replaces, object stores by one whole write."""
+        jvm, scheme = self.spark.sparkContext._jvm, self._fs.getScheme()
+        whole = scheme not in ("file", "hdfs", "viewfs")
+        at = self._at(key)
+        part = at if whole else self._path(at.getParent(), f"_{uuid.uuid4().hex}.part")
         stream = self._fs.create(part, True)
         stream.write(bytearray(value))
         stream.close()
-        self._fs.delete(self._at(key), False)
-        if not self._fs.rename(part, self._at(key)):
-            raise OSError(f"{key} can't be renamed")
+        if scheme == "file":
+            files, copy = jvm.java.nio.file, self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+            copy[0] = files.StandardCopyOption.ATOMIC_MOVE
+            local = lambda p: files.Paths.get(self._fs.makeQualified(p).toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            files.Files.move(local(part), local(at), copy)
+            # the checksum beside the old value must not judge the new one
+            self._fs.delete(self._path(part.getParent(), f".{part.getName()}.crc"), False)
+            self._fs.delete(self._path(at.getParent(), f".{at.getName()}.crc"), False)
+        elif not whole:
+            options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+            options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, at, options)
 
     def erase(self, key: str) -> None:
         self._fs.delete(self._at(key), False)
@@ -156,12 +189,13 @@ class SparkStore(Store):
         return found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
     # as DataFrames
-    def listing(self) -> DataFrame:
-        """key, length, modificationTime; contents aren't read."""
-        if not self._fs.exists(self._path(self.root)):
+    def listing(self, prefix: str = "") -> DataFrame:
+        """key, length, modificationTime of all keys below a prefix; contents aren't read."""
+        below = f"{self.root}/{check_prefix(prefix)}".rstrip("/")
+        if not self._fs.exists(self._path(below)):
             return self.spark.createDataFrame([], "key string, length long, modificationTime timestamp")
         root = self._fs.makeQualified(self._path(self.root)).toUri().getPath()
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(below)
         key = F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})")
         return files.select(key.alias("key"), "length", "modificationTime")
 
@@ -328,11 +362,59 @@ class ValueReader:
         return getattr(self._file, name)
 
 
-def transformed(store: Store, metas: Sequence[dict]) -> Store:
-    """A store seen through its storage transformers, outermost last."""
+class Transformer:
+    """A storage transformer: maps keys and values on their way to a store. Registered ones override what they change; executors use them, too, so they hold no driver state."""
+
+    def __init__(self, config: dict):
+        self.config = config
+
+    def key(self, key: str) -> str:
+        return key
+
+    def encode(self, value: bytes) -> bytes:
+        return value
+
+    def decode(self, value: bytes) -> bytes:
+        return value
+
+
+def transformers(metas: Sequence[dict]) -> list[Transformer]:
+    """An array's transformers, in the order in which a value passes them on its way to the store."""
     from gridloom.registry import TRANSFORMERS
 
-    for m in metas:
-        store = TRANSFORMERS.get(m["name"])(store, m.get("configuration") or {})
-    return store
+    return [TRANSFORMERS.get(m["name"])(m.get("configuration") or {}) for m in metas]
+
 
+class TransformedStore(Store):
+    """A store seen through storage transformers. Keys of a transformer that renames them can't be listed."""
+
+    def __init__(self, inner: Store, through: Sequence[Transformer]):
+        self.inner, self.through = inner, list(through)
+
+    def _key(self, key: str) -> str:
+        for t in self.through:
+            key = t.key(key)
+        return key
+
+    def get(self, key: str) -> bytes | None:
+        data = self.inner.get(self._key(key))
+        if data is not None:
+            for t in reversed(self.through):
+                data = t.decode(data)
+        return data
+
+    def set(self, key: str, value: bytes) -> None:
+        for t in self.through:
+            value = t.encode(value)
+        self.inner.set(self._key(key), value)
+
+    def erase(self, key: str) -> None:
+        self.inner.erase(self._key(key))
+
+    def list(self) -> list[str]:
+        return self.inner.list()
+
+
+def transformed(store: Store, metas: Sequence[dict]) -> Store:
+    """A store seen through an array's storage transformers."""
+    return TransformedStore(store, transformers(metas)) if metas else store

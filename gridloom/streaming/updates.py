@@ -10,23 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.functions.boxes import Box
-from gridloom.sources.arrays import open_array, save_array
+from gridloom.sources.arrays import read_node, update_cells
 from gridloom.sources.store import SparkStore
 
 
-def merge_cells(store: SparkStore, path: str, cells: DataFrame, order: str | None = None) -> None:
-    """Writes cells (i0.., v) into the stored array."""
-    frame = open_array(store, path)
-    names = frame.i
-    bounds = cells.agg(*(f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max))).first()
-    if bounds is None or bounds[0] is None:
-        return
+def merge_cells(store: SparkStore, path: str, cells: DataFrame, order: str | None = None) -> int:
+    """Writes cells (i0.., v) into the stored array; only the chunks that they touch are read and written. The number of (inner) chunks encoded."""
+    names = [f"i{k}" for k in range(read_node(store, path).dims)]
     latest = cells.groupBy(*names).agg((F.max_by("v", order) if order else F.max("v")).alias("v"))
-    box = Box.including([bounds[f"min_{n}"] for n in names], [bounds[f"max_{n}"] for n in names])
-    save_array(store, path, frame.store_cells(latest, box))
+    return update_cells(store, path, latest)
 
 
 def stream_cells(cells: DataFrame, store: SparkStore, path: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
     """Starts a query that merges a stream of cells into an array."""
-    return cells.writeStream.foreachBatch(lambda batch, _: merge_cells(store, path, batch, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return cells.writeStream.foreachBatch(lambda batch, _: (merge_cells(store, path, batch, order), None)[1]).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gridloom.functions.boxes import Box
-from gridloom.functions.codecs import Chain, ChecksumError, CodecError, Form, cast_values
+from gridloom.functions.codecs import ByteReader, Chain, ChecksumError, CodecError, Form, blosclz_deflate, blosclz_inflate, cast_values, crc32c, slices
 from gridloom.functions.dtypes import SMALL_FLOATS, data_type, same_bits
 from gridloom.registry import CODECS, UnsupportedExtension
 
@@ -178,3 +178,120 @@ def test_blosc_blocks():
     streams = b"".join(struct.pack("<i", len(z)) + z for z in (pa.Codec("lz4_raw").compress(s.tobytes(), asbytes=True) for s in shuffled))
     data = struct.pack("<BBBBIII", 2, 1, 1 << 5 | 1, 4, len(raw), len(raw), 20 + len(streams)) + struct.pack("<I", 20) + streams
     assert CODECS.get("blosc")({}).decode(data) == raw
+
+
+def test_crc32c_by_lanes():
+    def plain(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    assert crc32c(b"123456789") == 0xE3069283
+    draw = np.random.default_rng(0)
+    for n in (0, 1, 4095, 4096, 4097, 5003, 20_001):
+        data = draw.integers(0, 256, n, dtype=np.uint8).tobytes()
+        assert crc32c(data) == plain(data)
+
+
+BLOSC_INPUTS = [b"", b"abc" * 3, np.arange(5000, dtype="u4").tobytes(), bytes(70_001), np.random.default_rng(1).integers(0, 4, 30_003, dtype=np.uint8).tobytes(), np.random.default_rng(2).bytes(4099)]
+
+
+@pytest.mark.parametrize("cname", ["lz4", "lz4hc", "zstd", "zlib", "snappy", "blosclz"])
+@pytest.mark.parametrize("shuffle", ["noshuffle", "shuffle", "bitshuffle"])
+def test_blosc(cname, shuffle):
+    for typesize in (1, 2, 4, 8):
+        for blocksize in (0, 1000):
+            codec = CODECS.get("blosc")({"cname": cname, "clevel": 5, "shuffle": shuffle, "typesize": typesize, "blocksize": blocksize})
+            codec.bind(Form(data_type("uint8"), (1,), 0))
+            for data in BLOSC_INPUTS:
+                made = codec.encode(data)
+                assert codec.decode(made) == data and len(made) <= len(data) + 16
+                assert made[3] == typesize and int.from_bytes(made[4:8], "little") == len(data) and int.from_bytes(made[12:16], "little") == len(made)
+            assert len(codec.encode(bytes(70_001))) < 6000
+    if shuffle != "noshuffle" and cname != "snappy":
+        codec = CODECS.get("blosc")({"cname": cname, "shuffle": shuffle, "typesize": 4})
+        assert len(codec.encode(np.arange(50_000, dtype="u4").tobytes())) < 10_000
+
+
+def test_blosc_choices():
+    data = np.arange(999, dtype="u4").tobytes()
+    stored = CODECS.get("blosc")({"clevel": 0}).encode(data)
+    assert stored[2] & 0x2 and stored[16:] == data
+    for config in ({"cname": "none"}, {"shuffle": "odd"}):
+        with pytest.raises((UnsupportedExtension, CodecError)):
+            CODECS.get("blosc")(config).bind(Form(data_type("uint8"), (1,), 0))
+
+
+def test_blosclz_streams():
+    """Streams by hand: three literals and a match that overlaps itself, a long one, a far one."""
+    assert blosclz_inflate(bytes([2]) + b"abc" + bytes([3 << 5, 2]), 8) == b"abcabcab"
+    assert blosclz_inflate(bytes([0]) + b"x" + bytes([7 << 5, 255, 3, 0]), 1 + 9 + 258) == b"x" * 268
+    lead = bytes(range(32)) * 300
+    far = bytes([31]) + lead[:32] + b"".join(bytes([31]) + lead[k : k + 32] for k in range(32, 9600, 32)) + bytes([1 << 5 | 31, 255, (9600 - 8192) >> 8, (9600 - 8192) & 255])
+    assert blosclz_inflate(far, 9603) == lead + lead[:3]
+    for data in BLOSC_INPUTS:
+        made = blosclz_deflate(data)
+        assert made is None or blosclz_inflate(made, len(data)) == data
+
+
+NESTED = [{"name": "sharding_indexed", "configuration": {"chunk_shape": [4, 6, 4], "codecs": [{"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3, 2], "codecs": ["bytes", "crc32c"]}}]}}]
+
+
+@pytest.mark.parametrize(
+    "metas, most",
+    [
+        (["bytes"], 100),
+        (["bytes", "crc32c"], 100),
+        (["bytes", "adler32", "crc32c"], 100),
+        (["bytes", "zstd"], 10_000),
+        (NESTED, 350),
+        ([{"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3, 2], "codecs": ["bytes", "gzip"], "index_location": "start"}}, "crc32c"], 450),
+    ],
+)
+def test_boxes_read_what_they_need(metas, most):
+    draw = np.random.default_rng(3)
+    a = draw.random((8, 6, 4))
+    a[:4] = 0
+    chain = Chain(metas, Form(data_type("float64"), a.shape, 0.0))
+    data = chain.encode(a)
+    for _ in range(60):
+        start = [int(draw.integers(0, n)) for n in a.shape]
+        box = Box(tuple(start), tuple(int(draw.integers(0, n - s + 1)) for s, n in zip(start, a.shape, strict=True)))
+        assert (chain.read_box(ByteReader(data), box) == a[slices(box)]).all()
+    reader = ByteReader(data)
+    chain.read_box(reader, Box.of((4, 6), (0, 3), (0, 2)))
+    assert reader.taken <= most
+    with pytest.raises(CodecError):
+        chain.decode(data[: len(data) // 2])
+
+
+@pytest.mark.parametrize("location", ["start", "end"])
+def test_shard_updates(location):
+    a = np.random.default_rng(4).random((8, 6, 4))
+    a[:4] = 0
+    chain = Chain([{"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3, 2], "codecs": ["bytes", "gzip"], "index_location": location}}], Form(data_type("float64"), a.shape, 0.0))
+    data, places, values = chain.encode(a), np.array([0, 100, 101, 191]), np.array([1.0, 2.0, 3.0, 0.5])
+    want = a.copy()
+    want.reshape(-1)[places] = values
+    plain, n = chain.updated(ByteReader(data), places, values, None)
+    assert n == 3 and (chain.decode(plain) == want).all() and chain.sharding.compact(plain) is None
+    longer, n = chain.updated(ByteReader(data), places, values, None, True)
+    assert n == 3 and len(longer) > len(plain) and (chain.decode(longer) == want).all()
+    assert chain.sharding.compact(longer) is not None and (chain.decode(chain.sharding.compact(longer)) == want).all()
+    fresh, n = chain.updated(None, places, values, None, True)
+    assert n == 3 and np.count_nonzero(chain.decode(fresh)) == 4
+    assert chain.updated(ByteReader(fresh), places, np.zeros(4), None, True) == (None, 3)
+
+
+def test_unchecked_checksums():
+    form = Form(data_type("uint8"), (6,), 0)
+    data = bytearray(Chain(["bytes", "crc32c"], form).encode(np.arange(6, dtype="u1")))
+    data[0] ^= 1
+    with pytest.raises(ChecksumError):
+        Chain(["bytes", "crc32c"], form).decode(bytes(data))
+    assert Chain(["bytes", "crc32c"], form, validate=False).decode(bytes(data)).tolist() == [1, 1, 2, 3, 4, 5]
+    with pytest.raises(CodecError):
+        Chain([{"name": "sharding_indexed", "configuration": {"chunk_shape": [2], "codecs": ["bytes"], "subchunk_write_order": "odd"}}], form)
