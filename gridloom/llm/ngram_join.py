@@ -6,12 +6,12 @@ links). Equal sets are one class representative with a number of copies, so copi
 Chosen paths: in each of RUNS runs a set chooses one of its tokens as the smallest under the run's hash, then the next one
 under a hash that depends on the path so far, DEPTH times. Sets that chose the same path share a bucket. Two sets that share 0.8 of
 their tokens choose alike with that chance at each step. Buckets of at most BUCKET sets are compared at once by brute force
-over sketches; larger ones are split by the next token of the path. A bucket that is still larger at the last depth is compared with its
-leaders: sets less similar to all earlier leaders than LEADER become leaders, and every set is tied to all leaders it could
+over sketches; larger ones, which a count by key finds before any row moves, are split by the next token of the path. A bucket that is still larger at the last depth is dealt to units of UNIT sets. Each unit
+finds leaders: sets less similar to all earlier leaders than LEADER; then every set of every unit is tied to all leaders of the bucket, block by block, that it could
 share a neighbour with, so that what a small bucket would propose is tied here, too: the part of 64 held ranges that differ is a metric, and a pair
 alike in LIKE of them lies within 1 - LIKE + 1 - LEADER of the leader. In both kinds of bucket a pair of similarity 0.8 is passed over where its
 sketches are alike in less than LIKE (35 of 64 ranges or fewer: chance 4e-6; runs share the sketch). The runs are repeated to a
-recall of 1 - (1 - 0.8**d)**RUNS for a pair that is split d times (above 1 - 1e-8 for d = 1).
+recall of 1 - (1 - 0.8**d)**RUNS for a pair that is split d times (above 1 - 1e-8 for d = 1); RUNS follows from `runs_for`.
 
 Sketches (the smallest hash in each of 64 ranges, a byte each) only propose; with ties they form candidate components. Inside these all
 pairs are compared by their exact sets, so also pairs whose own paths never met. Large components are cut into
@@ -24,6 +24,7 @@ may be null or stand for several texts, and rows repeated in full count as copie
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -36,8 +37,19 @@ from gridloom.llm import words as W
 from gridloom.llm.common import claim, map_texts, written
 from gridloom.llm.components import connected_components
 
-SHINGLE = 5
-RUNS, DEPTH, BUCKET = 12, 4, 256
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def runs_for(recall: float, splits: int) -> int:
+    """So many runs find a pair at the least similarity that is split so often with at least this chance."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - SIMILARITY**splits))
+
+
+DEPTH, BUCKET = 4, 256
+#: 1 - 1e-8 for a pair whose first buckets are small; 1 - 5e-6 after one more split, 0.998 after all four.
+RUNS = runs_for(1 - 1e-8, 1)
+#: Sets of a unit of a bucket that is too large at the last depth, and leaders of a block that meets it.
+UNIT, LEADERS = 512, 2048
 BINS, NONE = 64, 255
 #: Sketch similarities: of a candidate pair, of a set that its leader stands for, and of one that could share a neighbour with a leader
 #: (LIKE + LEADER - 1: no pair that a small bucket would propose is parted).
@@ -142,95 +154,110 @@ def _within(reps: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndar
     return reps[own], reps[root[own]]
 
 
-class _Leaders:
-    """Leaders of a bucket too large to compare; only they are held, with the component that each is known to lie in."""
-
-    def __init__(self) -> None:
-        self.reps, self.sketches, self.root = np.empty(64, np.int64), np.empty((64, BINS), np.uint8), []
-
-    def _find(self, k: int) -> int:
-        while self.root[k] != k:
-            self.root[k] = self.root[self.root[k]]
-            k = self.root[k]
-        return k
-
-    def tie(self, rep: int, sketch: np.ndarray) -> list[tuple[int, int]]:
-        """One tie to the components of all leaders that could share a neighbour with the set, which become one."""
-        n = len(self.root)
-        alike = _alike(sketch[None, :], self.sketches[:n])
-        out, roots = [], sorted({self._find(k) for k in np.flatnonzero(alike >= NEAR).tolist()})
-        for k in roots[1:]:
-            self.root[k] = roots[0]
-            out.append((int(self.reps[k]), int(self.reps[roots[0]])))
-        if roots and self.reps[roots[0]] != rep:
-            out.append((rep, int(self.reps[roots[0]])))
-        if not (alike >= LEADER).any():
-            if n == len(self.reps):
-                self.reps = np.concatenate([self.reps, np.empty_like(self.reps)])
-                self.sketches = np.concatenate([self.sketches, np.empty_like(self.sketches)])
-            self.reps[n], self.sketches[n] = rep, sketch
-            self.root.append(roots[0] if roots else n)
-        return out
-
-
-_TIES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("path", T.BinaryType())])
-_ARROW_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.binary()), ("path", pa.binary())])
-
-
-def _buckets(last: bool):
-    """Compares small buckets, passes the rows of larger ones on (b null), or ties these to leaders at the last depth. Rows come sorted by key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the rows of the key at hand, while it is small
-        key, over, leaders = None, False, None
-
-        def ties(a, b) -> pa.RecordBatch:
-            a = np.asarray(a, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.asarray(b, np.int64)), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary())], schema=_ARROW_TIES)
-
-        def rows(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
-            return part.column("rep").to_numpy(), sketch
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            if not over and sum(b.num_rows for b in held) > 1:
-                parts = [rows(b) for b in held]
-                a, b = _within(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                if len(a):
-                    yield ties(a, b)
-
-        def large(part: pa.RecordBatch) -> pa.RecordBatch:
-            if not last:
-                return pa.RecordBatch.from_arrays([part.column("rep"), pa.nulls(part.num_rows, pa.int64()), part.column("sketch").cast(pa.binary()), part.column("path").cast(pa.binary())], schema=_ARROW_TIES)
-            reps, sketches = rows(part)
-            found = [t for r, s in zip(reps.tolist(), sketches, strict=True) for t in leaders.tie(r, s)]
-            return ties([t[0] for t in found], [t[1] for t in found])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column("key").to_pylist()
-            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if keys[lo] != key:
-                    yield from closed()
-                    held, key, over, leaders = [], keys[lo], False, None
-                if hi - lo == 1 and hi < len(keys) and not held and not over:
-                    key = None  # alone with its key
-                    continue
-                part = batch.slice(lo, hi - lo)
-                if not over:
-                    held.append(part)
-                    if sum(b.num_rows for b in held) > BUCKET:
-                        over, leaders = True, _Leaders()
-                        for b in held:
-                            yield large(b)
-                        held = []
-                else:
-                    yield large(part)
-        yield from closed()
-
-    return run
+_TIES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of one key after another, from batches sorted by the named columns; groups are small."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(n).to_pylist() for n in names]
+        keys = list(zip(*columns, strict=True))
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if keys[lo] != last:
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, last = [], keys[lo]
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sketches(part: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _ties(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], schema=_TIES)
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties inside small buckets. Rows come sorted by key."""
+    for part in _groups(batches, ["key"]):
+        if part.num_rows > 1:
+            a, b = _within(part.column("rep").to_numpy(), _sketches(part))
+            if len(a):
+                yield _ties(a, b)
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The leaders of each unit. Rows come sorted by key and unit."""
+    for part in _groups(batches, ["key", "unit"]):
+        sketches, led = _sketches(part), np.zeros(part.num_rows, bool)
+        chosen = []
+        for k in range(part.num_rows):
+            if not led[k]:
+                chosen.append(k)
+                led[k:] |= _alike(sketches[k][None, :], sketches[k:]) >= LEADER
+        yield pa.RecordBatch.from_arrays([part.column(n).take(pa.array(chosen)).combine_chunks() for n in ("key", "rep", "sketch")], names=["key", "rep", "sketch"])
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties the sets of a unit to the leaders of a block that could share a neighbour with them. Rows come sorted by key, unit, block, leaders first."""
+    for part in _groups(batches, ["key", "unit", "block"]):
+        lead = part.column("leader").to_numpy(zero_copy_only=False).astype(bool)
+        reps, sketches = part.column("rep").to_numpy(), _sketches(part)
+        leaders, marks = reps[lead], sketches[lead]
+        if not len(leaders) or lead.all():
+            continue
+        root = np.arange(len(leaders))  # leaders that one set ties are one component
+
+        def find(k: int, root: np.ndarray = root) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return int(k)
+
+        a, b = [], []
+        for rep, sketch in zip(reps[~lead].tolist(), sketches[~lead], strict=True):
+            roots = sorted({find(k) for k in np.flatnonzero(_alike(sketch[None, :], marks) >= NEAR).tolist()})
+            for k in roots[1:]:
+                root[k] = roots[0]
+                a.append(leaders[k])
+                b.append(leaders[roots[0]])
+            if roots and leaders[roots[0]] != rep:
+                a.append(rep)
+                b.append(leaders[roots[0]])
+        if a:
+            yield _ties(a, b)
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, few: bool, how: str) -> DataFrame:
+    """Joins figures of large buckets to their rows: by broadcast where these buckets are few, else over salted keys, so that no bucket is one task."""
+    if few:
+        return rows.join(F.broadcast(counts), "key", how)
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(salted, ["key", "salt"], how).drop("salt")
+
+
+def _large_ties(rows: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
+    """Ties in the buckets that are still large at the last depth."""
+    units = F.ceil(F.col("n") / UNIT).cast("int")
+    dealt = written(_with_counts(rows, counts.select("key", units.alias("units")), few, "inner").withColumn("unit", F.pmod(F.xxhash64("rep"), F.col("units")).cast("int")))
+    leaders = written(dealt.repartition("key", "unit").sortWithinPartitions("key", "unit", "rep").select("key", "unit", "rep", "sketch").mapInArrow(_lead, "key binary, rep long, sketch binary"))
+    figures = leaders.groupBy("key").agg(F.count("*").alias("leaders")).join(counts, "key").select("key", units.alias("units"), F.ceil(F.col("leaders") / LEADERS).cast("int").alias("blocks"))
+    figures = written(figures)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    marks = _with_counts(leaders, figures, few, "inner").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("unit", each("units"))
+    sets = _with_counts(dealt.select("key", "unit", "rep", "sketch"), figures.select("key", "blocks"), few, "inner").withColumn("block", each("blocks"))
+    names = ["key", "unit", "block", "rep", "sketch"]
+    both = marks.select(*names, F.lit(True).alias("leader")).unionByName(sets.select(*names, F.lit(False).alias("leader")))
+    met = both.repartition("key", "unit", "block").sortWithinPartitions("key", "unit", "block", F.desc("leader"), "rep")
+    return met.mapInArrow(_tied, "a long, b long")
 
 
 def candidate_ties(sets: DataFrame) -> DataFrame:
@@ -240,11 +267,17 @@ def candidate_ties(sets: DataFrame) -> DataFrame:
     rows = sets.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), "paths").select("rep", "sketch", F.expr(f"substring(paths, run * {size} + 1, {size})").alias("path"))
     for d in range(DEPTH):
         keyed = rows.select(F.expr(f"substring(path, {8 * d + 1}, 8)").alias("key"), "rep", "sketch", "path")
-        out = written(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_buckets(d == DEPTH - 1), _TIES))
-        found.append(out.where(F.col("b").isNotNull()).select("a", "b"))
-        rows = out.where(F.col("b").isNull()).select(F.col("a").alias("rep"), "sketch", "path")
-        if d < DEPTH - 1 and rows.isEmpty():
+        counts = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET))
+        large = counts.count()
+        few = large <= BROADCAST_ROWS
+        small = _with_counts(keyed, counts.select("key"), few, "left_anti") if large else keyed
+        found.append(written(small.select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_small, "a long, b long")))
+        if not large:
             break
+        if d == DEPTH - 1:
+            found.append(written(_large_ties(keyed.select("key", "rep", "sketch"), counts, few)))
+        else:
+            rows = written(_with_counts(keyed, counts.select("key"), few, "left_semi").select("rep", "sketch", "path"))
     ties = found[0]
     for more in found[1:]:
         ties = ties.union(more)
