@@ -44,6 +44,8 @@ _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .,\-_*]+[^\W\d_]){2,}(?!\S)")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _LETTERS = 64
 _TRIPLES = list(combinations(range(WINDOW), 3))
+#: A window as one number, six bits a letter.
+_PACK = 1 << 6 * np.arange(WINDOW - 1, -1, -1)
 _CACHE_WORDS = 400_000
 
 
@@ -67,16 +69,15 @@ def letters(token: str) -> str:
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Windows of all words as letter codes (0: none), and the word each belongs to. Short words give one padded window."""
-    parts, owner = [], []
-    for i, w in enumerate(words):
-        if w:
-            for k in range(max(1, len(w) - WINDOW + 1)):
-                parts.append(w[k : k + WINDOW].ljust(WINDOW, "\0"))
-                owner.append(i)
-    points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, WINDOW)
+    sizes = np.array([len(w) for w in words], np.int64)
+    points = np.frombuffer("".join([w.ljust(WINDOW, "\0") if w else w for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
     ascii_letter = (points >= 97) & (points <= 122)
-    code = np.where(ascii_letter, points - 96, np.where(points == 0, 0, 27 + points % (_LETTERS - 27)))
-    return code.astype(np.int64), np.array(owner, np.int64)
+    letter = np.where(ascii_letter, points - 96, np.where(points == 0, 0, 27 + points % (_LETTERS - 27))).astype(np.int64)
+    held = np.where(sizes > 0, np.maximum(sizes, WINDOW), 0)
+    n = np.where(sizes > 0, held - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(words)), n)
+    start = np.repeat(np.cumsum(held) - held, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return letter[start[:, None] + np.arange(WINDOW)], owner
 
 
 def _subsequences(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +150,20 @@ def _decisions(model: ToxicityModel, words: list[str]) -> np.ndarray:
     """(words, machines) the largest decisions over each word's windows; the bias where there is none."""
     out = np.tile(model.bias, (len(words), 1))
     for start in range(0, len(words), 20_000):
-        code, owner = _codes(words[start : start + 20_000])
-        if len(code):
-            value = np.zeros((len(code), 2), np.float32)
-            rows = np.arange(len(code))
+        windows, owner = _codes(words[start : start + 20_000])
+        if len(windows):
+            # equal windows of several words are judged once
+            packed, place = np.unique(windows @ _PACK, return_inverse=True)
+            columns = [(packed >> 6 * (WINDOW - 1 - k) & 63) for k in range(WINDOW)]
+            value = np.zeros((len(packed), 2), np.float32)
             for i, j, k in _TRIPLES:
                 # windows are filled from the left, so a missing last letter is a missing triple
-                own = rows if k < 3 else np.flatnonzero(code[:, k])
-                at = code[own, i] * (_LETTERS * _LETTERS) + code[own, j] * _LETTERS + code[own, k]
-                part = model.weight[at] * np.float32(DECAY ** (k - i - 2))
-                if len(own) == len(code):
-                    value += part
+                at = (columns[i] << 12) + (columns[j] << 6) + columns[k]
+                if k < 3:
+                    value += model.weight[at] * np.float32(DECAY ** (k - i - 2))
                 else:
-                    value[own] += part
-            value = value / _norms(code)[:, None] + model.bias
+                    value += np.where(columns[k][:, None] > 0, model.weight[at], np.float32(0)) * np.float32(DECAY ** (k - i - 2))
+            value = (value / _norms(np.stack(columns, 1))[:, None] + model.bias)[place]
             # a word's windows stand together
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             out[owner[first] + start] = np.maximum.reduceat(value, first, axis=0)
