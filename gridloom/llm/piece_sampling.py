@@ -36,11 +36,11 @@ from gridloom.llm.words import mix
 #: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
 _PART = re.compile(rf" *[^\W\d_]+| *(?:[^\w \n{BLANK}]|[\d_])+| +|[\n{BLANK}]")
 #: What a worker's table of lattices holds at most before it is emptied: edges (some 20 bytes each) and parts (some 150 bytes each).
-_TABLE_EDGES, _TABLE_PARTS = 2_200_000, 110_000
+_TABLE_EDGES, _TABLE_PARTS = 1_500_000, 80_000
 #: Longer parts get their lattice position by position, in stretches of _STRETCH positions, and aren't kept.
 _LONG, _STRETCH = 64, 1 << 14
 #: Characters of the texts that are walked together.
-_TOGETHER = 1 << 19
+_TOGETHER = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
