@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import checkpointed
 
 BUCKETS = 4096
+#: The square of the constant feature. It is small, so that what labelled URLs of both kinds have in common isn't balanced by a large constant that other hosts would meet alone.
+CONSTANT = 0.02
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The small labelled table.
@@ -187,7 +189,7 @@ def fit(labelled: DataFrame, most: int = 256, steps: int = 300, rate: float = 2.
     # written down, lest the matrix be computed anew in every step
     common = checkpointed(whole.select(
         "r",
-        F.transform("r", lambda a: F.transform(F.col("r"), lambda c: F.size(F.array_intersect(a["b"], c["b"])) / (scaled(a) * scaled(c)) + 1.0)).alias("k"),
+        F.transform("r", lambda a: F.transform(F.col("r"), lambda c: F.size(F.array_intersect(a["b"], c["b"])) / (scaled(a) * scaled(c)) + CONSTANT)).alias("k"),
     ))
     step = f"""
         aggregate(sequence(1, {steps}), transform(r, x -> 0D), (a, t) -> transform(k, (row, i) ->
@@ -195,7 +197,7 @@ def fit(labelled: DataFrame, most: int = 256, steps: int = 300, rate: float = 2.
     """
     duals = common.select("r", F.expr(step).alias("a")).select(F.explode(F.arrays_zip("r", "a")).alias("z")).select("z.r.b", "z.a")
     by_bucket = duals.select(F.explode(F.concat("b", F.array(F.lit(-1)))).alias("bucket"), F.when(F.size("b") > 0, F.col("a") / F.sqrt(F.size("b").cast("double"))).otherwise(0.0).alias("v"), "a")
-    found = {r["bucket"]: (r["w"], r["bias"]) for r in by_bucket.groupBy("bucket").agg(F.sum("v").alias("w"), F.sum("a").alias("bias")).collect()}
+    found = {r["bucket"]: (r["w"], r["bias"]) for r in by_bucket.groupBy("bucket").agg(F.sum("v").alias("w"), (F.sum("a") * CONSTANT).alias("bias")).collect()}
     return UrlModel(tuple(found.get(k, (0.0,))[0] for k in range(BUCKETS)), found.get(-1, (0.0, 0.0))[1])
 
 
@@ -211,7 +213,7 @@ def probability(model: UrlModel, host: Column, path: Column) -> Column:
 def judge(pages: DataFrame, rules: list[UrlRule], model: UrlModel, keep: list[str], url: str = "url", threshold: float = 0.5) -> DataFrame:
     """Appends host, path, rule, score and verdict. One row in, one row out, without a shuffle."""
     fits = lambda r: ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
-    rule, verdict = F.lit(None).cast("string"), F.when(F.col("score") >= threshold, "block").otherwise("allow")
+    rule, verdict = F.lit(None).cast("string"), F.when(F.col("score") > threshold, "block").otherwise("allow")
     for r in sorted(rules, key=lambda r: (len(r.text), [-ord(c) for c in r.text])):
         rule, verdict = F.when(fits(r), r.text).otherwise(rule), F.when(fits(r), r.verdict).otherwise(verdict)
     kept = [k for k in keep if k not in ("host", "path", "rule", "score", "verdict")]
