@@ -42,13 +42,15 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def sampled_by_class(rows: DataFrame, key: str, label: str, per_class: int, seed: int = 7) -> tuple[DataFrame, dict]:
+def sampled_by_class(rows: DataFrame, key: str, label: str, per_class: int, seed: int = 7, most: int = 256) -> tuple[DataFrame, dict]:
     """Rows whose hash falls below per_class / (rows of the class), and the rows of each class.
 
-    About per_class rows of every class remain whatever the table's size; null labels and null keys go.
+    About per_class rows of every class remain whatever the table's size; null labels and null keys go. Only the `most` largest classes are
+    learned, so that a dirty label column can't make the model or the driver's table grow with the rows.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col(key).isNotNull())
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    largest = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most)
+    counts = {r[label]: r["n"] for r in largest.collect()}
     rate = F.lit(0.0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(rate)

@@ -2,7 +2,7 @@
 
 `statistics` measures every text. `learn` covers the bad labelled texts by rules one after the other: a rule grows by the threshold
 condition with the most information gain, is pruned on held-back rows from its end, and joins the list while it is right
-more often than not on these; texts it covers leave before the next one is sought. `kept_by` turns the list into one CASE expression that drops what
+more often than not on these; texts it covers leave before the next one is sought. `dropped_by` turns the list into one CASE expression that drops what
 the first matching rule drops and keeps the rest. The thresholds are readable and the expression runs inside code generation.
 
 Null texts have zeros everywhere. Ratios over zero words are 0. Without labels of both classes the list is empty: all is kept.
