@@ -34,13 +34,15 @@ from gridloom.llm.pieces import BLANK, code_points, default_vocabulary, vocabula
 from gridloom.llm.words import mix
 
 #: A blank mark that the text itself holds is a part of its own, spelled in bytes, lest it be read as a blank.
-_PART = re.compile(rf" *[^\W\d_]+| *(?:[^\w \n{BLANK}]|[\d_])+| +|[\n{BLANK}]")
-#: What a worker's table of lattices holds at most before it is emptied: edges (some 20 bytes each) and parts (some 150 bytes each).
-_TABLE_EDGES, _TABLE_PARTS = 1_500_000, 80_000
+_PART = re.compile(rf" *[a-zA-Zß-öø-ÿ]+(?![^\W\d_])| *[^\W\d_]+| *(?:[^\w \n{BLANK}]|[\d_])+| +|[\n{BLANK}]")
+#: The same for ASCII texts, by plain character sets.
+_ASCII_PART = re.compile(r" *[a-zA-Z]+| *[^a-zA-Z \n]+| +|\n")
+#: What a worker's table of lattices holds before parts that weren't met again leave it: edges (25 bytes each) and parts (some 150 bytes each).
+_TABLE_EDGES, _TABLE_PARTS = 2_500_000, 120_000
 #: Longer parts get their lattice position by position, in stretches of _STRETCH positions, and aren't kept.
 _LONG, _STRETCH = 64, 1 << 14
 #: Characters of the texts that are walked together.
-_TOGETHER = 1 << 18
+_TOGETHER = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +60,7 @@ def _joints(voc) -> frozenset[str]:
 
 def parts_of(text: str, joints: frozenset[str] = frozenset()) -> list[str]:
     """The text's parts; joined they are a blank and the text."""
-    parts = _PART.findall(" " + text)
+    parts = (_ASCII_PART if text.isascii() else _PART).findall(" " + text)
     if any(j in text for j in joints):
         out = parts[:1]
         for p in parts[1:]:
@@ -91,6 +93,36 @@ class Lattices:
         """Forgets all parts; the arrays stay for the next ones."""
         self.known: dict[str, int] = {}
         self.states = self.edges = 0
+        self.met = np.empty(0, np.int64)
+
+    def count(self, unit: np.ndarray) -> None:
+        """Counts how often parts were met."""
+        times = np.bincount(unit, minlength=len(self.known))
+        times[: len(self.met)] += self.met
+        self.met = times
+
+    def shed(self) -> None:
+        """Lets parts go that were met once, and more of them while these fill over half of the table; long ones always go."""
+        names, n = list(self.known), len(self.known)
+        start = self.base[:n]
+        stop = np.append(start[1:], self.states)
+        edges = self.first[stop] - self.first[start]
+        keep = (self.met > 1) & (stop - start <= _LONG)
+        order = np.argsort(-self.met[keep], kind="stable")
+        fits = (np.cumsum(edges[keep][order]) <= _TABLE_EDGES // 2) & (np.arange(len(order)) < _TABLE_PARTS // 2)
+        stays = np.sort(np.flatnonzero(keep)[order[fits]])
+        sizes, held = (stop - start)[stays], edges[stays]
+        places = lambda at, size: np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        of_states, of_edges = places(start[stays], sizes), places(self.first[start[stays]], held)
+        widths = self.first[of_states + 1] - self.first[of_states]
+        self.known = {names[k]: i for i, k in enumerate(stays.tolist())}
+        self.met = np.minimum(self.met[stays] >> 1, 1 << 20)  # what was met long ago counts less
+        self.states, self.edges = len(of_states), len(of_edges)
+        self.base[: len(stays)] = np.cumsum(sizes) - sizes
+        self.first[1 : self.states + 1] = np.cumsum(widths)
+        for name in ("cum", "piece", "next", "logq"):
+            own = getattr(self, name)
+            own[: self.edges] = own[of_edges]
 
     def _append(self, name: str, start: int, values: np.ndarray) -> None:
         """Writes values from a place on; the array grows by a quarter when it is full."""
@@ -362,7 +394,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
     distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if table.full:
-        table.clear()
+        table.shed()
     places = list(map(table.known.get, distinct))
     if None in places:
         table.add([p for p, place in zip(distinct, places, strict=True) if place is None])
@@ -372,6 +404,7 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     np.cumsum([len(c) for c in cut], out=bounds[1:])
     n = int(bounds[-1])
     unit = np.array(places, np.int64)[coded.indices.to_numpy()]
+    table.count(unit)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     key = mix(seeds[owner] * _ODD + (np.arange(n) - bounds[:-1][owner]).astype(np.uint64))
     base = table.base[unit]
@@ -383,10 +416,11 @@ def sample(texts: Sequence[str | None], seeds: np.ndarray, k: int, table: Lattic
     begin = np.zeros(len(texts), np.int64)
     out: list[list[tuple[np.ndarray, float, float]]] = [[] for _ in texts]
     for s in range(k):
-        pieces, falls = table.piece[path], np.concatenate([[0.0], np.cumsum(table.logq[path])])
+        pieces, steps = table.piece[path], table.logq[path]
         for i in live.tolist():
             a, b = at[i], at[i + 1]
-            own = falls[a : b + 1] - falls[a]
+            own = np.zeros(b - a + 1)  # summed for each text alone, so that no rounding depends on its neighbours
+            np.cumsum(steps[a:b], out=own[1:])
             out[i].append((pieces[a:b], float(own[-1]), float(top[i])))
             search[i].rest(float(top[i]), path[a:b], own, int(begin[i]), ())
         if s == k - 1:
@@ -471,7 +505,10 @@ def decoded(ids: np.ndarray, lengths: np.ndarray, path: str | None = None) -> pa
     data, at = _bytes_of(vocabulary(path or default_vocabulary()))
     sizes = at[ids + 1] - at[ids]
     ends = np.concatenate([[0], np.cumsum(sizes)])
-    out = data[np.repeat(at[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+    place = np.repeat(at[ids] - ends[:-1], sizes)
+    place += np.arange(ends[-1])
+    out = data[place]
+    del place
     bounds = ends[np.concatenate([[0], np.cumsum(lengths)])]
     start = bounds[:-1][bounds[:-1] < bounds[1:]]
     keep = np.ones(len(out), bool)
