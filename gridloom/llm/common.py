@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.plans.shared import checkpointed, shared_folder, written
+from gridloom.plans.shared import checkpointed, scratch, shared_folder, written
 
-__all__ = ["checkpointed", "claim", "crc_mod", "labelled_texts", "logistic_1d", "map_texts", "sampled_by_class", "shared_folder", "sigmoid", "table", "tune", "unit_hash", "written"]
+__all__ = ["checkpointed", "claim", "crc_mod", "labelled_texts", "logistic_1d", "map_texts", "sampled_by_class", "scratch", "shared_folder", "sigmoid", "table", "tune", "unit_hash", "written"]
 
 #: Words are runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch holds, so that very long texts don't add up in a Python worker."""
+    """Bounds what one Arrow batch holds, so that very long texts don't add up in a Python worker. Plans run when their rows are asked for, so the session keeps these two settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

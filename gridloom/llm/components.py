@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label of that label, so paths halve; partial
     minima are taken before the shuffle, so a node with many neighbours is no hot spot. No edges: no rows.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # the edges are computed once
+    both = written(edges.select(ways.alias("e")).select("e.a", "e.b").distinct())
     labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     for _ in range(most_rounds):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))

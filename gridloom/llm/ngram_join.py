@@ -267,21 +267,22 @@ def candidate_ties(sets: DataFrame) -> DataFrame:
     rows = sets.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1))).alias("run"), "paths").select("rep", "sketch", F.expr(f"substring(paths, run * {size} + 1, {size})").alias("path"))
     for d in range(DEPTH):
         keyed = rows.select(F.expr(f"substring(path, {8 * d + 1}, 8)").alias("key"), "rep", "sketch", "path")
-        counts = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET))
+        # a few rows, if any; kept in storage, from which a lost part is computed again
+        counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).persist()
         large = counts.count()
         few = large <= BROADCAST_ROWS
         small = _with_counts(keyed, counts.select("key"), few, "left_anti") if large else keyed
-        found.append(written(small.select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_small, "a long, b long")))
+        found.append(small.select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_small, "a long, b long"))
         if not large:
             break
         if d == DEPTH - 1:
-            found.append(written(_large_ties(keyed.select("key", "rep", "sketch"), counts, few)))
+            found.append(_large_ties(keyed.select("key", "rep", "sketch"), counts, few))
         else:
             rows = written(_with_counts(keyed, counts.select("key"), few, "left_semi").select("rep", "sketch", "path"))
     ties = found[0]
     for more in found[1:]:
         ties = ties.union(more)
-    return ties.distinct()
+    return ties
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
