@@ -560,6 +560,30 @@ def test_no_cut_inside_a_piece():
             assert np.allclose(getattr(short, name)[: short.edges], getattr(whole, name)[: short.edges], atol=1e-6)
 
 
+def test_ascii_texts_are_cut_alike():
+    r = np.random.default_rng(8)
+    for _ in range(300):
+        text = "".join(r.choice(list("abZ09_ \n\t.,-#'"), int(r.integers(1, 40))))
+        assert piece_sampling.parts_of(text) == piece_sampling._PART.findall(" " + text)
+        other = "".join(r.choice(list("abé×Öß_9 \n.²▁日"), int(r.integers(1, 30))))
+        plain = re.findall(r" *[^\W\d_]+| *(?:[^\w \n▁]|[\d_])+| +|[\n▁]", " " + other)
+        assert piece_sampling.parts_of(other) == (plain if not other.isascii() else piece_sampling.parts_of(other))
+
+
+def test_shed_tables_keep_their_numbers(monkeypatch):
+    """Parts that stay in the table keep their lattices, and samples don't depend on what the table holds."""
+    words = ["".join(w) for w in product("abcdefgh", "aeiou", "nrst", "aei")]
+    texts = [" ".join(words[k % 40 : k % 40 + 30] + words[k * 7 : k * 7 + 20]) for k in range(60)]
+    seeds = np.arange(60).astype(np.uint64)
+    whole = piece_sampling.sample(texts, seeds, 2, piece_sampling.Lattices(default_vocabulary(), 1.0))
+    monkeypatch.setattr(piece_sampling, "_TABLE_PARTS", 90)
+    small, got = piece_sampling.Lattices(default_vocabulary(), 1.0), []
+    for k in range(0, 60, 5):
+        got += piece_sampling.sample(texts[k : k + 5], seeds[k : k + 5], 2, small)
+    assert 0 < len(small.known) < 300
+    assert [[(ids.tolist(), lp, v) for ids, lp, v in own] for own in got] == [[(ids.tolist(), lp, v) for ids, lp, v in own] for own in whole]
+
+
 def test_all_segmentations_of_small_mass_come():
     """Segmentations are found however little mass is left, and no others."""
     table = piece_sampling.Lattices(default_vocabulary(), 12.0)  # so steep that all but one weigh nearly nothing
