@@ -6,13 +6,11 @@ extra columns of the input are dropped, null texts are defined stage by stage in
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, mixing, ngram_join, piece_sampling, secret_scan
-from gridloom.llm.common import crc_mod, shared_folder, tune, written
+from gridloom.llm.common import crc_mod, scratch, tune, written
 from gridloom.llm.rows import ROW, with_copies, with_row
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -80,7 +78,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
