@@ -26,6 +26,11 @@ CHUNKS_PER_TASK = 64
 MOST_TASKS = 10_000
 
 
+def local(path: str) -> str:
+    """The path as this machine's file system knows it."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
 def read_meta(path: str) -> ArrayMeta:
     def text(name: str) -> str | None:
         at = os.path.join(path, name)
@@ -124,13 +129,15 @@ class GridloomSource(DataSource):
         return "gridloom"
 
     def schema(self) -> str:
-        meta = read_meta(self.options["path"])
+        meta = read_meta(local(self.options["path"]))
         return ", ".join([*(f"{c} bigint" for c in index_names(meta.dims, "c")), f"data array<{meta.dtype.spark}>"])
 
     def reader(self, schema) -> Reader:
-        return Reader(self.options["path"], read_meta(self.options["path"]).to_json(), self.options.get("box"))
+        path = local(self.options["path"])
+        return Reader(path, read_meta(path).to_json(), self.options.get("box"))
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        os.makedirs(self.options["path"], exist_ok=True)
-        return Writer(self.options["path"], json.loads(self.options["metadata"]))
+        path = local(self.options["path"])
+        os.makedirs(path, exist_ok=True)
+        return Writer(path, json.loads(self.options["metadata"]))
 

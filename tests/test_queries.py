@@ -2,6 +2,7 @@
 
 import pytest
 
+import gridloom.parts  # noqa: F401, registers its queries
 from gridloom.queries import ORACLES, QUERIES
 from tests.conftest import DATA, same_rows
 
