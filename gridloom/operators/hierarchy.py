@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.keys import V2_ARRAY_KEY, V2_GROUP_KEY, V3_KEY
 from gridloom.plans.meta import ArrayMeta, GroupMeta
 
+#: Keys of nodes' documents.
+DOCUMENTS = "(^|/)(zarr\\.json|\\.zarray|\\.zgroup)$"
 NODES = "path string, parent string, name string, node_type string, depth int, meta string"
 
 

@@ -143,7 +143,7 @@ def node_keys(spark, sf_dir):
         def key(self, chunk):
             return "~".join(f"k{c}" for c in chunk)
 
-    KEY_ENCODINGS.register("own", lambda config: Own("", "~", "0"))
+    KEY_ENCODINGS.register("own", lambda config: Own("", ".", "0"))
     try:
         own = KEY_ENCODINGS.get("own")({}).key((1, 2))
     finally:

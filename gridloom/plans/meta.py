@@ -174,7 +174,7 @@ class ArrayMeta:
         ).bound()
 
 
-def _restored(entries: list[dict], own: dict) -> ArrayMeta:
+def _restored(entries: list, own: dict) -> ArrayMeta:
     """Metadata as it reaches an executor: with what the driver has registered at run time."""
     register_all(entries)
     return ArrayMeta(**own)

@@ -60,12 +60,16 @@ class Registry:
 CODECS, DATA_TYPES, GRIDS, KEY_ENCODINGS, TRANSFORMERS = (Registry(k) for k in ("codec", "data type", "chunk grid", "chunk key encoding", "storage transformer"))
 
 
-def registered() -> list[dict[str, Any]]:
-    """What was registered at run time, by registry: executors get it with an array's metadata."""
-    return [dict(r.runtime) for r in (CODECS, DATA_TYPES, GRIDS, KEY_ENCODINGS, TRANSFORMERS)]
+_ALL = (CODECS, DATA_TYPES, GRIDS, KEY_ENCODINGS, TRANSFORMERS)
 
 
-def register_all(entries: list[dict[str, Any]]) -> None:
-    for registry, own in zip((CODECS, DATA_TYPES, GRIDS, KEY_ENCODINGS, TRANSFORMERS), entries, strict=True):
+def registered() -> list[tuple[dict[str, Any], list]]:
+    """What was registered at run time, by registry, and the patterns of names: executors get both with an array's metadata."""
+    return [(dict(r.runtime), list(r.patterns)) for r in _ALL]
+
+
+def register_all(entries: list[tuple[dict[str, Any], list]]) -> None:
+    for registry, (own, patterns) in zip(_ALL, entries, strict=True):
         for name, made in own.items():
             registry.runtime.setdefault(name, made)
+        registry.patterns += [p for p in patterns if p not in registry.patterns]

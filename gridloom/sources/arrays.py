@@ -72,7 +72,7 @@ def open_hierarchy(store: SparkStore, path: str = "/", use_consolidated: str = O
         raise MetadataError(f"no consolidated metadata at {path}")
     if inline and use_consolidated != "never":
         return H.consolidated_nodes(store.spark, root, path)
-    return H.traverse(H.nodes_of(store.blobs()), path)
+    return H.traverse(H.nodes_of(store.blobs("", H.DOCUMENTS)), path)
 
 
 def consolidate_group(store: SparkStore, path: str = "/") -> GroupMeta:
@@ -90,9 +90,8 @@ def blob_chunks(store: SparkStore, path: str, meta: ArrayMeta) -> DataFrame:
     prefix = "" if path == "/" else path[1:]
     c = index_names(meta.dims, "c")
     key = F.col("key") if not prefix else F.expr(f"substring(key, {len(prefix) + 2})")
-    blobs = store.blobs(prefix).withColumn("_key", key)
     pattern = chunk_pattern(meta)
-    found = blobs.where(F.col("_key").rlike(pattern))
+    found = store.blobs(prefix, pattern.replace("^", f"^{re.escape(prefix)}/", 1) if prefix else pattern).withColumn("_key", key)
     return found.select(*(F.regexp_extract("_key", pattern, k + 1).cast("long").alias(n) for k, n in enumerate(c)), "key", "value")
 
 

@@ -1,15 +1,18 @@
 """Stores: flat key to bytes maps. On the driver for metadata, and as DataFrames for chunks.
 
-A store's root is any path that Spark reads; listings and blobs come through Spark's `binaryFile` source, so the executors need no
-file system of their own. Executors write values by Arrow's file systems, to a temporary name that is then moved; the driver writes metadata.
+A store's root is any path that Spark reads. Executors list, read and write by Arrow's file systems (local, hdfs, s3, gs), where they can; values are written under a hidden name that is then moved.
+On other file systems listings and blobs come through Spark's `binaryFile` source, which passes over names that begin with a dot or an underscore. The driver reads and writes metadata.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,20 +193,58 @@ class SparkStore(Store):
 
     # as DataFrames
     def listing(self, prefix: str = "") -> DataFrame:
-        """key, length, modificationTime of all keys below a prefix; contents aren't read."""
+        """key, length, modificationTime of all keys below a prefix; contents aren't read. The driver lists two levels, executors what lies below."""
         below = f"{self.root}/{check_prefix(prefix)}".rstrip("/")
+        schema = "key string, length long, modificationTime timestamp"
         if not self._fs.exists(self._path(below)):
-            return self.spark.createDataFrame([], "key string, length long, modificationTime timestamp")
-        root = self._fs.makeQualified(self._path(self.root)).toUri().getPath()
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(below)
-        key = F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})")
-        return files.select(key.alias("key"), "length", "modificationTime")
-
-    def blobs(self, prefix: str = "") -> DataFrame:
-        """key, value of all keys below a prefix."""
-        root = self._fs.makeQualified(self._path(self.root)).toUri().getPath()
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{prefix}".rstrip("/"))
-        return files.select(F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})").alias("key"), F.col("content").alias("value"))
+            return self.spark.createDataFrame([], schema)
+        try:
+            files, root = _opened(self.uri)
+        except Exception:  # Arrow knows no such file system, or lacks its library
+            at = self._fs.makeQualified(self._path(self.root)).toUri().getPath()
+            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(below)
+            return found.select(F.expr(f"substring(path, locate('{at}/', path) + {len(at) + 1})").alias("key"), "length", "modificationTime")
+        here, folders = [], [f"{root}/{prefix}".rstrip("/")]
+        for _ in range(2):
+            infos = [i for f in folders for i in files.get_file_info(pyarrow.fs.FileSelector(f))]
+            here += [r for i in infos if (r := _listed(i, root))]
+            folders = [i.path for i in infos if i.type == pyarrow.fs.FileType.Directory]
+        rows = self.spark.createDataFrame(here, schema)
+        if not folders:
+            return rows
+        uri, spread = self.uri, self.spark.createDataFrame([(f,) for f in folders], "folder string").repartition(min(len(folders), 1000))
+
+        def run(batches):
+            files, root = _opened(uri)
+            for b in batches:
+                for folder in b.column(0).to_pylist():
+                    found = [r for i in files.get_file_info(pyarrow.fs.FileSelector(folder, recursive=True)) if (r := _listed(i, root))]
+                    for k in range(0, len(found), 10_000):
+                        part = list(zip(*found[k : k + 10_000], strict=True))
+                        yield pyarrow.RecordBatch.from_arrays([pyarrow.array(part[0]), pyarrow.array(part[1], pyarrow.int64()), pyarrow.array(part[2], pyarrow.timestamp("us", "UTC"))], names=["key", "length", "modificationTime"])
+
+        return rows.unionByName(spread.mapInArrow(run, schema))
+
+    def blobs(self, prefix: str = "", names: str | None = None) -> DataFrame:
+        """key, value of the keys below a prefix; with `names`, only of those that this regular expression finds: no other value is read."""
+        prefix = prefix + "/" if prefix and not prefix.endswith("/") else prefix
+        try:
+            _opened(self.uri)
+        except Exception:
+            root = self._fs.makeQualified(self._path(self.root)).toUri().getPath()
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/{prefix}".rstrip("/"))
+            found = files.select(F.expr(f"substring(path, locate('{root}/', path) + {len(root) + 1})").alias("key"), F.col("content").alias("value"))
+            return found if names is None else found.where(F.col("key").rlike(names))
+        keys, uri = self.listing(prefix).select("key"), self.uri
+
+        def run(batches):
+            files, root = _opened(uri)
+            for b in batches:
+                for key in b.column(0).to_pylist():
+                    with files.open_input_file(f"{root}/{key}") as f:
+                        yield pyarrow.RecordBatch.from_arrays([pyarrow.array([key]), pyarrow.array([f.read()], pyarrow.binary())], names=["key", "value"])
+
+        return (keys if names is None else keys.where(F.col("key").rlike(names))).mapInArrow(run, "key string, value binary")
 
     @property
     def uri(self) -> str:
@@ -231,6 +272,16 @@ class SparkStore(Store):
         return n
 
 
+_HIDDEN = re.compile(r"_[0-9a-f]{32}\.part|\..*\.crc")
+
+
+def _listed(info, root: str) -> tuple | None:
+    """A file's key, length and time; None for folders, values that are being written, and checksums that Hadoop keeps beside local files."""
+    if info.type != pyarrow.fs.FileType.File or _HIDDEN.fullmatch(info.base_name):
+        return None
+    return info.path[len(root) + 1 :], info.size, info.mtime
+
+
 def _opened(uri: str):
     from pyarrow import fs
 

@@ -12,7 +12,7 @@ from gridloom.plans.meta import ArrayBuilder, Options, array_to_v3
 from gridloom.queries import embeddings
 from gridloom.functions.codecs import Codec
 from gridloom.registry import CODECS, TRANSFORMERS, UnsupportedExtension
-from gridloom.sources.arrays import cached_array, compact_array, encoded_chunks, erase_node, erase_stored, open_array, read_node, save_array, update_cells, write_node
+from gridloom.sources.arrays import cached_array, compact_array, encoded_chunks, erase_node, erase_stored, open_array, open_hierarchy, read_node, save_array, update_cells, write_node
 from gridloom.sources.datasource import GridloomSource
 from gridloom.sources.store import RangeError, SparkStore, Transformer, transformed
 from gridloom.streaming.updates import merge_cells, stream_cells
@@ -149,6 +149,18 @@ def test_store_values(spark, tmp_path):
         store.get_partial("a/b", [{"offset": 5, "length": 2}])
 
 
+def test_hierarchies_of_older_documents_read_no_chunk(spark, tmp_path):
+    store = SparkStore(spark, str(tmp_path))
+    for path in ("", "g/"):
+        store.set(path + ".zgroup", b'{"zarr_format": 2}')
+    store.set("g/a/.zarray", json.dumps({"zarr_format": 2, "shape": [6], "chunks": [3], "dtype": "<i4", "fill_value": 0, "order": "C", "filters": None, "compressor": None}).encode())
+    store.set("g/a/0", b"x" * 12)
+    (tmp_path / "g/a/0").chmod(0)
+    assert [(r["path"], r["node_type"]) for r in open_hierarchy(store, "/").collect()] == [("/", "group"), ("/g", "group"), ("/g/a", "array")]
+    assert store.list_prefix("g/") == ["g/.zgroup", "g/a/.zarray", "g/a/0"] and store.size_prefix("g/a/") > 12
+    assert {r["key"]: r["length"] for r in store.listing().collect()}["g/a/0"] == 12
+
+
 def test_storage_transformers(spark, tmp_path):
     class Turned(Transformer):
         def key(self, key):
