@@ -38,7 +38,7 @@ _PART = re.compile(rf" *[a-zA-Zß-öø-ÿ]+(?![^\W\d_])| *[^\W\d_]+| *(?:[^\w \n
 #: The same for ASCII texts, by plain character sets.
 _ASCII_PART = re.compile(r" *[a-zA-Z]+| *[^a-zA-Z \n]+| +|\n")
 #: What a worker's table of lattices holds before parts that weren't met again leave it: edges (25 bytes each) and parts (some 150 bytes each).
-_TABLE_EDGES, _TABLE_PARTS = 2_500_000, 120_000
+_TABLE_EDGES, _TABLE_PARTS = 1_200_000, 60_000
 #: Longer parts get their lattice position by position, in stretches of _STRETCH positions, and aren't kept.
 _LONG, _STRETCH = 64, 1 << 14
 #: Characters of the texts that are walked together.
