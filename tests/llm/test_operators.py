@@ -466,10 +466,17 @@ def test_compressed_sizes_recomputed(docs, labels):
         for content in (model.good, model.bad):
             c = zstandard.ZstdCompressor(level=compress_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
             sizes.append(sum(len(c.compress(data[k : k + compress_quality.BLOCK])) for k in range(0, len(data), compress_quality.BLOCK)))
-        d = (sizes[1] - sizes[0]) / sum(sizes)
         # a prepared dictionary may choose other matches than one loaded for each block: sizes agree within a hundredth
-        assert r["difference"] == pytest.approx(d, abs=0.01)
-        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.slope * r["difference"] + model.intercept))))
+        assert r["difference"] == pytest.approx((sizes[1] - sizes[0]) / len(data), abs=0.01)
+        curve, told = model.slope * math.tanh((r["difference"] - model.border) / model.spread) + model.intercept, len(data) / (len(data) + 64)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(told * curve + (1 - told) * model.prior))))
+
+
+def test_border_of_two_classes():
+    x, y = np.array([-3.0, -1, 0, 0.5, 2, 3, 4, 5]), np.array([0, 0, 0, 1, 0, 1, 1, 1])
+    errors = lambda c: np.mean(x[y == 1] < c) + np.mean(x[y == 0] >= c)
+    assert errors(compress_quality._border(x, y)) == min(errors(c) for c in np.linspace(-4, 6, 101))
+    assert compress_quality._border(np.array([1.0, 2.0]), np.array([0, 1])) == 1.5
 
 
 # 6
