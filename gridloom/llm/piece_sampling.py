@@ -159,9 +159,11 @@ class Lattices:
                 self.edges += len(state)
 
     @staticmethod
-    def _marked(part: str) -> str:
-        """Blanks as the vocabulary writes them."""
-        return part.replace(" ", BLANK) if part[0] == " " else part
+    def _codes(parts: Sequence[str], n: int) -> np.ndarray:
+        """Code points, with blanks as the vocabulary writes them."""
+        codes = code_points(parts, n)
+        codes[codes == 32] = ord(BLANK)
+        return codes
 
     def _weigh(self, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Weights of the pieces; where no piece covers a single character, its code stands for one, and weighs little."""
@@ -190,15 +192,15 @@ class Lattices:
 
     def _block(self, block: list[str], n: int, width: int):
         m = len(block)
-        lattice = [self._marked(p) for p in block]
+        codes = self._codes(block, n)
         # places for pieces from each position, longest first: the likeliest edge mostly is the first that a walk looks at
         ids = np.full((m, n, width), -1, np.int32)
-        for first, end, found in self.voc.edges(lattice, n):
+        for first, end, found in self.voc.edges(codes, n):
             starts = np.arange(first, end)
             ids[:, starts, width - (end - starts)] = found
         if n == 1:
             ids[[k for k, p in enumerate(block) if p == BLANK]] = -1
-        weight = self._weigh(ids, code_points(lattice, n))
+        weight = self._weigh(ids, codes)
         beta = np.zeros((m, n + width))
         beta[:, n] = 1.0
         for start in range(n - 1, -1, -1):
@@ -211,7 +213,7 @@ class Lattices:
     def _long(self, part: str, width: int):
         """As _block, for one long part; stretches from its end on."""
         n = len(part)
-        codes = code_points([self._marked(part)], n)
+        codes = self._codes([part], n)
         sums = self.voc.prefixes(codes)[0]
         power = [np.uint64(x) for x in self.voc.powers(width)]
         made, tail = [], np.zeros(width)

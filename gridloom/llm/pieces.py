@@ -76,32 +76,36 @@ class Vocabulary:
         return ((h * np.uint64(0xA0761D6478BD642F)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
     def _table(self, ids: np.ndarray, hashes: np.ndarray) -> None:
-        """One slot for each hash; what meets a taken slot goes to a sorted rest, and the slot is marked."""
-        if len(np.unique(hashes)) != len(hashes):
+        """One slot for each hash, whose lowest bit tells whether others met the slot taken; these go to a sorted rest."""
+        if len(np.unique(hashes >> np.uint64(1))) != len(hashes):
             raise ValueError("two pieces of the vocabulary have one hash")
         self._key, self._id = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32)
-        self._marked = np.zeros(1 << _SLOTS, bool)
         slot = self._slot(hashes)
         _, first = np.unique(slot, return_index=True)
-        self._key[slot[first]], self._id[slot[first]] = hashes[first], ids[first]
+        self._key[slot[first]], self._id[slot[first]] = hashes[first] & ~np.uint64(1), ids[first]
         over = np.delete(np.arange(len(ids)), first)
-        self._marked[slot[over]] = True
+        self._key[slot[over]] |= np.uint64(1)
         order = np.argsort(hashes[over])
         self._rest_key, self._rest_id = np.append(hashes[over][order], np.uint64(0)), np.append(ids[over][order], np.int32(-1))
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Piece ids of hashes, -1 where there is none."""
-        slot = self._slot(h)
-        out = np.where(self._key[slot] == h, self._id[slot], np.int32(-1))
-        more = np.nonzero(self._marked[slot] & (out < 0))
-        if len(more[0]):
-            at = np.searchsorted(self._rest_key[:-1], h[more])
-            out[more] = np.where(self._rest_key[at] == h[more], self._rest_id[at], -1)
-        return out
-
-    def edges(self, words: Sequence[str], length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first start, end, ids) over words of one length, ends ascending; ids has a column for each start from the first one to end - 1, -1 where no piece covers start to end."""
-        h = self.prefixes(code_points(words, length))
+        slot = self._slot(h).ravel()
+        key = self._key[slot]
+        other = (key ^ h.ravel()) > np.uint64(1)
+        out = np.full(len(slot), -1, np.int32)
+        hit = np.flatnonzero(~other)
+        out[hit] = self._id[slot[hit]]
+        more = np.flatnonzero(other & (key & np.uint64(1)).astype(bool))
+        if len(more):
+            wanted = h.ravel()[more]
+            at = np.searchsorted(self._rest_key[:-1], wanted)
+            out[more] = np.where(self._rest_key[at] == wanted, self._rest_id[at], -1)
+        return out.reshape(h.shape)
+
+    def edges(self, words: Sequence[str] | np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first start, end, ids) over words of one length (or their code points), ends ascending; ids has a column for each start from the first one to end - 1, -1 where no piece covers start to end."""
+        h = self.prefixes(words if isinstance(words, np.ndarray) else code_points(words, length))
         power = np.array([pow(int(_BASE), n, 1 << 64) for n in range(self.longest, 0, -1)], np.uint64)
         for end in range(1, length + 1):
             first = max(0, end - self.longest)
