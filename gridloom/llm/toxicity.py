@@ -180,7 +180,10 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 100.0, rounds: int = 60
     order = np.random.default_rng(5)
     for _ in range(rounds):
         moved = 0.0
-        for i in order.permutation(len(y)):
+        # only windows on the wrong side of their condition are visited; one product finds them
+        slack = sign * (x @ w) - 1.0
+        wrong = np.flatnonzero((slack < -1e-4) & (alpha < limit) | (slack > 1e-4) & (alpha > 0))
+        for i in order.permutation(wrong):
             g = sign[i] * (x[i] @ w) - 1.0
             new = min(max(alpha[i] - g / diagonal[i], 0.0), limit[i])
             if new != alpha[i]:
