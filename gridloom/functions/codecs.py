@@ -177,7 +177,9 @@ class Bitround(Codec):
             raise CodecError(f"bitround of {d.name}")
         # integers: from each one's highest set bit
         bits = np.ascontiguousarray(a).view(f"u{a.dtype.itemsize}")
-        width = np.array([int(x).bit_length() for x in bits.ravel()]).reshape(bits.shape)
+        high = (bits.astype(np.uint64) >> np.uint64(32)).astype(np.float64)
+        low = (bits.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        width = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
         out = bits.copy()
         for w in np.unique(width):
             own = width == w
