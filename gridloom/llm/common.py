@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from gridloom.plans.shared import checkpointed, scratch, shared_folder, written
 
-__all__ = ["checkpointed", "claim", "crc_mod", "labelled_texts", "logistic_1d", "map_texts", "sampled_by_class", "scratch", "shared_folder", "sigmoid", "table", "tune", "unit_hash", "written"]
+__all__ = ["checkpointed", "claim", "crc_mod", "labelled_texts", "logistic_1d", "map_texts", "sampled_by_class", "scratch", "shared_folder", "sided", "sigmoid", "table", "tune", "unit_hash", "written"]
 
 #: Words are runs of anything but the six ASCII blanks.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,18 @@ def crc_mod(key: str, m: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % m
 
 
+#: Tables of a join's smaller side are broadcast up to so many rows (some 5 MB with a few numbers each).
+SIDE_ROWS = 50_000
+
+
+def sided(df: DataFrame, few: bool) -> DataFrame:
+    """The smaller side of a join: broadcast where its rows are few, else never.
+
+    Left alone, Spark guesses from the sizes of files or stages, which know neither compression nor what an explode makes of a row, and the driver builds tables many times as large.
+    """
+    return F.broadcast(df) if few else df.hint("merge")
+
+
 def unit_hash(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import words as W
-from gridloom.llm.common import claim, map_texts, written
+from gridloom.llm.common import SIDE_ROWS, claim, map_texts, sided, written
 from gridloom.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -56,7 +56,7 @@ BINS, NONE = 64, 255
 LIKE, LEADER, NEAR = 0.55, 0.85, 0.4
 #: Sets and tokens of a block of a large component.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 2_000_000
-#: Rows about candidates are broadcast up to this number (24 bytes each).
+#: Keys of large buckets and places of candidates are broadcast up to this number (one column of eight bytes each).
 BROADCAST_ROWS = 500_000
 SALTS = 32
 _SEEDS = W.mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -241,7 +241,7 @@ def _with_counts(rows: DataFrame, counts: DataFrame, few: bool, how: str) -> Dat
     if few:
         return rows.join(F.broadcast(counts), "key", how)
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(salted, ["key", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(salted.hint("merge"), ["key", "salt"], how).drop("salt")
 
 
 def _large_ties(rows: DataFrame, counts: DataFrame, few: bool) -> DataFrame:
@@ -377,12 +377,15 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_links(docs: DataFrame, sets: DataFrame, components: DataFrame) -> DataFrame:
     """(rep, links, root, parts) of each set in each unit of its candidate component."""
-    members = components.select(F.col("node").alias("rep"), F.col("label").alias("comp")).join(sets.select("rep", "place", "n", "set_a", "set_b", "copies"), "rep")
+    few = components.count() <= SIDE_ROWS
+    members = sets.select("rep", "place", "n", "set_a", "set_b", "copies").join(sided(components.select(F.col("node").alias("rep"), F.col("label").alias("comp")), few), "rep")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
     parts = F.greatest(F.ceil(F.col("size") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    members = written(members.join(sizes.select("comp", parts.alias("parts")), "comp").select("place", "rep", "set_a", "set_b", "comp", "copies", "parts"))
-    few = members.count() <= BROADCAST_ROWS
-    chosen = docs.select("text", _place().alias("place")).join(F.broadcast(members) if few else members, "place")
+    members = written(members.join(sided(sizes.select("comp", parts.alias("parts")), few), "comp").select("place", "rep", "set_a", "set_b", "comp", "copies", "parts"))
+    chosen = docs.select("text", _place().alias("place"))
+    if not few and members.count() <= BROADCAST_ROWS:  # the places alone go to all executors, then only the candidates' texts move
+        chosen = chosen.join(F.broadcast(members.select("place")), "place", "left_semi")
+    chosen = chosen.join(sided(members, few), "place")
     held = chosen.select("text", "rep", "set_a", "set_b", "comp", "copies", "parts").mapInArrow(_tokens, "rep long, comp long, copies long, parts int, tokens binary")
     block = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     units = (
@@ -412,17 +415,19 @@ def join(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     if not cut.isEmpty():
         counts = cut.groupBy("rep").agg(F.sum("links").alias("links"))
         roots = connected_components(cut.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-        joined = counts.join(roots, counts.rep == roots.node, "left").select("rep", "links", F.coalesce("label", "rep").alias("class_key"))
+        joined = counts.join(roots.hint("merge"), counts.rep == roots.node, "left").select("rep", "links", F.coalesce("label", "rep").alias("class_key"))
         whole = whole.union(joined)
+    few = found.count() <= SIDE_ROWS
     linked = written(
         sets.select(*key, "rep", "first_id", "copies")
-        .join(whole, "rep", "left")
+        .join(sided(whole, few), "rep", "left")
         .select(*key, "first_id", F.coalesce("class_key", "rep").alias("class_key"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         .where("n_links > 0")
     )
-    classes = linked.drop("first_id").join(linked.groupBy("class_key").agg(F.min("first_id").alias("class_id")), "class_key")
+    firsts = linked.groupBy("class_key").agg(F.min("first_id").alias("class_id"))
+    classes = linked.drop("first_id").join(sided(firsts, linked.count() <= SIDE_ROWS), "class_key")
     classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     salted = marked.select("doc_id", *keep, *key).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    out = salted.join(classes, [*key, "salt"], "left")
+    out = salted.join(classes.hint("merge"), [*key, "salt"], "left")  # SALTS rows a class: never a broadcast
     class_id = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return out.select("doc_id", *keep, class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class_key")

@@ -190,6 +190,30 @@ def test_ngram_join_with_large_buckets_and_blocks(spark, monkeypatch, rows_broad
     assert got == brute_links(rows)
 
 
+def test_ngram_join_never_broadcasts_salted_classes(spark):
+    """Every class stands there SALTS times; sizes that don't know of it must not bring them to the driver."""
+    rows = list(enumerate(near_copies(30)))
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    out.write.format("noop").mode("overwrite").save()
+    found = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == brute_links(rows)
+    assert re.search(r"SortMergeJoin(\(skew=true\))? \[n#\d+, set_a", plan) and not re.search(r"BroadcastHashJoin \[n#\d+, set_a", plan)
+
+
+@pytest.mark.parametrize("rows_broadcast", [0, 1000])
+def test_ngram_join_of_many_candidates(spark, monkeypatch, rows_broadcast):
+    """More candidates than may be broadcast with their figures; their places may, or may not."""
+    from gridloom.llm import components
+
+    for module in (ngram_join, components):
+        monkeypatch.setattr(module, "SIDE_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", rows_broadcast)
+    rows = list(enumerate(near_copies(40) + near_copies(30, 12, 2, 2) + near_copies(40)[:3]))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows)
+
+
 def test_groups_across_batches():
     rows = pa.RecordBatch.from_arrays([pa.array([b"a"] * 5 + [b"b"] + [b"c"] * 3), pa.array(range(9), pa.int64())], names=["key", "rep"])
     for cut in range(10):
