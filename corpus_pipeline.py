@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, mixing, ngram_join, piece_sampling, secret_scan
-from gridloom.llm.common import crc_mod, scratch, tune, written
+from gridloom.llm.common import SIDE_ROWS, crc_mod, scratch, sided, tune, written
 from gridloom.llm.rows import ROW, with_copies, with_row
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     linked = written(ngram_join.join(with_row(docs), ROW).where("n_links > 0").select("class_key", "doc_id", *ROW))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW)).alias("f")
     stays = linked.groupBy("class_key").agg(first).select(*(F.col(f"f.{c}").alias(c) for c in ROW), F.lit(1).alias("copies"))
-    decisions = linked.groupBy(*ROW).agg(F.count("*").alias("n")).join(stays, ROW, "left")
+    decisions = linked.groupBy(*ROW).agg(F.count("*").alias("n")).join(sided(stays, linked.count() <= SIDE_ROWS), ROW, "left")
     return with_copies(docs, decisions.select(*ROW, "n", F.coalesce("copies", F.lit(0)).alias("copies")))
 
 

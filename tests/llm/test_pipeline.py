@@ -1,11 +1,14 @@
 """The pipeline's stages on a small table with odd rows, each held against a plain version."""
 
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from gridloom.llm import mixing, piece_sampling
+from gridloom.llm import rows as decided
 from gridloom.llm.rows import ROW, with_copies, with_row
 from tests.conftest import DATA
 from tests.llm.test_operators import brute_links
@@ -70,6 +73,23 @@ def test_copies_of_repeated_rows(spark):
     assert got == +Counter(want) + Counter({(1, "other"): 1, (None, "f"): 1})
 
 
+@pytest.mark.parametrize("places", [0, 1000])
+def test_many_decisions_stay_off_the_driver(spark, monkeypatch, places):
+    """Beyond the limit for decisions their figures aren't broadcast, beyond the limit for one hash nothing is, whatever size Spark guesses."""
+    monkeypatch.setattr(decided, "DECISION_ROWS", 0, raising=False)
+    monkeypatch.setattr(decided, "BROADCAST_ROWS", places)
+    rows = [(k, f"text {k}") for k in range(40)] + [(0, "text 0"), (1, "text 1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: k % 3 for k in range(20)}
+    named = with_row(docs).groupBy("doc_id", *ROW).agg(F.count("*").alias("n")).collect()
+    decisions = spark.createDataFrame([(r["_row_a"], r["_row_b"], want[r["doc_id"]], r["n"]) for r in named if r["doc_id"] in want], "_row_a long, _row_b long, copies int, n long")
+    out = with_copies(docs, decisions)
+    got = Counter(r["doc_id"] for r in out.collect())
+    assert got == +Counter(want) + Counter(range(20, 40))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[_row_a#\d+L, _row_b", plan) and ("BroadcastExchange" in plan) == bool(places)
+
+
 def test_one_row_of_each_class_stays(spark):
     same = " ".join(f"w{k}" for k in range(40))
     rows = [(1, same, "en", "a", 0), (1, same, "en", "a", 0), (1, same + " more", "en", "b", 0), (2, same, "de", "a", 0), (None, same, "en", "a", 0), (1, "quite another text of its own", "en", "a", 0), (None, "and one without an id", "en", "a", 0), (7, None, "en", "a", 0)]
