@@ -177,7 +177,8 @@ class Lattices:
         """state, cum, piece, next, logq of the edges. weight: for each state and step (longest first) the mass of the segmentations by it, in any unit of the state's own."""
         share = weight / weight.sum(1, keepdims=True)
         held = np.flatnonzero(weight.ravel() > 0)
-        state, back = np.divmod(held, width)
+        state = np.repeat(np.arange(len(weight)), np.count_nonzero(weight > 0, 1))
+        back = held - state * width
         q, cum = share.ravel()[held], np.cumsum(share, 1).ravel()[held]
         cum[np.flatnonzero(np.append(state[1:] != state[:-1], True))] = 1.0
         logq = np.log(q)
@@ -493,30 +494,27 @@ def spelled(ids: np.ndarray, voc, lengths: np.ndarray | None = None) -> np.ndarr
     return out, np.diff(ends)
 
 
-def _bytes_of(voc) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all pieces after one another, and each piece's bounds in them."""
+def _bytes_of(voc) -> pa.Array:
+    """The bytes of all pieces."""
     if not hasattr(voc, "spelling"):
         back = {i: bytes([b]) for b, i in voc.bytes.items()}
-        parts = [back[i] if i in back else voc.piece[i].replace(BLANK, " ").encode() for i in range(voc.size)]
-        voc.spelling = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        voc.spelling = pa.array([back[i] if i in back else voc.piece[i].replace(BLANK, " ").encode() for i in range(voc.size)], pa.large_binary())
     return voc.spelling
 
 
 def decoded(ids: np.ndarray, lengths: np.ndarray, path: str | None = None) -> pa.Array:
     """The texts of piece ids; lengths tells how many ids each text has. The blank that encoding puts before a text goes; bytes that aren't UTF-8 are replaced."""
-    data, at = _bytes_of(vocabulary(path or default_vocabulary()))
-    sizes = at[ids + 1] - at[ids]
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.repeat(at[ids] - ends[:-1], sizes)
-    place += np.arange(ends[-1])
-    out = data[place]
-    del place
+    spelled_out = _bytes_of(vocabulary(path or default_vocabulary())).take(pa.array(ids))
+    _, ends, data = spelled_out.buffers()
+    ends = np.frombuffer(ends, np.int64)[spelled_out.offset :][: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+    out = np.frombuffer(data, np.uint8)[: ends[-1]] if data else np.empty(0, np.uint8)
     bounds = ends[np.concatenate([[0], np.cumsum(lengths)])]
-    start = bounds[:-1][bounds[:-1] < bounds[1:]]
-    keep = np.ones(len(out), bool)
-    keep[start[out[start] == 32]] = False
-    kept = np.concatenate([[0], np.cumsum(keep)])[bounds]
-    texts = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(out[keep])])
+    filled = np.flatnonzero(bounds[:-1] < bounds[1:])
+    filled = filled[out[bounds[filled]] == 32]
+    gone = np.zeros(len(bounds), np.int64)
+    gone[filled + 1] = 1
+    kept = bounds - np.cumsum(gone)
+    texts = pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(kept), pa.py_buffer(np.delete(out, bounds[filled]))])
     try:
         texts.validate(full=True)
     except pa.ArrowInvalid:

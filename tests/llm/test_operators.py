@@ -570,6 +570,25 @@ def test_pieces_round_trip(spark, odd, docs):
         assert r["decoded"] == text[r["doc_id"]]
 
 
+def test_decoding_takes_whole_pieces():
+    """Pieces are copied whole: what decoding allocates is a few bytes a byte of text, not numbers for each byte."""
+    import tracemalloc
+
+    voc = vocabulary(default_vocabulary())
+    ids = np.array([i for i in voc.plain if len(voc.piece[i]) > 4][:500] * 400, np.int32)
+    lengths = np.array([0, 1, *[1000] * (len(ids) // 1000 - 1), 0, 999])
+    back = lambda own: "".join(voc.piece[i] for i in own).replace("\u2581", " ")
+    ends = np.cumsum(lengths)
+    want = [(t[1:] if t.startswith(" ") else t) for t in (back(ids[a:b].tolist()) for a, b in zip([0, *ends], ends, strict=False))]
+    assert piece_sampling.decoded(ids[:0], np.zeros(2, np.int64)).to_pylist() == ["", ""]
+    tracemalloc.start()
+    got = piece_sampling.decoded(ids, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want
+    assert peak < 8 * sum(len(t.encode()) for t in want)
+
+
 def test_no_cut_inside_a_piece():
     """A vocabulary's piece is one part, with what stands before and after it, too; long runs are lattices like short ones."""
     voc = vocabulary(default_vocabulary())
