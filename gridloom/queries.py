@@ -510,11 +510,14 @@ def mapped_chunks(spark, sf_dir):
 
 @query(f"SELECT i0 // 25 AS c0, i1 // 8 AS c1, count(*) AS n, round(sum(v), 6) AS total FROM ({_E}) GROUP BY ALL")
 def rechunk(spark, sf_dir):
-    """Another chunk grid for the same cells."""
-    f = embeddings(spark, sf_dir)
+    """Another chunk grid for the same cells. Chunks at the border and missing lines have elements that no vector gave; the fill value, which no 32-bit float is, tells them from zeros, nulls and NaN."""
+    df = _table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    absent = 1e300
+    f = ArrayFrame.from_rows(ArrayBuilder((_extent(df, "vec_id"), 64), [50, 16], "float64", absent).build(), df, "vec_id", "embedding")
+    given = lambda v: ~v.eqNullSafe(F.lit(absent))
     meta = replace(f.meta, chunk_grid={"name": "regular", "configuration": {"chunk_shape": [25, 8]}}).bound()
-    chunks = ArrayFrame.from_cells(meta, f.value_view()).chunks
-    total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    chunks = ArrayFrame.from_cells(meta, f.value_view().where(given(F.col("v")))).chunks.withColumn("data", F.filter("data", given))
+    total = F.aggregate(F.filter("data", lambda v: v.isNotNull()), F.lit(None).cast("double"), lambda a, x: F.coalesce(a, F.lit(0.0)) + x)
     return chunks.select("c0", "c1", F.size("data").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 

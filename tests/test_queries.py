@@ -43,3 +43,18 @@ def test_conversations_with_a_ninth_turn(spark, tmp_path):
     want = {(0, t): f"a{t}" for t in range(10)} | {(1, t): "b8" if t == 8 else "" for t in range(10)}
     for name in ("ragged_read", "vlen_utf8_roundtrip", "vlen_roundtrip"):
         assert {(r["i0"], r["i1"]): r["v"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == want
+
+
+def test_rechunk_counts_only_cells_that_rows_gave(spark, tmp_path):
+    """Chunks at the border, missing and null vectors, vectors of zeros, null and NaN components."""
+    import duckdb
+
+    line = lambda i, *first: [*first, *((i * 64 + k) % 97 / 8 for k in range(len(first), 64))]
+    rows = [(i, line(i)) for i in range(56) if not 25 <= i < 50] + [(i, [0.0] * 64) for i in range(75, 100)]
+    rows += [(60, None), (61, []), (62, [1.0] * 10), (130, line(1, None, 2.0)), (160, [None] * 64), (181, line(2, float("nan")))]
+    table = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(table)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{table}/*.parquet'")
+    got = QUERIES["rechunk"](spark, str(tmp_path)).select("c0", "c1", "n", "total").collect()
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, con.execute(ORACLES["rechunk"]).fetchall()))  # as text: NaN is NaN
