@@ -29,9 +29,12 @@ from gridloom.functions.boxes import Box, Indexer, OutOfBoundsError, div, unrave
 from gridloom.functions.dtypes import DataType, same_bits
 from gridloom.functions.grids import GRIDS, Grid
 from gridloom.plans.meta import ArrayMeta
+from gridloom.plans.shared import bounded
 
 #: Index lists are broadcast up to so many entries (driver-made lists: they come from memory).
 BROADCAST_INDICES = 200_000
+#: Elements that an Arrow stage has in hand at once, and that its batches hold; a larger chunk is taken alone.
+ELEMENTS = 1 << 18
 
 
 def index_names(dims: int, prefix: str = "i") -> list[str]:
@@ -89,7 +92,7 @@ class ArrayFrame:
 
         def made(chunks: Box | None) -> DataFrame:
             near = named if chunks is None else named.where(meta.grid.chunks_subset(chunks).predicate(index_names(meta.dims)))
-            return placed_cells(meta, near).mapInArrow(_scatter(meta, kind), _chunk_schema(meta, kind))
+            return bounded(placed_cells(meta, near)).mapInArrow(_scatter(meta, kind), _chunk_schema(meta, kind))
 
         return ArrayFrame(meta, made(None), made=made)
 
@@ -113,7 +116,7 @@ class ArrayFrame:
             once = cut.repartition("c0", "c1").groupBy("c0", "c1", "i0").agg(F.max("part").alias("part"))
             place = (F.col("i0") - line.origin_column(F.col("c0"))) * column.edge_column(F.col("c1"))
             grouped = once.groupBy("c0", "c1").agg(F.collect_list(F.struct(place.alias("k"), F.col("part").alias("v"))).alias("m"))
-            return grouped.mapInArrow(_scatter(meta, kind), _chunk_schema(meta, kind))
+            return bounded(grouped).mapInArrow(_scatter(meta, kind), _chunk_schema(meta, kind))
 
         return ArrayFrame(meta, made(None), made=made)
 
@@ -291,7 +294,7 @@ class ArrayFrame:
             return self
         new = placed_cells(self.meta, cells.where(box.predicate(self.i)).select(*self.i, F.col("v").cast(self.element).alias("v")))
         merged = self._chunks_of(touched).select(*self.c, "data").join(new, self.c, "full_outer")
-        rebuilt = merged.mapInArrow(_scatter(self.meta, self.element), _chunk_schema(self.meta, self.element))
+        rebuilt = bounded(merged).mapInArrow(_scatter(self.meta, self.element), _chunk_schema(self.meta, self.element))
         return self._changed(self._erased(touched).unionByName(rebuilt))
 
     def store_chunk_subset(self, chunk: Sequence[int], box: Box, cells: DataFrame) -> ArrayFrame:
@@ -323,7 +326,7 @@ class ArrayFrame:
         meta, c = self.meta, self.c
         keyed = self.chunks.select(*c, meta.keys.column([F.col(n) for n in c]).alias("key"), "data")
         schema = T.StructType([*(keyed.schema[n] for n in c), T.StructField("key", T.StringType()), T.StructField("value", T.BinaryType())])
-        return keyed.mapInArrow(_per_chunk(meta, lambda chain, shape, data: chain.encode(to_numpy(data, meta.dtype, shape)), "data", pa.binary(), "value"), schema)
+        return bounded(keyed).mapInArrow(_per_chunk(meta, lambda chain, shape, data: chain.encode(to_numpy(data, meta.dtype, shape)), "data", pa.binary(), "value"), schema)
 
     @staticmethod
     def decode(meta: ArrayMeta, blobs: DataFrame, element: T.DataType) -> ArrayFrame:
@@ -332,14 +335,14 @@ class ArrayFrame:
         schema = T.StructType([*(blobs.schema[n] for n in c), T.StructField("data", T.ArrayType(element))])
         arrow = pa.list_(_arrow_of(element))
         run = _per_chunk(meta, lambda chain, shape, value: chain.decode(value), "value", arrow, "data", drop=("key",), chunks_of=meta.dtype)
-        return ArrayFrame(meta, blobs.select(*c, "value").mapInArrow(run, schema))
+        return ArrayFrame(meta, bounded(blobs.select(*c, "value")).mapInArrow(run, schema))
 
     def mapped(self, meta: ArrayMeta, fn: Callable[[np.ndarray], np.ndarray], element: T.DataType) -> ArrayFrame:
         """Another array of the same grid, chunk by chunk through a numpy function."""
         schema = T.StructType([*(self.chunks.schema[n] for n in self.c), T.StructField("data", T.ArrayType(element))])
         own = self.meta
         run = _per_chunk(own, lambda chain, shape, data: fn(to_numpy(data, own.dtype, shape)), "data", pa.list_(_arrow_of(element)), "data", bound=False, chunks_of=meta.dtype)
-        return ArrayFrame(meta, self.chunks.mapInArrow(run, schema))
+        return ArrayFrame(meta, bounded(self.chunks).mapInArrow(run, schema))
 
     # ends
 
@@ -412,6 +415,21 @@ def _equals_fill(values: pa.Array, fill: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.equal(values, fill[0]), False).to_numpy(zero_copy_only=False)
 
 
+def _parts(b: pa.RecordBatch, meta: ArrayMeta) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, ...]]]]:
+    """A batch in runs of chunks that hold up to ELEMENTS elements, or of a single larger chunk; with the chunks' numbers."""
+    names = index_names(meta.dims, "c")
+    numbers = list(zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True)) if names else [()] * b.num_rows
+    start = held = 0
+    for k, number in enumerate(numbers):
+        size = prod(meta.grid.chunk_shape(number))
+        if k > start and held + size > ELEMENTS:
+            yield b.slice(start, k - start), numbers[start:k]
+            start, held = k, 0
+        held += size
+    if numbers:
+        yield b.slice(start), numbers[start:]
+
+
 def _scatter(meta: ArrayMeta, element: T.DataType):
     """An Arrow stage that puts cells (k, v in m; v may be a run of elements) into dense chunks: over the old data where there is some, else over fill values.
 
@@ -421,34 +439,34 @@ def _scatter(meta: ArrayMeta, element: T.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, fill = meta.grid, pa.array([fill_element(meta)], arrow)
-        for b in batches:
+        for b, numbers in (p for whole in batches for p in _parts(whole, meta)):
             column = lambda n, b=b: b.column(b.schema.get_field_index(n))
-            numbers = list(zip(*(column(n).to_pylist() for n in c), strict=True)) if c else [()] * b.num_rows
             sizes = np.array([prod(grid.chunk_shape(n)) for n in numbers], np.int64)
             at = np.concatenate([[0], np.cumsum(sizes)])
             source = np.zeros(at[-1], np.int64)  # where each element comes from; 0 is the fill value
             m = column("m")
-            cells, m_at = m.values, m.offsets.to_numpy().astype(np.int64)
+            m_at = m.offsets.to_numpy().astype(np.int64)
+            cells, m_at = m.values.slice(m_at[0], m_at[-1] - m_at[0]), m_at - m_at[0]
             place, v = cells.field(0).to_numpy(zero_copy_only=False).astype(np.int64), cells.field(1)
             pools = [fill]
             if "data" in b.schema.names:
                 data = column("data")
                 d_at = data.offsets.to_numpy().astype(np.int64)
+                held, d_at = data.values.slice(d_at[0], d_at[-1] - d_at[0]), d_at - d_at[0]
                 for r in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
                     source[at[r] : at[r + 1]] = 1 + np.arange(d_at[r], d_at[r + 1])
-                pools.append(data.values)
+                pools.append(held)
             base = sum(map(len, pools))
-            used = slice(m_at[0], m_at[-1])
             shift = np.repeat(at[:-1], np.diff(m_at))  # each cell's chunk
             if pa.types.is_list(v.type):
                 v_at = v.offsets.to_numpy().astype(np.int64)
-                run_of = np.diff(v_at)[used]
-                first = np.repeat(shift + place[used], run_of)
+                run_of = np.diff(v_at)
+                first = np.repeat(shift + place, run_of)
                 step = np.arange(len(first)) - np.repeat(np.cumsum(run_of) - run_of, run_of)
-                source[first + step] = base + np.repeat(v_at[:-1][used], run_of) + step
-                v = v.values
+                source[first + step] = base + np.repeat(v_at[:-1] - v_at[0], run_of) + step
+                v = v.values.slice(v_at[0], v_at[-1] - v_at[0])
             else:
-                source[shift + place[used]] = base + np.arange(m_at[0], m_at[-1])
+                source[shift + place] = base + np.arange(len(place))
             values = pa.concat_arrays([*pools, v.cast(arrow)]).take(pa.array(source))
             rows = np.arange(len(sizes))
             if not keep_empty and len(rows):
@@ -466,12 +484,10 @@ def _scatter(meta: ArrayMeta, element: T.DataType):
 
 def _per_chunk(meta: ArrayMeta, fn, column: str, arrow: pa.DataType, name: str, bound: bool = True, drop: tuple = (), chunks_of: DataType | None = None):
     """An Arrow stage that maps one column chunk by chunk; the chain is bound once for each chunk shape. chunks_of: fn gives chunks of this type."""
-    c = index_names(meta.dims, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid, chains = meta.grid, {}
-        for b in batches:
-            numbers = list(zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in c), strict=True)) if c else [()] * b.num_rows
+        for b, numbers in (p for whole in batches for p in _parts(whole, meta)):
             values, made = b.column(b.schema.get_field_index(column)), []
             for k, number in enumerate(numbers):
                 shape = grid.chunk_shape(number)

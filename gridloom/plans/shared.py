@@ -1,4 +1,4 @@
-"""Cutting lineage through the folder that driver and executors share."""
+"""Cutting lineage through the folder that driver and executors share; bounded Arrow batches."""
 
 from __future__ import annotations
 
@@ -46,6 +46,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of one Arrow batch that goes to a Python worker, where the session sets no limit; a longer row makes its own batch.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same table, before an Arrow stage: without a limit in bytes Spark puts 10,000 rows, that is whole chunks, into one batch. Plans run when their rows are asked for, so the session keeps the setting."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -16,7 +16,7 @@ from gridloom.functions.keys import V2_ARRAY_KEY, V2_ATTRIBUTES_KEY, V2_GROUP_KE
 from gridloom.operators import hierarchy as H
 from gridloom.operators.frame import ArrayFrame, _arrow_of, _per_chunk, index_names
 from gridloom.plans.meta import ArrayMeta, GroupMeta, MetadataError, Options, array_to_v3, group_to_v3
-from gridloom.plans.shared import written
+from gridloom.plans.shared import bounded, written
 from gridloom.registry import UnsupportedExtension
 from gridloom.sources.chunks import StoredChunks
 from gridloom.sources.store import SparkStore, Store, _opened
@@ -241,7 +241,7 @@ def subchunk_bytes(meta: ArrayMeta, blobs: DataFrame) -> DataFrame:
 
     keep = blobs.select(*c, F.col("value").alias("raw"), "value")
     schema = T.StructType([*(keep.schema[n] for n in c), keep.schema["raw"], T.StructField("entries", T.ArrayType(entry))])
-    rows = keep.mapInArrow(_per_chunk(meta, entries, "value", pa.list_(_arrow_of(entry)), "entries"), schema)
+    rows = bounded(keep).mapInArrow(_per_chunk(meta, entries, "value", pa.list_(_arrow_of(entry)), "entries"), schema)
     flat = rows.select(*c, "raw", F.explode("entries").alias("e")).select(*c, *(F.col(f"e.{n}").alias(n) for n in s), "e.offset", "e.size", "raw")
     return flat.select(*c, *s, "offset", "size", F.expr("substring(raw, CAST(offset + 1 AS INT), CAST(size AS INT))").alias("value"))
 
@@ -251,6 +251,6 @@ def compacted(meta: ArrayMeta, blobs: DataFrame) -> DataFrame:
     c = index_names(meta.dims, "c")
     keep = blobs.select(*c, F.col("value").alias("raw"), "value")
     schema = T.StructType([*(keep.schema[n] for n in c), keep.schema["raw"], T.StructField("smaller", T.BinaryType())])
-    rows = keep.mapInArrow(_per_chunk(meta, lambda chain, shape, value: chain.sharding.compact(value), "value", pa.binary(), "smaller"), schema)
+    rows = bounded(keep).mapInArrow(_per_chunk(meta, lambda chain, shape, value: chain.sharding.compact(value), "value", pa.binary(), "smaller"), schema)
     return rows.select(*c, F.coalesce("smaller", "raw").alias("value"), F.col("smaller").isNotNull().alias("changed"))
 

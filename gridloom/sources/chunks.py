@@ -19,12 +19,11 @@ from pyspark.sql import types as T
 from gridloom.functions.boxes import Box
 from gridloom.functions.codecs import ByteReader
 from gridloom.functions.keys import node_key
-from gridloom.operators.frame import _arrow_of, _chunk_schema, _per_chunk, all_fill, chunk_lists, fill_element, index_names, placed_cells, to_numpy
+from gridloom.operators.frame import ELEMENTS, _arrow_of, _chunk_schema, _per_chunk, all_fill, chunk_lists, fill_element, index_names, placed_cells, to_numpy
 from gridloom.plans.meta import ArrayMeta
+from gridloom.plans.shared import bounded
 from gridloom.sources.store import _opened, transformers
 
-#: Cells of one batch that leaves a reader.
-CELLS = 1 << 18
 #: Chunks of one reading task, where there are enough for all cores.
 CHUNKS_PER_TASK = 64
 
@@ -132,8 +131,8 @@ class StoredChunks:
                         values = chunk_lists([chains.of(own.shape).read_box(reader, common.relative_to(own.start))], pa.list_(arrow), meta.dtype).values
                     index = [np.arange(s, e) for s, e in zip(common.start, common.end, strict=True)]
                     columns = [np.broadcast_to(x.reshape([-1 if k == d else 1 for k in range(meta.dims)]), common.shape).reshape(-1) for d, x in enumerate(index)]
-                    for at in range(0, common.size, CELLS):
-                        yield pa.RecordBatch.from_arrays([*(pa.array(x[at : at + CELLS]) for x in columns), values.slice(at, CELLS)], names=[*i, "v"])
+                    for at in range(0, common.size, ELEMENTS):
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x[at : at + ELEMENTS]) for x in columns), values.slice(at, ELEMENTS)], names=[*i, "v"])
 
         schema = T.StructType([*(T.StructField(n, T.LongType()) for n in i), T.StructField("v", element)])
         return self._spread(meta, meta.grid.chunks_in(box)).mapInArrow(run, schema)
@@ -141,7 +140,7 @@ class StoredChunks:
     def chunks(self, meta: ArrayMeta, chunks: Box) -> DataFrame:
         """c0.., data of the stored chunks of a range."""
         element = T._parse_datatype_string(meta.dtype.spark)
-        return self.values(meta, self._spread(meta, chunks)).mapInArrow(
+        return bounded(self.values(meta, self._spread(meta, chunks))).mapInArrow(
             _per_chunk(meta, lambda chain, shape, value: chain.decode(value), "value", pa.list_(_arrow_of(element)), "data", drop=("key",), chunks_of=meta.dtype), _chunk_schema(meta, element)
         )
 
@@ -208,7 +207,7 @@ class StoredChunks:
                     made.append(folder.write_part(key, value.as_buffer()) if value.is_valid else (None, folder.at(key)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.string()) for k in (0, 1)], names=["part", "at"])
 
-        return blobs.mapInArrow(run, "part string, at string")
+        return bounded(blobs).mapInArrow(run, "part string, at string")
 
     def updated(self, meta: ArrayMeta, cells: DataFrame) -> DataFrame:
         """c0.., value, changed inner chunks: the touched chunks with new cells (i0.., v) in place, encoded; null values where only fill values are left.
@@ -233,7 +232,7 @@ class StoredChunks:
                     yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in number), pa.array([value], pa.binary()), pa.array([n], pa.int64())], names=[*c, "value", "inner"])
 
         schema = T.StructType([*(T.StructField(n, T.LongType()) for n in c), T.StructField("value", T.BinaryType()), T.StructField("inner", T.LongType())])
-        return grouped.mapInArrow(run, schema)
+        return bounded(grouped).mapInArrow(run, schema)
 
     def moved(self, parts: DataFrame) -> DataFrame:
         """Moves hidden values over their keys, and erases keys that have none; at of each. Repeated and speculative tasks do no harm."""

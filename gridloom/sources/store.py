@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.keys import check_key, check_prefix
+from gridloom.plans.shared import bounded
 
 
 class RangeError(ValueError):
@@ -257,7 +258,7 @@ class SparkStore(Store):
         Each value goes to a temporary name and is moved over the old one, so repeated and speculative tasks do no harm. File systems that
         Arrow can't write (it knows local, hdfs, s3 and gs) go by `write_blobs_here`.
         """
-        return blobs.select("key", "value").mapInArrow(_writer(self.uri), "key string")
+        return bounded(blobs.select("key", "value")).mapInArrow(_writer(self.uri), "key string")
 
     def erase_keys(self, keys: DataFrame) -> DataFrame:
         """Deletes keys from the executors; a lazy DataFrame of them."""

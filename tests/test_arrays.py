@@ -196,3 +196,36 @@ def test_geometry():
     assert g.shape == (2, 2) and meta.subchunk_grid().shape == (6, 6) and g.origin((1, 1)) == (3, 3)
     assert g.subset((1, 1)) == Box.of((3, 6), (3, 6)) and g.subset_bounded((1, 1)) == Box.of((3, 5), (3, 5))
     assert g.chunks_in(Box.of((2, 5), (2, 5))) == Box.of((0, 2), (0, 2))
+
+
+def test_arrow_stages_hold_few_chunks_at_once(spark):
+    """Spark's batches hold 10,000 rows, whole chunks each: they are bounded in bytes before a stage, and worked through and given on in runs of chunks."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from gridloom.operators.frame import _per_chunk, _scatter
+    from gridloom.queries import QUERIES
+    from tests.conftest import DATA
+
+    meta, n = ArrayBuilder((900_000,), [1000], "float64", -1.0).build(), 900
+    cells = pa.array([[{"k": 3, "v": float(c)}, {"k": 999, "v": None}] for c in range(n)], pa.list_(pa.struct([("k", pa.int64()), ("v", pa.float64())])))
+    dense = list(_scatter(meta, T.DoubleType())(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), cells], names=["c0", "m"])])))
+    whole = pa.Table.from_batches(dense).combine_chunks().to_batches()
+    double = _per_chunk(meta, lambda chain, shape, data: data.values.to_numpy(zero_copy_only=False) * 2, "data", pa.list_(pa.float64()), "data", bound=False, chunks_of=meta.dtype)
+    doubled = list(double(iter(whole)))
+    for got, times in ((dense, 1), (doubled, 2)):
+        assert len(got) == 4 and max(b.num_rows for b in got) * 1000 <= 1 << 18
+        rows = [r for b in got for r in b.to_pylist()]
+        assert [(r["c0"], r["data"][3], r["data"][4], len(r["data"])) for r in rows] == [(c, times * c, -times, 1000) for c in range(n)]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        QUERIES["fixed_scale_offset"](spark, DATA)
+        assert int(spark.conf.get(key)) == 8 << 20
+        wide = spark.range(0, 4000, 1, 1).select(F.sequence(F.lit(0), F.lit(999)).cast("array<double>").alias("data"))
+        seen = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+        assert max(r["n"] for r in seen) < (8 << 20) + 10_000 and sum(r["n"] for r in seen) > 32_000_000
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
